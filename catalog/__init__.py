@@ -1,0 +1 @@
+"""The registered queries and their SQL counterparts."""
