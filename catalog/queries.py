@@ -292,13 +292,13 @@ def latest_price_one(spark, sf_dir):
 
 @register
 def sma20_candles(spark, sf_dir):
-    averaged = moving.sma(candles.ohlcv(ticks_of(spark, sf_dir)), chunk="1 minute")
+    averaged = moving.sma(candles.ohlcv(ticks_of(spark, sf_dir)))
     return averaged.select("ts_bucket", "symbol", "close_price", F.round("sma20", 8).alias("sma20"))
 
 
 @register
 def sma20_full(spark, sf_dir):
-    averaged = moving.sma(candles.ohlcv(ticks_of(spark, sf_dir)), frames="full", chunk="1 minute")
+    averaged = moving.sma(candles.ohlcv(ticks_of(spark, sf_dir)), frames="full")
     return averaged.select("ts_bucket", "symbol", F.round("sma20", 8).alias("sma20"))
 
 
@@ -315,7 +315,7 @@ def moving_avg_valid(spark, sf_dir):
     seconds = ticks.withColumn("ts_bucket", tumbling("ts", "1 second"))
     averaged = moving.moving_average(
         seconds.select("ts_bucket", "symbol", "seq", "price"), "price", "smooth", keys=["symbol", "ts_bucket"],
-        order="seq", chunk=F.expr("seq DIV 8"), width=5, frames="valid",
+        order="seq", chunk=F.expr("seq DIV 65536"), width=5, frames="valid",
     )
     return averaged.withColumn("smooth", F.round("smooth", 8))
 
@@ -462,7 +462,7 @@ def throughput_p95_clip(spark, sf_dir):
         F.get_json_object("props", "$.k").cast("int").alias("row_count"),
         F.col("value").cast("decimal(10,3)").cast("double").alias("elapsed"),
     )
-    found = metrics.throughput(measured, "query", "id", F.expr("id DIV 4096"))
+    found = metrics.throughput(measured, "query", "id", F.expr("id DIV 1048576"))
     rounded = {name: F.round(name, 6) for name in ("p95_rate", "mean_rate", "mean_smoothed")}
     return found.withColumns(rounded)
 
@@ -491,9 +491,7 @@ def incremental_ohlcv_1s(spark, sf_dir):
 @register
 def incremental_ohlcv_1m(spark, sf_dir):
     root = _advanced(spark, sf_dir, lambda ticks: [midpoint_of(ticks), None])
-    if not tables.table_exists(spark, f"{root}/ohlcv_1m"):
-        return spark.createDataFrame([], schemas.CANDLES)
-    return tables.scan_candles(spark, root, "1 minute").drop("dt")
+    return tables.scan_or_empty(spark, f"{root}/ohlcv_1m", schemas.CANDLES).drop("dt")
 
 
 @register
@@ -508,25 +506,25 @@ def progress_table(spark, sf_dir):
     return incremental.read_progress(spark, root).drop("updated_at")
 
 
-def _streamed(spark, stream, run):
+def _streamed(spark, stream, run=jobs.run_candles, schema=schemas.CANDLES):
     root = shared_dir(spark, "stream")
     run(stream, f"{root}/table", f"{root}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{root}/table").drop("dt")
+    return tables.scan_or_empty(spark, f"{root}/table", schema).drop("dt")
 
 
 @register
 def stream_ohlcv_1s(spark, sf_dir):
-    return _streamed(spark, jobs.candles(stream_of(spark, sf_dir)), jobs.run_candles)
+    return _streamed(spark, jobs.candles(stream_of(spark, sf_dir)))
 
 
 @register
 def stream_ohlcv_1m(spark, sf_dir):
-    return _streamed(spark, jobs.rollup(jobs.candles(stream_of(spark, sf_dir))), jobs.run_candles)
+    return _streamed(spark, jobs.rollup(jobs.candles(stream_of(spark, sf_dir))))
 
 
 @register
 def stream_pack(spark, sf_dir):
-    return bucket_text(_streamed(spark, jobs.packed(stream_of(spark, sf_dir)), jobs.run_packed))
+    return bucket_text(_streamed(spark, jobs.packed(stream_of(spark, sf_dir)), jobs.run_packed, schemas.BUCKETS))
 
 
 @register
@@ -543,4 +541,4 @@ def stream_late_drop(spark, sf_dir):
         ticks.where(late),
     ]
     stream = stream_of_parts(spark, parts, shared_dir(spark, "arrivals"))
-    return _streamed(spark, jobs.candles(stream), jobs.run_candles)
+    return _streamed(spark, jobs.candles(stream))

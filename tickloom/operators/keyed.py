@@ -85,4 +85,4 @@ def append_by_key(spark: SparkSession, rows: DataFrame, path: str, time: str, ke
     if table_exists(spark, path):
         stored = in_range(spark.read.parquet(path), *period, time=time)
         rows = insert_if_absent(rows, stored, keys)
-    write_by_day(rows, path, time, ["symbol", time], codec=codec, clustered=False)
+    write_by_day(rows, path, time, ["symbol", time], codec=codec, increment=True)

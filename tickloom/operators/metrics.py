@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import exact
 from tickloom.operators.moving import moving_average
+from tickloom.session import broadcast_if_small, materialize
 
 
 def speedup(metrics: DataFrame, variants: tuple[str, str] = ("naive", "opt")) -> DataFrame:
@@ -25,16 +26,19 @@ def query_by_engine(metrics: DataFrame, query: str, engine: str, value: str, eng
     return wide.select(query, *cells)
 
 
-def percentile(df: DataFrame, key: str, value: str, p: float, accuracy: int = 10_000, bins: int = 4096) -> DataFrame:
+def percentile(df: DataFrame, key: str, value: str, p: float, accuracy: int = 10_000,
+               bins: int = 4096) -> DataFrame:
     """Exact, linearly interpolated percentile of a DOUBLE column per key.
 
     The built-in exact percentile holds all distinct values of a key in one
     task. Here a sketch of bounded size brackets the wanted ranks, a histogram
     of the bracket finds the bins that hold them, and only the values of those
-    bins are ranked. A bracket that missed would fail the job, not skew the
-    result.
+    bins are ranked. A key with few rows is its own bracket. A bracket that
+    missed would fail the job, not skew the result.
+
+    Reads ``df`` twice and runs jobs: the bracket of each key and the counts
+    inside it, a small fraction of the rows, are written to the shared folder.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
     margin = 10 / accuracy
     around = [max(p - margin, 0.0), min(p + margin, 1.0)]
     span = df.groupBy(key).agg(
@@ -44,20 +48,28 @@ def percentile(df: DataFrame, key: str, value: str, p: float, accuracy: int = 10
         F.count(value).alias("_total"),
     )
     position = (F.col("_total") - 1) * F.lit(p)
+    # With this many rows the margin is at least four ranks wide.
+    sketched = F.col("_total") * F.lit(margin) >= 4
     span = span.select(
         key,
-        (F.col("_around")[0] if around[0] > 0 else F.col("_min")).alias("_lo"),
-        (F.col("_around")[1] if around[1] < 1 else F.col("_max")).alias("_hi"),
+        F.when(sketched & F.lit(around[0] > 0), F.col("_around")[0]).otherwise(F.col("_min")).alias("_lo"),
+        F.when(sketched & F.lit(around[1] < 1), F.col("_around")[1]).otherwise(F.col("_max")).alias("_hi"),
         position.alias("_pos"),
         F.floor(position).alias("_low_rank"),
         F.ceil(position).alias("_high_rank"),
     )
 
-    placed = counted.join(span.select(key, "_lo", "_hi"), key)
+    span = materialize(span.where("_pos >= 0"), "percentile-span")
+
+    placed = df.join(broadcast_if_small(span.select(key, "_lo", "_hi")), key).where(F.col(value) <= F.col("_hi"))
+    below = F.col(value) < F.col("_lo")
     scaled = (F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins
-    # Bin -1 counts all that lies below the bracket.
-    bin_of = F.when(F.col(value) < F.col("_lo"), -1).otherwise(F.least(F.coalesce(F.floor(scaled), F.lit(0)), F.lit(bins - 1)))
-    binned = placed.where(F.col(value) <= F.col("_hi")).select(key, value, "_n", bin_of.cast("int").alias("_bin"))
+    within = F.least(F.coalesce(F.floor(scaled), F.lit(0)), F.lit(bins - 1))
+    # All that lies below the bracket is one row, in bin -1.
+    binned = placed.select(
+        key, F.when(~below, F.col(value)).alias(value), F.when(below, -1).otherwise(within).cast("int").alias("_bin")
+    )
+    binned = materialize(binned.groupBy(key, "_bin", value).agg(F.count(F.lit(1)).alias("_n")), "percentile-bins")
 
     along = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     histogram = binned.groupBy(key, "_bin").agg(F.sum("_n").alias("_in_bin"))
@@ -78,7 +90,7 @@ def percentile(df: DataFrame, key: str, value: str, p: float, accuracy: int = 10
     ends = ranked.groupBy(key).agg(at("_low_rank").alias("_low"), at("_high_rank").alias("_high"))
     between = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_pos") - F.col("_low_rank"))
     missed = F.raise_error(F.lit("percentile bracket missed: raise accuracy")).cast("double")
-    return span.where("_pos >= 0").join(ends, key, "left").select(key, F.coalesce(between, missed).alias("percentile"))
+    return span.join(ends, key, "left").select(key, F.coalesce(between, missed).alias("percentile"))
 
 
 def throughput(measured: DataFrame, key: str, order: str, chunk: Column, width: int = 5) -> DataFrame:
@@ -89,16 +101,17 @@ def throughput(measured: DataFrame, key: str, order: str, chunk: Column, width:
     ``mean_smoothed`` the mean after a moving average of ``width``.
     """
     rates = measured.withColumn("_rate", F.col("row_count") / F.greatest(F.col("elapsed"), F.lit(1e-9)))
-    caps = percentile(rates, key, "_rate", 0.95)
-    clipped = rates.join(caps, key).withColumn(
-        "_rate", F.least(F.greatest(F.col("_rate"), F.lit(1e-6)), F.col("percentile"))
+    caps = broadcast_if_small(percentile(rates, key, "_rate", 0.95))
+    clipped = rates.join(caps, key).select(
+        key, order, "percentile", F.least(F.greatest("_rate", F.lit(1e-6)), "percentile").alias("_rate")
     )
     smooth = moving_average(
-        clipped.select(key, order, "_rate"), "_rate", "_smooth", keys=[key], order=order, chunk=chunk,
-        width=width, frames="valid",
+        clipped, "_rate", "_smooth", keys=[key], order=order, chunk=chunk, width=width, frames="full"
     )
-    means = smooth.groupBy(key).agg(F.avg("_smooth").alias("mean_smoothed"))
-    direct = clipped.groupBy(key).agg(
-        F.max("percentile").alias("p95_rate"), F.avg("_rate").alias("mean_rate"), F.count(F.lit(1)).alias("queries")
+    return smooth.groupBy(key).agg(
+        F.max("percentile").alias("p95_rate"),
+        F.avg("_rate").alias("mean_rate"),
+        F.count(F.lit(1)).alias("queries"),
+        # A series shorter than the width stays as it is.
+        F.coalesce(F.avg("_smooth"), F.avg("_rate")).alias("mean_smoothed"),
     )
-    return direct.join(means, key)

@@ -20,16 +20,11 @@ def window_stats(windows: DataFrame, ticks: DataFrame, by: list[str] | None = No
     tasks each. Choose a ``resolution`` well below the window length: a window
     joins one row per bucket.
 
-    Windows without ticks have no rows. Runs a job for the extent of the
-    windows, which limits the days that are read.
+    Windows without ticks have no rows. Runs a job or two over the windows, for
+    their extent and for the days to read.
     """
     by = by or []
-    extent = windows.agg(F.min("t1").alias("lo"), F.max("t2").alias("hi")).first()
-    if extent.lo is None:
-        wanted = ticks.where(F.lit(False))
-    else:
-        wanted = in_range(ticks, extent.lo, extent.hi)
-    wanted = wanted.withColumn("_bucket", tumbling("ts", resolution))
+    wanted = _touched_days(windows, ticks).withColumn("_bucket", tumbling("ts", resolution))
 
     covered = _buckets_of(windows, resolution)
     whole = covered.where("_whole").select("wid", "_bucket")
@@ -52,6 +47,18 @@ def window_stats(windows: DataFrame, ticks: DataFrame, by: list[str] | None = No
     )
 
 
+def _touched_days(windows: DataFrame, ticks: DataFrame) -> DataFrame:
+    """Ticks within the extent of the windows, of days that a window touches."""
+    extent = windows.agg(F.min("t1").alias("lo"), F.max("t2").alias("hi")).first()
+    if extent.lo is None:
+        return ticks.where(F.lit(False))
+    found = in_range(ticks, extent.lo, extent.hi)
+    if "dt" not in ticks.columns:
+        return found
+    days = windows.select(F.explode(F.sequence(F.to_date("t1"), F.to_date("t2"))).alias("dt")).distinct()
+    return found.where(F.col("dt").isin([row.dt for row in days.collect()]))
+
+
 def _buckets_of(windows: DataFrame, resolution: str) -> DataFrame:
     """One row per (window, bucket it touches); ``_whole`` if it covers all of it."""
     width = F.expr(f"INTERVAL {resolution}")

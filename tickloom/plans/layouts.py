@@ -12,7 +12,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.timecols import resolution_micros
 from tickloom.operators import buckets, moving, stats
+from tickloom.operators.candles import ohlcv, rollup
 from tickloom.operators.ranges import in_range
 
 
@@ -41,6 +43,19 @@ def query(name: str, layout: str, tables: Layouts, start: datetime, end: datetim
     return build(tables, start, end, symbol)
 
 
+def candles_at(tables: Layouts, resolution: str) -> DataFrame:
+    """Candles of any resolution, rolled up from the coarsest table that fits.
+
+    Stored one-minute candles serve whole minutes, stored one-second candles
+    whole seconds, and ticks everything else.
+    """
+    width = resolution_micros(resolution)
+    for stored, unit in ((tables.candles_1m, "1 minute"), (tables.candles_1s, "1 second")):
+        if stored is not None and width % resolution_micros(unit) == 0:
+            return rollup(stored, resolution)
+    return ohlcv(tables.raw, resolution)
+
+
 def _raw(tables, start, end, symbol):
     return in_range(tables.raw, start, end, symbol)
 

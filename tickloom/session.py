@@ -58,3 +58,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     """
     rows = df.limit(max_rows + 1).count()
     return F.broadcast(df) if rows <= max_rows else df
+
+
+def materialize(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to the shared folder and read back.
+
+    For small intermediate tables that several later steps read. Unlike a
+    cache it survives the loss of executors without recomputing.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -17,15 +17,22 @@ def _with_day(schema: T.StructType) -> T.StructType:
 
 
 def write_by_day(df: DataFrame, path: str, time: str, order: list[str], codec: str = "zstd",
-                 clustered: bool = True, replace_days: bool = False) -> None:
+                 partitions: int | None = None, increment: bool = False, replace_days: bool = False) -> None:
     """Append ``df`` under ``path`` with one folder per day of ``time``.
 
-    Each row goes to the day of its own timestamp. ``clustered=False`` skips
-    the shuffle, for small increments that arrive in a few tasks anyway.
-    ``replace_days`` overwrites the days that ``df`` has rows of.
+    Each row goes to the day of its own timestamp. ``partitions`` sets how many
+    ranges a bulk load is cut into; by default that is the session's number of
+    shuffle partitions, of which AQE merges the small ones. ``increment`` is
+    for additions to a few days: rows are gathered by day without the sampling
+    pass of a range split, and AQE splits a large day. ``replace_days``
+    overwrites the days that ``df`` has rows of.
     """
     dated = df.withColumn("dt", F.to_date(time))
-    if clustered:
+    if increment:
+        dated = dated.hint("rebalance", "dt")
+    elif partitions:
+        dated = dated.repartitionByRange(partitions, "dt", *order)
+    else:
         dated = dated.repartitionByRange("dt", *order)
     # The leading dt keeps one open writer per task.
     dated = dated.sortWithinPartitions("dt", *order)
@@ -64,6 +71,13 @@ def scan_candles(spark: SparkSession, root: str, resolution: str) -> DataFrame:
     return spark.read.schema(_with_day(schemas.CANDLES)).parquet(path)
 
 
+def scan_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table that a job may not have written to yet."""
+    if table_exists(spark, path):
+        return spark.read.schema(_with_day(schema)).parquet(path)
+    return spark.createDataFrame([], _with_day(schema))
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     """Whether anything has been written to ``path``."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
