@@ -175,6 +175,15 @@ ORACLES: dict[str, str] = {
     "ohlcv_1m": _ticks(f"SELECT {CANDLE} FROM c1m", C1M),
     "ohlcv_1h": _with(SPARSE, _candles("c1h", "hour", "sparse"), select=f"SELECT {CANDLE} FROM c1h"),
     "ohlcv_1d": _with(SPARSE, _candles("c1d", "day", "sparse"), select=f"SELECT {CANDLE} FROM c1d"),
+    "candles_any_resolution": _ticks(
+        """SELECT ts_bucket, symbol, first(price ORDER BY ts, seq)::DOUBLE AS open_price, max(price)::DOUBLE AS high_price,
+                  min(price)::DOUBLE AS low_price, last(price ORDER BY ts, seq)::DOUBLE AS close_price,
+                  CAST(sum(volume) AS BIGINT) AS volume, count(*) AS tick_count, resolution
+           FROM (SELECT ticks.*, resolution, make_timestamp(epoch_us(ts) // width * width) AS ts_bucket
+                 FROM ticks, (VALUES ('500 milliseconds', 500000), ('30 seconds', 30000000), ('5 minutes', 300000000))
+                             r(resolution, width))
+           GROUP BY ts_bucket, symbol, resolution"""
+    ),
     "ohlcv_from_buckets": _ticks(f"SELECT {CANDLE} FROM c1s", C1S),
     "avg_candle_1s": _ticks(_mean_candles("second")),
     "avg_candle_1m": _ticks(_mean_candles("minute")),
@@ -197,7 +206,7 @@ ORACLES: dict[str, str] = {
     ),
     "bucket_volume": _ticks(
         f"""SELECT symbol, CAST(sum(volume) AS BIGINT) AS total_volume,
-            count(DISTINCT date_trunc('second', ts)) AS bucket_count, count(*) AS tick_count
+            count(DISTINCT (date_trunc('second', ts), seq // 262144)) AS bucket_count, count(*) AS tick_count
             {BUCKET_IN_PERIOD} GROUP BY symbol"""
     ),
     "candle_volume": _ticks(

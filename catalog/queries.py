@@ -20,7 +20,7 @@ from tickloom.operators import buckets, candles, keyed, metrics, moving, ranges,
 from tickloom.operators.kpis import kpis
 from tickloom.operators.range_join import window_counts, window_stats
 from tickloom.plans import incremental, storage
-from tickloom.plans.layouts import query
+from tickloom.plans.layouts import candles_at, query
 from tickloom.session import shared_dir
 from tickloom.sources import event_feed, listing, tables, text, trades
 from tickloom.streaming import jobs
@@ -167,6 +167,16 @@ def ohlcv_1d(spark, sf_dir):
     return candles.rollup(hours, "1 day")
 
 
+@register
+def candles_any_resolution(spark, sf_dir):
+    layouts = layouts_of(ticks_of(spark, sf_dir))
+    found = None
+    for resolution in ("500 milliseconds", "30 seconds", "5 minutes"):
+        made = candles_at(layouts, resolution).withColumn("resolution", F.lit(resolution))
+        found = made if found is None else found.unionByName(made)
+    return found
+
+
 @register
 def ohlcv_from_buckets(spark, sf_dir):
     return buckets.ohlcv_from_buckets(buckets.pack(ticks_of(spark, sf_dir)))

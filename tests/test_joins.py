@@ -50,7 +50,7 @@ def test_means_per_symbol_match_a_plain_join(spark, feed, windows, broadcast):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
     plain = windows.join(feed, F.col("ts").between(F.col("t1"), F.col("t2")))
-    assert got == rows_of(plain.groupBy("wid", "symbol").agg(F.count("ts"), F.sum("price").cast("decimal(38,2)")))
+    assert got == rows_of(plain.groupBy("wid", "symbol").agg(F.count("ts"), F.sum("price")))
 
 
 def test_only_touched_days_are_read(spark, feed, windows, tmp_path):

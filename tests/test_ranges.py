@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import ranges, stats
 from tickloom.operators.candles import ohlcv
-from tickloom.plans.layouts import QUERIES, Layouts, query
+from tickloom.plans.layouts import QUERIES, Layouts, query, register_views
 from tickloom.operators.buckets import pack
 from tickloom.operators.candles import rollup
 from tickloom.sources import tables, trades
@@ -114,3 +114,16 @@ def test_historic_slice(feed):
 def test_second_batches(feed):
     batches = trades.second_batches(feed)
     assert batches.agg(F.sum("total_ticks")).first()[0] == feed.count()
+
+
+def test_sql_over_views(spark, feed):
+    register_views(Layouts(feed, None, ohlcv(feed)))
+    found = spark.sql(
+        """SELECT SUM(price * volume) / NULLIF(SUM(volume), 0) AS vwap, COUNT(*) AS n FROM raw_ticks
+           WHERE symbol = :symbol AND ts BETWEEN :start AND :end""",
+        args={"symbol": "AAPL", "start": START, "end": ON_TICK},
+    ).first()
+    wanted = ranges.in_range(feed, START, ON_TICK, "AAPL")
+    assert found.n == wanted.count()
+    assert abs(float(found.vwap) - stats.vwap(wanted, "AAPL").first().vwap) < 1e-6
+    assert spark.sql("SELECT COUNT(*) AS n FROM ohlcv_1s").first().n == ohlcv(feed).count()

@@ -1,23 +1,40 @@
-"""Aggregates whose result does not depend on the order of partial sums.
+"""Exact aggregates of decimal prices, at the cost of integer ones.
 
-Sums of DOUBLE change in the last digits with the partitioning. Prices are
-decimals, so sums are kept decimal and turned into DOUBLE only at the end.
+Sums of DOUBLE change in the last digits with the partitioning, and sums of
+DECIMAL(10,2) run on arbitrary-precision numbers. Prices are whole cents, so
+cents are summed as BIGINT and become a decimal again once per group. A sum
+beyond 9.2e18 cents raises under ANSI mode, which the session pins.
 """
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def mean(value: str) -> Column:
+def cents(price: str, scale: int = 2) -> Column:
+    """A decimal with ``scale`` digits as a whole number of its last digit."""
+    return F.expr(f"CAST({price} * {10 ** scale} AS BIGINT)")
+
+
+def float_cents(price: str) -> Column:
+    """Cents of a REAL price, half a cent going up."""
+    return F.expr(f"floor(CAST({price} AS DOUBLE) * 100 + 0.5D)")
+
+
+def from_cents(total: Column, scale: int = 2) -> Column:
+    """Whole cents as a decimal of ``scale`` digits."""
+    return total.cast("decimal(20,0)") * F.lit(f"1E-{scale}").cast(f"decimal({scale},{scale})")
+
+
+def mean(value: str, scale: int = 2) -> Column:
     """Average of a decimal column as DOUBLE, rounded once."""
-    return ratio(F.sum(value), F.count(value))
+    return ratio(from_cents(F.sum(cents(value, scale)), scale), F.count(value))
+
+
+def vwap(price_cents: Column, volume: str) -> Column:
+    """``sum(price * volume) / sum(volume)`` as DOUBLE; NULL without volume."""
+    return ratio(from_cents(F.sum(price_cents * F.col(volume))), F.sum(volume))
 
 
 def ratio(total: Column, count: Column) -> Column:
     """``total / count`` as DOUBLE; NULL when the count is zero."""
     return total.cast("double") / F.nullif(count.cast("double"), F.lit(0.0))
-
-
-def notional(price: str = "price", volume: str = "volume") -> Column:
-    """Exact ``sum(price * volume)``."""
-    return F.sum(F.col(price) * F.col(volume))

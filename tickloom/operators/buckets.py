@@ -63,7 +63,7 @@ def unpack(buckets: DataFrame) -> DataFrame:
         F.col("seqs").alias("seq"),
         F.timestamp_add("MILLISECOND", F.col("offsets_ms"), F.col("bucket_ts")).alias("ts"),
         "symbol",
-        F.col("prices").cast(schemas.PRICE).alias("price"),
+        exact.from_cents(exact.float_cents("prices")).cast(schemas.PRICE).alias("price"),
         F.col("volumes").alias("volume"),
         *carried,
     )
@@ -135,43 +135,29 @@ def volume_of(volumes: str) -> Column:
     return F.aggregate(volumes, F.lit(0).cast("bigint"), lambda total, v: total + v)
 
 
-def notional_of(prices: str, volumes: str) -> Column:
-    """Exact ``sum(price * volume)`` of one packed row."""
-    products = F.zip_with(prices, volumes, lambda p, v: p.cast(schemas.PRICE) * v)
-    zero = F.lit(0).cast("decimal(31,2)")
-    return F.aggregate(products, zero, lambda total, x: (total + x).cast("decimal(31,2)"))
+# The sums below unnest the arrays: unlike array functions with a lambda, that
+# is part of the generated code, and the rows go straight into a partial sum.
 
 
 def bucket_volume(buckets: DataFrame, per: list[str]) -> DataFrame:
-    """Volume, distinct packed buckets and ticks.
-
-    Rows are first reduced to one per bucket, so that a bucket in several rows
-    counts once.
-    """
-    rows = buckets.select(
-        "bucket_ts", "symbol", volume_of("volumes").alias("_volume"), F.size("volumes").alias("_ticks")
-    )
-    per_bucket = rows.groupBy("bucket_ts", "symbol").agg(
-        F.sum("_volume").alias("_volume"), F.sum("_ticks").alias("_ticks")
-    )
-    return per_bucket.groupBy(*per).agg(
+    """Volume, packed rows and ticks. A bucket stored in several rows counts as several."""
+    ticks = buckets.select("symbol", F.posexplode("volumes").alias("_i", "_volume"))
+    return ticks.groupBy(*per).agg(
         F.sum("_volume").alias("total_volume"),
-        F.count(F.lit(1)).alias("bucket_count"),
-        F.coalesce(F.sum("_ticks"), F.lit(0)).cast("bigint").alias("tick_count"),
+        F.count_if(F.col("_i") == 0).alias("bucket_count"),
+        F.count(F.lit(1)).alias("tick_count"),
     )
 
 
 def bucket_vwap(buckets: DataFrame, per: list[str]) -> DataFrame:
     """Volume-weighted average price; NULL where no volume traded."""
-    rows = buckets.select(
-        "symbol", notional_of("prices", "volumes").alias("_notional"), volume_of("volumes").alias("_volume")
-    )
-    return rows.groupBy(*per).agg(exact.ratio(F.sum("_notional"), F.sum("_volume")).alias("vwap"))
+    ticks = buckets.select("symbol", F.inline(F.arrays_zip("prices", "volumes")))
+    return ticks.groupBy(*per).agg(exact.vwap(exact.float_cents("prices"), "volumes").alias("vwap"))
 
 
 def bucket_volume_by(buckets: DataFrame, resolution: str, per: list[str]) -> DataFrame:
     """Volume per time bucket, ordered by time."""
-    rows = buckets.select(
-        tumbling("bucket_ts", resolution).alias("ts_bucket"), "symbol", volume_of("volumes").alias("_volume")
+    ticks = buckets.select(
+        tumbling("bucket_ts", resolution).alias("ts_bucket"), "symbol", F.explode("volumes").alias("_volume")
     )
-    return rows.groupBy("ts_bucket", *per).agg(F.sum("_volume").alias("volume")).orderBy("ts_bucket", *per)
+    return ticks.groupBy("ts_bucket", *per).agg(F.sum("_volume").alias("volume")).orderBy("ts_bucket", *per)

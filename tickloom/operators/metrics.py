@@ -11,7 +11,7 @@ from tickloom.session import broadcast_if_small, materialize
 def speedup(metrics: DataFrame, variants: tuple[str, str] = ("naive", "opt")) -> DataFrame:
     """Mean latency per query and variant, and how much faster the second one is."""
     slow, fast = variants
-    means = metrics.groupBy("query").pivot("variant", list(variants)).agg(exact.mean("ms"))
+    means = metrics.groupBy("query").pivot("variant", list(variants)).agg(exact.mean("ms", scale=3))
     factor = F.col(slow) / F.greatest(F.col(fast), F.lit(0.001))
     return means.select("query", F.col(slow).alias("naive_ms"), F.col(fast).alias("opt_ms"), factor.alias("speedup"))
 

@@ -3,60 +3,88 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.exact import ratio
-from tickloom.functions.timecols import tumbling
+from tickloom.functions.exact import cents, from_cents, ratio
+from tickloom.functions.timecols import resolution_micros, tumbling
 from tickloom.operators.ranges import in_range
 
 
+# Bucket marks are broadcast up to this many rows, some twenty bytes each.
+BROADCAST_BUCKETS = 2_000_000
+
+
 def window_stats(windows: DataFrame, ticks: DataFrame, by: list[str] | None = None,
                  resolution: str = "1 second", salts: int = 8) -> DataFrame:
     """Count, price sum and mean price per window, optionally per ``by`` columns.
 
     ``windows`` is (wid, t1, t2), both ends inclusive. A window is made of the
     time buckets it covers whole, taken from per-bucket sums, and of the at
-    most two buckets it cuts, taken from sums per exact timestamp. Ticks are
-    therefore never paired with windows one by one, and a crowded second is
-    summed up before it is shuffled. Cut buckets are spread over ``salts``
-    tasks each. Choose a ``resolution`` well below the window length: a window
-    joins one row per bucket.
-
-    Windows without ticks have no rows. Runs a job or two over the windows, for
-    their extent and for the days to read.
+    most two buckets it cuts, taken from sums per exact timestamp. Both come
+    out of one pass over the ticks, and timestamps are kept apart only in
+    buckets that some window cuts. Ticks are never paired with windows one by
+    one, and a crowded second is summed up before it is shuffled. Cut buckets
+    are spread over ``salts`` tasks each. Choose a ``resolution`` well below
+    the window length: a window joins one row per bucket.
+
+    Windows without ticks have no rows. Runs a job over the windows, for their
+    extent and length and for the days to read. Unless the windows touch too
+    many buckets to broadcast those, ticks outside all windows are left out
+    first.
     """
     by = by or []
-    wanted = _touched_days(windows, ticks).withColumn("_bucket", tumbling("ts", resolution))
+    summary = _summary(windows, resolution)
+    if not summary.windows:
+        wanted = ticks.where(F.lit(False))
+    else:
+        wanted = in_range(ticks, summary.lo, summary.hi)
+        if "dt" in ticks.columns:
+            wanted = wanted.where(F.col("dt").isin(summary.days))
+    wanted = wanted.withColumn("_bucket", tumbling("ts", resolution))
 
     covered = _buckets_of(windows, resolution)
-    whole = covered.where("_whole").select("wid", "_bucket")
-    cut = covered.where("NOT _whole").select("wid", "t1", "t2", "_bucket")
-
-    sums = [F.count(F.lit(1)).alias("_n"), F.sum("price").cast("decimal(38,2)").alias("_s")]
-    per_bucket = wanted.groupBy("_bucket", *by).agg(*sums)
-    inner = per_bucket.join(whole, "_bucket").select("wid", *by, "_n", "_s")
-
-    touched = wanted.join(cut.select("_bucket").distinct(), "_bucket", "left_semi")
-    per_instant = touched.groupBy("_bucket", "ts", *by).agg(*sums)
-    per_instant = per_instant.withColumn("_salt", F.pmod(F.xxhash64("ts", *by), F.lit(salts)).cast("int"))
-    salted = cut.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    edge = per_instant.join(salted, ["_bucket", "_salt"]).where(F.col("ts").between(F.col("t1"), F.col("t2")))
-
-    pieces = inner.unionByName(edge.select("wid", *by, "_n", "_s"))
-    total, count = F.sum("_s"), F.sum("_n")
+    if (summary.buckets or 0) <= BROADCAST_BUCKETS:
+        marks = covered.groupBy("_bucket").agg(F.max(~F.col("_whole")).alias("_mark"))
+        marked = wanted.join(F.broadcast(marks), "_bucket")
+    else:
+        marks = covered.where("NOT _whole").select("_bucket", F.lit(True).alias("_mark")).distinct()
+        if 2 * summary.windows <= BROADCAST_BUCKETS:
+            marks = F.broadcast(marks)
+        marked = wanted.join(marks, "_bucket", "left")
+    marked = marked.withColumn("_at", F.when(F.col("_mark"), F.col("ts")))
+    fine = marked.groupBy("_bucket", "_at", *by).agg(F.count(F.lit(1)).alias("_n"), F.sum(cents("price")).alias("_s"))
+
+    # Sums of a cut bucket count twice: at their timestamp and for the whole bucket.
+    whole_too = F.when(F.col("_at").isNull(), F.array("_at")).otherwise(F.array(F.lit(None), F.col("_at")))
+    levels = fine.select("_bucket", *by, "_n", "_s", F.explode(whole_too).alias("_at"))
+    sums = levels.groupBy("_bucket", "_at", *by).agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+    sums = sums.withColumns({
+        "_whole": F.col("_at").isNull(),
+        "_salt": F.when(F.col("_at").isNull(), 0).otherwise(F.pmod(F.xxhash64("_at"), F.lit(salts)).cast("int")),
+    })
+
+    one_task, all_tasks = F.array(F.lit(0)), F.sequence(F.lit(0), F.lit(salts - 1))
+    wanted_by = covered.withColumn("_salt", F.explode(F.when(F.col("_whole"), one_task).otherwise(all_tasks)))
+    inside = F.col("_whole") | F.col("_at").between(F.col("t1"), F.col("t2"))
+    pieces = sums.join(wanted_by, ["_bucket", "_whole", "_salt"]).where(inside)
+    count, total = F.sum("_n"), from_cents(F.sum("_s"))
     return pieces.groupBy("wid", *by).agg(
         count.alias("tick_count"), total.alias("price_sum"), ratio(total, count).alias("avg_price")
     )
 
 
-def _touched_days(windows: DataFrame, ticks: DataFrame) -> DataFrame:
-    """Ticks within the extent of the windows, of days that a window touches."""
-    extent = windows.agg(F.min("t1").alias("lo"), F.max("t2").alias("hi")).first()
-    if extent.lo is None:
-        return ticks.where(F.lit(False))
-    found = in_range(ticks, extent.lo, extent.hi)
-    if "dt" not in ticks.columns:
-        return found
-    days = windows.select(F.explode(F.sequence(F.to_date("t1"), F.to_date("t2"))).alias("dt")).distinct()
-    return found.where(F.col("dt").isin([row.dt for row in days.collect()]))
+def _summary(windows: DataFrame, resolution: str):
+    """One row: number, extent, touched buckets and touched days of the windows."""
+    length = F.timestamp_diff("MICROSECOND", F.col("t1"), F.col("t2"))
+    by_day = windows.select(
+        "t1", "t2", (length / resolution_micros(resolution) + 2).alias("_touched"),
+        F.posexplode(F.sequence(F.to_date("t1"), F.to_date("t2"))).alias("_i", "_day"),
+    )
+    return by_day.agg(
+        F.min("t1").alias("lo"),
+        F.max("t2").alias("hi"),
+        F.count_if(F.col("_i") == 0).alias("windows"),
+        F.sum(F.when(F.col("_i") == 0, F.col("_touched"))).alias("buckets"),
+        F.collect_set("_day").alias("days"),
+    ).first()
 
 
 def _buckets_of(windows: DataFrame, resolution: str) -> DataFrame:

@@ -69,13 +69,17 @@ def advance(spark: SparkSession, ticks: DataFrame, root: str, until: datetime |
     Minutes that end within the step are rolled up from the stored one-second
     candles. ``until`` stops earlier. Returns the new position.
     """
+    position = last_processed(spark, root)
+    if position is not None:
+        # Days before the position are not read, not even for the high water.
+        ticks = in_range(ticks, position, datetime.max.replace(microsecond=0), closed=False)
     edge = ticks.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     if edge.hi is None:
-        return last_processed(spark, root)
+        return position
     end = edge.hi.replace(microsecond=0)
     if until is not None:
         end = min(end, until.replace(microsecond=0))
-    start = last_processed(spark, root) or edge.lo.replace(microsecond=0)
+    start = position or edge.lo.replace(microsecond=0)
     if start >= end:
         return start
 

@@ -43,16 +43,35 @@ def query(name: str, layout: str, tables: Layouts, start: datetime, end: datetim
     return build(tables, start, end, symbol)
 
 
+# View name of each table, for parameterised SQL.
+VIEWS = {"raw_ticks": "raw", "raw_ticks_bucketed": "packed", "ohlcv_1s": "candles_1s", "ohlcv_1m": "candles_1m"}
+
+
+def register_views(tables: Layouts) -> None:
+    """Make the tables known to SQL under their usual names.
+
+    Queries then run as ``spark.sql(text, args={"symbol": ..., "start": ...})``,
+    with a filter on ``dt`` where day folders are to be pruned.
+    """
+    for view, attribute in VIEWS.items():
+        frame = getattr(tables, attribute)
+        if frame is not None:
+            frame.createOrReplaceTempView(view)
+
+
 def candles_at(tables: Layouts, resolution: str) -> DataFrame:
     """Candles of any resolution, rolled up from the coarsest table that fits.
 
     Stored one-minute candles serve whole minutes, stored one-second candles
-    whole seconds, and ticks everything else.
+    whole seconds. Without those, ticks go through one-second candles, whose
+    first and last tick are cheap to find.
     """
     width = resolution_micros(resolution)
     for stored, unit in ((tables.candles_1m, "1 minute"), (tables.candles_1s, "1 second")):
         if stored is not None and width % resolution_micros(unit) == 0:
             return rollup(stored, resolution)
+    if width > resolution_micros("1 second") and width % resolution_micros("1 second") == 0:
+        return rollup(ohlcv(tables.raw, "1 second"), resolution)
     return ohlcv(tables.raw, resolution)
 
 

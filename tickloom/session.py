@@ -13,12 +13,13 @@ BROADCAST_ROWS = 100_000
 
 
 def build_session(app: str = "tickloom", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the package expects (UTC, AQE, no UI)."""
+    """A session with the settings the package expects (UTC, ANSI, AQE, no UI)."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     settings = {
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.ansi.enabled": "true",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
