@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.functions.timecols import from_epoch_micros
 from tickloom.operators.buckets import pack
 from tickloom.operators.candles import ohlcv, rollup
 from tickloom.plans.layouts import Layouts
@@ -76,8 +77,8 @@ def windows_over(ticks: DataFrame, count: int, shortest: int, longest: int) -> D
     length = (F.lit(shortest) + (F.col("id") * 37) % (longest - shortest + 1)) * 1_000_000
     return spark.range(count).select(
         F.col("id").alias("wid"),
-        F.timestamp_micros(start).cast("timestamp_ntz").alias("t1"),
-        F.timestamp_micros(start + length).cast("timestamp_ntz").alias("t2"),
+        from_epoch_micros(start).alias("t1"),
+        from_epoch_micros(start + length).alias("t2"),
     )
 
 

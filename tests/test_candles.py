@@ -80,3 +80,16 @@ def test_hash_aggregate_with_partial_step(feed):
     assert "SortAggregate" not in plan
     assert "partial_min_by" in plan
     assert "SortAggregate" in plan_of(ohlcv(feed, key="struct"))
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
+def test_session_zone_does_not_matter(spark, feed, zone):
+    # In New York clocks went back at 02:00 on this day: an hour exists twice.
+    moved = feed.withColumn("ts", F.expr("ts + (TIMESTAMP_NTZ'2024-11-03 01:59:50' - TIMESTAMP_NTZ'2024-04-11 23:59:58')"))
+    jobs = [lambda: ohlcv(moved), lambda: ohlcv(moved, "1 hour"), lambda: ohlcv(moved, "1 day", "wide")]
+    wanted = [rows_of(job()) for job in jobs]
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert [rows_of(job()) for job in jobs] == wanted
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

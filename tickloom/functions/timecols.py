@@ -40,16 +40,21 @@ def ntz(value: datetime | str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+def epoch_micros(ts: str) -> Column:
+    """Microseconds of a zone-less timestamp since 1970, in any session zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
+
+
+def from_epoch_micros(micros: Column) -> Column:
+    """The zone-less timestamp that many microseconds after 1970."""
+    return F.timestamp_add("MICROSECOND", micros, ntz("1970-01-01 00:00:00"))
+
+
 def tumbling(ts: str, resolution: str) -> Column:
     """Start of the epoch-aligned bucket that holds ``ts``."""
     return F.window(ts, resolution).getField("start")
 
 
-def sub_second_micros(ts: str) -> Column:
-    """Microseconds since the start of the second; the same in every session zone."""
-    return F.expr(f"pmod(unix_micros(CAST({ts} AS TIMESTAMP)), 1000000L)")
-
-
 def first_last_key(ts: str, seq: str, resolution: str, key: str = "auto") -> Column:
     """Ordering of ticks inside one bucket: by time, then by arrival number.
 
@@ -71,10 +76,8 @@ def first_last_key(ts: str, seq: str, resolution: str, key: str = "auto") -> Col
             f"ELSE raise_error('{seq} does not fit 43 bits: use the wide key') END"
         )
     if key == "wide":
-        return F.expr(
-            f"CAST(unix_micros(CAST({ts} AS TIMESTAMP)) AS DECIMAL(38,0)) "
-            f"* CAST('10000000000000000000' AS DECIMAL(20,0)) + {seq}"
-        )
+        shift = F.lit("1E19").cast("decimal(20,0)")
+        return epoch_micros(ts).cast("decimal(38,0)") * shift + F.col(seq)
     if key == "struct":
         return F.struct(ts, seq)
     raise ValueError(f"unknown key {key!r}")

@@ -1,8 +1,8 @@
 """Streaming candles, minute rollup and packing.
 
-Watermarks need a zoned timestamp, so ticks get an ``event_time`` inside the
-stream (the session runs in UTC) and results turn back to zone-less times in
-the sink. Late ticks, older than the watermark, are dropped; windows come out
+Watermarks need a zoned timestamp, so ticks get an ``event_time``, their time
+taken as UTC whatever the session zone, and results turn back to zone-less
+times in the sink. Late ticks, older than the watermark, are dropped; windows come out
 once, when the watermark has passed their end.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickloom import schemas
-from tickloom.functions.timecols import first_last_key
+from tickloom.functions.timecols import epoch_micros, first_last_key, from_epoch_micros
 from tickloom.operators.buckets import ARRAYS, PART_SIZE
 from tickloom.operators.keyed import append_by_key
 
@@ -27,7 +27,7 @@ def stream_ticks(spark: SparkSession, path: str, files_per_trigger: int | None =
 
 
 def _watermarked(ticks: DataFrame, delay: str) -> DataFrame:
-    return ticks.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", delay)
+    return ticks.withColumn("event_time", F.timestamp_micros(epoch_micros("ts"))).withWatermark("event_time", delay)
 
 
 def candles(ticks: DataFrame, delay: str = "0 seconds", resolution: str = "1 second") -> DataFrame:
@@ -75,7 +75,7 @@ def packed(ticks: DataFrame, delay: str = "0 seconds", part_size: int = PART_SIZ
 
 
 def _window_start(alias: str) -> Column:
-    return F.col("w.start").cast("timestamp_ntz").alias(alias)
+    return from_epoch_micros(F.unix_micros("w.start")).alias(alias)
 
 
 def run_candles(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
