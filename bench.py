@@ -16,8 +16,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F
 
-from catalog.inputs import layouts_of, minutes_of, period_of, ticks_of, windows_over
-from catalog.queries import QUERIES
+from tickloom.catalog.inputs import layouts_of, minutes_of, period_of, ticks_of, windows_over
+from tickloom.catalog.queries import QUERIES
 from tickloom.operators import buckets, candles, ranges, stats
 from tickloom.operators.kpis import kpis
 from tickloom.operators.moving import sma
@@ -29,7 +29,7 @@ from tickloom.sources import listing, tables, text
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "5"))
 
 SYMBOL = "AAPL"
 
@@ -136,7 +136,7 @@ def main() -> None:
 
     medians = {}
     for name, job in {**headline, **compared}.items():
-        job()
+        job(), job()
         seconds = []
         for _ in range(RUNS):
             begun = time.perf_counter()

@@ -86,6 +86,18 @@ def test_progress_merge_takes_the_last_write(spark):
     assert merged == {"1s": START, "1m": START}
 
 
+def test_progress_versions(spark, tmp_path):
+    root = str(tmp_path / "store")
+    for i in range(14):
+        incremental.set_progress(spark, root, START + timedelta(seconds=i))
+    incremental.set_progress(spark, root, START, interval="1m")
+    versions = tables.complete_versions(spark, f"{root}/progress")
+    assert versions == list(range(5, 15))
+    (tmp_path / "store" / "progress" / "version=14" / "_SUCCESS").unlink()
+    rows = {row.aggregation_interval: row.last_processed_ts for row in incremental.read_progress(spark, root).collect()}
+    assert rows == {"1s": START + timedelta(seconds=13)}
+
+
 def arrivals(spark, parts, folder):
     for part in parts:
         part.coalesce(1).write.mode("append").parquet(folder)

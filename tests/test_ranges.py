@@ -127,3 +127,9 @@ def test_sql_over_views(spark, feed):
     assert found.n == wanted.count()
     assert abs(float(found.vwap) - stats.vwap(wanted, "AAPL").first().vwap) < 1e-6
     assert spark.sql("SELECT COUNT(*) AS n FROM ohlcv_1s").first().n == ohlcv(feed).count()
+
+
+def test_double_prices_count_as_cents(feed):
+    doubles = feed.withColumn("price", F.col("price").cast("double"))
+    assert rows_of(stats.mean_price(doubles)) == rows_of(stats.mean_price(feed))
+    assert rows_of(stats.vwap(doubles)) == rows_of(stats.vwap(feed))

@@ -10,7 +10,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.inputs import (
+from tickloom.catalog.inputs import (
     bucket_text, data_extent, layouts_of, metrics_of, midpoint_of, minutes_of, period_of, report,
     sparse_of, stream_of, stream_of_parts, ticks_of, windows_over,
 )

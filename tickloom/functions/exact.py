@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 
 def cents(price: str, scale: int = 2) -> Column:
-    """A decimal with ``scale`` digits as a whole number of its last digit."""
-    return F.expr(f"CAST({price} * {10 ** scale} AS BIGINT)")
+    """A DECIMAL(10, scale) as a whole number of its last digit.
+
+    Other types are rounded to that one first.
+    """
+    return F.expr(f"CAST(CAST({price} AS DECIMAL(10,{scale})) * {10 ** scale} AS BIGINT)")
 
 
 def float_cents(price: str) -> Column:

@@ -1,9 +1,9 @@
 """Batch-incremental candles with a progress table.
 
 The store is a folder: ``ohlcv_1s`` and ``ohlcv_1m`` candles and ``progress``,
-a log with one row per step. Candles are written before progress, so a crash
-in between leads to a replay, and a replay appends nothing (first write wins).
-One writer at a time.
+a small table that is written anew, as another version, at every step. Candles
+are written before progress, so a crash in between leads to a replay, and a
+replay appends nothing (first write wins). One writer at a time.
 """
 
 from datetime import datetime
@@ -14,20 +14,20 @@ from pyspark.sql import functions as F
 from tickloom import schemas
 from tickloom.functions.timecols import ntz
 from tickloom.operators.candles import ohlcv, rollup
-from tickloom.operators.keyed import append_candles, newest_per_key, upsert
+from tickloom.operators.keyed import append_candles, upsert
 from tickloom.operators.ranges import in_range
-from tickloom.sources.tables import scan_candles, table_exists, write_by_day
+from tickloom.sources.tables import complete_versions, remove_paths, scan_candles, table_exists, write_by_day
 
-LOG = "aggregation_interval STRING, last_processed_ts TIMESTAMP_NTZ, updated_at TIMESTAMP, step BIGINT"
+# Older versions of the progress table are removed.
+KEEP_VERSIONS = 10
 
 
 def read_progress(spark: SparkSession, root: str) -> DataFrame:
-    """The progress table: one row per interval, from its newest log row."""
-    columns = [field.name for field in schemas.PROGRESS]
-    if not table_exists(spark, f"{root}/progress"):
+    """The progress table, one row per interval: its newest complete version."""
+    versions = complete_versions(spark, f"{root}/progress")
+    if not versions:
         return spark.createDataFrame([], schemas.PROGRESS)
-    log = spark.read.schema(LOG).parquet(f"{root}/progress")
-    return newest_per_key(log, ["aggregation_interval"], ["step"]).select(*columns)
+    return spark.read.schema(schemas.PROGRESS).parquet(f"{root}/progress/version={versions[-1]}")
 
 
 def last_processed(spark: SparkSession, root: str, interval: str = "1s") -> datetime | None:
@@ -37,18 +37,19 @@ def last_processed(spark: SparkSession, root: str, interval: str = "1s") -> date
 
 
 def set_progress(spark: SparkSession, root: str, position: datetime, interval: str = "1s") -> None:
-    """Record a position; the newest record counts, even if it lies further back."""
+    """Record a position; the last record counts, even if it lies further back."""
     path = f"{root}/progress"
-    step = 0
-    if table_exists(spark, path):
-        step = spark.read.schema(LOG).parquet(path).agg(F.max("step")).first()[0] + 1
+    versions = complete_versions(spark, path)
     row = spark.range(1).select(
         F.lit(interval).alias("aggregation_interval"),
         ntz(position).alias("last_processed_ts"),
         F.current_timestamp().alias("updated_at"),
-        F.lit(step).cast("bigint").alias("step"),
     )
-    row.write.mode("append").parquet(path)
+    merged = merge_progress(read_progress(spark, root), row)
+    # A version that a crash left incomplete is written over.
+    version = versions[-1] + 1 if versions else 0
+    merged.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
+    remove_paths(spark, [f"{path}/version={old}" for old in versions[:1 - KEEP_VERSIONS]])
 
 
 def rewind(spark: SparkSession, root: str, position: datetime) -> None:

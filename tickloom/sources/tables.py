@@ -78,7 +78,33 @@ def scan_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.createDataFrame([], _with_day(schema))
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     """Whether anything has been written to ``path``."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+    files, hadoop_path = _file_system(spark, path)
+    return files.exists(hadoop_path)
+
+
+def complete_versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the ``version=N`` folders below ``path`` whose write finished, rising."""
+    files, hadoop_path = _file_system(spark, path)
+    if not files.exists(hadoop_path):
+        return []
+    marker = spark._jvm.org.apache.hadoop.fs.Path
+    found = []
+    for status in files.listStatus(hadoop_path):
+        name = status.getPath().getName()
+        if name.startswith("version=") and files.exists(marker(status.getPath(), "_SUCCESS")):
+            found.append(int(name.removeprefix("version=")))
+    return sorted(found)
+
+
+def remove_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that the package wrote itself."""
+    for path in paths:
+        files, hadoop_path = _file_system(spark, path)
+        files.delete(hadoop_path, True)
