@@ -6,7 +6,7 @@ from conftest import START, plan_of, rows_of
 from pyspark.sql import functions as F
 
 from tickloom import schemas
-from tickloom.operators import keyed
+from tickloom.operators import keyed, range_join
 from tickloom.operators.range_join import window_counts, window_stats
 from tickloom.sources import tables
 
@@ -53,6 +53,12 @@ def test_means_per_symbol_match_a_plain_join(spark, feed, windows, broadcast):
     assert got == rows_of(plain.groupBy("wid", "symbol").agg(F.count("ts"), F.sum("price")))
 
 
+def test_many_windows_need_no_marks(feed, windows, monkeypatch):
+    wanted = rows_of(window_stats(windows, feed, by=["symbol"]))
+    monkeypatch.setattr(range_join, "BROADCAST_BUCKETS", 3)
+    assert rows_of(window_stats(windows, feed, by=["symbol"])) == wanted
+
+
 def test_only_touched_days_are_read(spark, feed, windows, tmp_path):
     tables.write_ticks(feed, str(tmp_path / "t"))
     stored = tables.scan_ticks(spark, str(tmp_path / "t"))
@@ -112,3 +118,12 @@ def test_append_candles_twice_adds_nothing(spark, tmp_path):
     assert stored.count() == 5
     assert sorted(row.volume for row in stored.collect())[-1] == 99
     assert stored.where("volume = 99").count() == 2
+
+
+def test_append_after_a_failed_first_write(spark, tmp_path):
+    path = tmp_path / "c"
+    (path / "_temporary" / "0").mkdir(parents=True)
+    price = Decimal("1.00")
+    candles = spark.createDataFrame([(START, "AAPL", price, price, price, price, 1, 1)], schemas.CANDLES)
+    keyed.append_candles(spark, candles, str(path), (START, START))
+    assert spark.read.parquet(str(path)).count() == 1

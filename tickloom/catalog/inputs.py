@@ -11,7 +11,6 @@ from tickloom.operators.buckets import pack
 from tickloom.operators.candles import ohlcv, rollup
 from tickloom.plans.layouts import Layouts
 from tickloom.sources import event_feed
-from tickloom.streaming.jobs import stream_ticks
 
 EPOCH = datetime(1970, 1, 1)
 GRID = timedelta(seconds=3)  # feed ticks fall on every third full second
@@ -91,14 +90,6 @@ def stream_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_feed.dense_ticks(events)
 
 
-def stream_of_parts(spark: SparkSession, parts: list[DataFrame], folder: str) -> DataFrame:
-    """A stream that delivers the given frames one after another."""
-    for part in parts:
-        # One file per part keeps a part in one micro-batch.
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return stream_ticks(spark, folder, files_per_trigger=1)
-
-
 def report(df: DataFrame) -> DataFrame:
     """Types that compare the same everywhere: decimals as DOUBLE, dates as text."""
     columns = []

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tickloom.catalog.inputs import (
     bucket_text, data_extent, layouts_of, metrics_of, midpoint_of, minutes_of, period_of, report,
-    sparse_of, stream_of, stream_of_parts, ticks_of, windows_over,
+    sparse_of, stream_of, ticks_of, windows_over,
 )
 from tickloom import schemas
 from tickloom.functions.timecols import ntz, tumbling
@@ -550,5 +550,10 @@ def stream_late_drop(spark, sf_dir):
         ticks.where(F.col("ts") >= third[1]),
         ticks.where(late),
     ]
-    stream = stream_of_parts(spark, parts, shared_dir(spark, "arrivals"))
-    return _streamed(spark, jobs.candles(stream))
+    # Each part is all the input of one run, which goes on from the checkpoint of the last.
+    root = shared_dir(spark, "stream")
+    for part in parts:
+        part.write.mode("append").parquet(f"{root}/arrivals")
+        stream = jobs.candles(jobs.stream_ticks(spark, f"{root}/arrivals"))
+        jobs.run_candles(stream, f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    return tables.scan_or_empty(spark, f"{root}/table", schemas.CANDLES).drop("dt")

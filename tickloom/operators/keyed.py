@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.ranges import in_range
 from tickloom.session import broadcast_if_small
-from tickloom.sources.tables import table_exists, write_by_day
+from tickloom.sources.tables import table_exists, with_day, write_by_day
 
 
 def not_null(df: DataFrame, columns: list[str]) -> Column:
@@ -83,6 +83,7 @@ def append_by_key(spark: SparkSession, rows: DataFrame, path: str, time: str, ke
                   period: tuple[datetime, datetime], codec: str = "zstd") -> None:
     """Append the rows whose key is absent, in day partitions of ``time``."""
     if table_exists(spark, path):
-        stored = in_range(spark.read.parquet(path), *period, time=time)
+        # With a schema, a folder that a failed first write left empty reads as no rows.
+        stored = in_range(spark.read.schema(with_day(rows.schema)).parquet(path), *period, time=time)
         rows = insert_if_absent(rows, stored, keys)
     write_by_day(rows, path, time, ["symbol", time], codec=codec, increment=True)

@@ -28,7 +28,7 @@ def window_stats(windows: DataFrame, ticks: DataFrame, by: list[str] | None = No
     Windows without ticks have no rows. Runs a job over the windows, for their
     extent and length and for the days to read. Unless the windows touch too
     many buckets to broadcast those, ticks outside all windows are left out
-    first.
+    first; beyond that every timestamp is summed up by itself.
     """
     by = by or []
     summary = _summary(windows, resolution)
@@ -45,10 +45,8 @@ def window_stats(windows: DataFrame, ticks: DataFrame, by: list[str] | None = No
         marks = covered.groupBy("_bucket").agg(F.max(~F.col("_whole")).alias("_mark"))
         marked = wanted.join(F.broadcast(marks), "_bucket")
     else:
-        marks = covered.where("NOT _whole").select("_bucket", F.lit(True).alias("_mark")).distinct()
-        if 2 * summary.windows <= BROADCAST_BUCKETS:
-            marks = F.broadcast(marks)
-        marked = wanted.join(marks, "_bucket", "left")
+        # So many windows cut about every bucket: keep all timestamps apart.
+        marked = wanted.withColumn("_mark", F.lit(True))
     marked = marked.withColumn("_at", F.when(F.col("_mark"), F.col("ts")))
     fine = marked.groupBy("_bucket", "_at", *by).agg(F.count(F.lit(1)).alias("_n"), F.sum(cents("price")).alias("_s"))
 

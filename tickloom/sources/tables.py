@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from tickloom import schemas
 
 
-def _with_day(schema: T.StructType) -> T.StructType:
+def with_day(schema: T.StructType) -> T.StructType:
+    """The schema with the day partition at its end."""
     return T.StructType([*schema.fields, T.StructField("dt", T.DateType())])
 
 
@@ -58,24 +59,24 @@ def write_candles(candles: DataFrame, path: str, **options) -> None:
 
 
 def scan_ticks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_with_day(schemas.TICKS)).parquet(path)
+    return spark.read.schema(with_day(schemas.TICKS)).parquet(path)
 
 
 def scan_buckets(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_with_day(schemas.BUCKETS)).parquet(path)
+    return spark.read.schema(with_day(schemas.BUCKETS)).parquet(path)
 
 
 def scan_candles(spark: SparkSession, root: str, resolution: str) -> DataFrame:
     """The candle table of a resolution, e.g. ``ohlcv_1m`` for ``1 minute``."""
     path = f"{root}/{schemas.CANDLE_TABLES[resolution]}"
-    return spark.read.schema(_with_day(schemas.CANDLES)).parquet(path)
+    return spark.read.schema(with_day(schemas.CANDLES)).parquet(path)
 
 
 def scan_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A table that a job may not have written to yet."""
     if table_exists(spark, path):
-        return spark.read.schema(_with_day(schema)).parquet(path)
-    return spark.createDataFrame([], _with_day(schema))
+        return spark.read.schema(with_day(schema)).parquet(path)
+    return spark.createDataFrame([], with_day(schema))
 
 
 def _file_system(spark: SparkSession, path: str):
