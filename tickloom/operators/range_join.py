@@ -31,6 +31,15 @@ def window_stats(windows: DataFrame, ticks: DataFrame, by: list[str] | None = No
     first; beyond that every timestamp is summed up by itself.
     """
     by = by or []
+    pieces = _pieces(windows, ticks, by, resolution, salts)
+    count, total = F.sum("_n"), from_cents(F.sum("_s"))
+    return pieces.groupBy("wid", *by).agg(
+        count.alias("tick_count"), total.alias("price_sum"), ratio(total, count).alias("avg_price")
+    )
+
+
+def _pieces(windows: DataFrame, ticks: DataFrame, by: list[str], resolution: str, salts: int) -> DataFrame:
+    """Counts and sums of the parts that each window is made of."""
     summary = _summary(windows, resolution)
     if not summary.windows:
         wanted = ticks.where(F.lit(False))
@@ -63,10 +72,7 @@ def window_stats(windows: DataFrame, ticks: DataFrame, by: list[str] | None = No
     wanted_by = covered.withColumn("_salt", F.explode(F.when(F.col("_whole"), one_task).otherwise(all_tasks)))
     inside = F.col("_whole") | F.col("_at").between(F.col("t1"), F.col("t2"))
     pieces = sums.join(wanted_by, ["_bucket", "_whole", "_salt"]).where(inside)
-    count, total = F.sum("_n"), from_cents(F.sum("_s"))
-    return pieces.groupBy("wid", *by).agg(
-        count.alias("tick_count"), total.alias("price_sum"), ratio(total, count).alias("avg_price")
-    )
+    return pieces.select("wid", "t1", "t2", *by, "_n", "_s")
 
 
 def _summary(windows: DataFrame, resolution: str):
@@ -95,8 +101,8 @@ def _buckets_of(windows: DataFrame, resolution: str) -> DataFrame:
     return touched.select("wid", "t1", "t2", "_bucket", whole.alias("_whole"))
 
 
-def window_counts(windows: DataFrame, ticks: DataFrame, resolution: str = "1 second") -> DataFrame:
+def window_counts(windows: DataFrame, ticks: DataFrame, resolution: str = "1 second", salts: int = 8) -> DataFrame:
     """Tick count of every window, zero included."""
-    found = window_stats(windows, ticks, resolution=resolution).select("wid", "tick_count")
-    counted = windows.join(found, "wid", "left")
-    return counted.select("wid", "t1", "t2", F.coalesce("tick_count", F.lit(0)).cast("bigint").alias("tick_count"))
+    found = _pieces(windows, ticks, [], resolution, salts).select("wid", "t1", "t2", "_n")
+    none = windows.select("wid", "t1", "t2", F.lit(0).cast("bigint").alias("_n"))
+    return found.unionByName(none).groupBy("wid", "t1", "t2").agg(F.sum("_n").alias("tick_count"))
