@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, mixing, phrases, rules, warc
+from tickloom.llm import additive, chat, context_mixing, languages, mixing, overlap_join, phrases, rules, token_files, warc
 from tickloom.llm.common import table
 from tickloom.llm.sql import ORACLES
 
@@ -55,3 +55,34 @@ def op4_quality_rules(spark, sf_dir):
 def op6_mix_sources(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+@register
+def op5_language_mixture(spark, sf_dir):
+    return languages.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+@register
+def op7_token_ids(spark, sf_dir):
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register
+def op8_quality_classifier(spark, sf_dir):
+    found = additive.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@register
+def op9_jaccard_join(spark, sf_dir):
+    found = overlap_join.join_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+@register
+def op10_context_mixing(spark, sf_dir):
+    found = context_mixing.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
