@@ -14,8 +14,8 @@ its own key with its source's cut, so texts are never shuffled.
 
 Defined cases: null or empty text has size 0 and is never taken. Null sources
 are one source, the last. A null id draws the key of the seed alone. Rows that
-repeat an id share a key and are taken one by one in the order (id, size, row
-number). No rows give no rows.
+repeat an id share a key and are taken one by one by size and text hash; of
+equal rows, as many as fit. No rows give no rows.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -70,7 +70,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
         "row",
         F.coalesce(F.concat(F.lit("s"), F.col("row.source")), F.lit("z")).alias("src"),
         F.col("row.doc_id").alias("id"),
-        F.monotonically_increasing_id().alias("nr"),
+        F.xxhash64("row.text").alias("h"),
         count_of(F.col("row.text"), WORD).alias("size"),
         quality(F.col("row.text")).alias("quality"),
     ).withColumn("key", exponential_key(F.col("id"), F.col("quality"), seed))
@@ -91,19 +91,32 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     edges = edges.groupBy("src").agg(F.max("bin").alias("cut_bin"), F.max_by("before", "bin").alias("before"))
     edges = materialize(edges, "mix-edges")
 
-    order = ["key", "id", "size", "nr"]
+    # the cut: the last row that fits, which of its equals it is, and how many those are
+    order = ["key", "id", "size", "h"]
     inside = binned.join(edges, "src").where(F.col("bin") == F.col("cut_bin"))
-    filled = F.sum("size").over(Window.partitionBy("src").orderBy(*order)) + F.col("before") - F.col("size") / 2
-    cut = inside.withColumn("filled", filled).where(F.col("filled") <= F.col("rest"))
-    cut = cut.groupBy("src").agg(F.max(F.struct(*order)).alias("cut"))
-    plan = plan.join(edges.select("src", "cut_bin"), "src", "left").join(cut, "src", "left")
-    plan = materialize(plan, "mix-plan")
+    in_order = Window.partitionBy("src").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    equals = Window.partitionBy("src", *order)
+    filled = F.sum("size").over(in_order) + F.col("before") - F.col("size") / 2
+    ranked = inside.withColumn("filled", filled).withColumn("place", F.count(F.lit(1)).over(in_order))
+    ranked = ranked.withColumn("equals", F.count(F.lit(1)).over(equals)).withColumn("first", F.min("place").over(equals))
+    cut = ranked.where(F.col("filled") <= F.col("rest")).groupBy("src").agg(
+        F.max(F.struct(*order)).alias("cut"), F.max_by(F.struct("place", "equals", "first"), "place").alias("at"))
+    cut = cut.select("src", "cut", (F.col("at.place") - F.col("at.first") + 1).alias("take"), F.col("at.equals").alias("equals"))
+    plan = materialize(plan.join(edges.select("src", "cut_bin"), "src", "left").join(cut, "src", "left"), "mix-plan")
 
     out = keyed.join(plan, "src").withColumn("bin", bin_of)
-    picked = (F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (F.struct(*order) <= F.col("cut")))
-    copies = F.when(F.col("size") > 0, F.col("epochs") + F.when(F.coalesce(picked, F.lit(False)), 1).otherwise(0)).otherwise(0)
+    split = F.coalesce((F.col("equals") > F.col("take")) & (F.struct(*order) == F.col("cut")), F.lit(False))
+    inner = (F.col("bin") == F.col("cut_bin")) & (F.struct(*order) <= F.col("cut"))
+    picked = F.coalesce((F.col("bin") < F.col("cut_bin")) | inner, F.lit(False))
+    if plan.where("equals > take").isEmpty():
+        decided = out.withColumn("picked", picked)
+    else:  # equal rows at a cut: any of them, as many as fit
+        some = Window.partitionBy("src").orderBy("key")
+        few = out.where(split).withColumn("picked", F.row_number().over(some) <= F.col("take"))
+        decided = out.where(~split).withColumn("picked", picked).unionByName(few)
+    copies = F.when(F.col("size") > 0, F.col("epochs") + F.col("picked").cast("int")).otherwise(0)
     copies = F.least(copies, F.lit(most)).cast("long")
-    return out.select(
+    return decided.select(
         "row", "size", F.col("total").alias("source_size"), "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"),
     )
 
