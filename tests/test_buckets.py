@@ -1,10 +1,11 @@
 from datetime import timedelta
 
-from conftest import START, rows_of
+from conftest import START, plan_of, rows_of
 from pyspark.sql import functions as F
 
 from tickloom.operators import buckets, stats
 from tickloom.operators.candles import ohlcv
+from tickloom.sources import tables
 
 TICK = ["seq", "ts", "symbol", "price", "volume"]
 CANDLE = ["ts_bucket", "symbol", "open_price", "high_price", "low_price", "close_price", "volume", "tick_count"]
@@ -41,7 +42,7 @@ def test_rows_of_a_bucket_are_read_together(feed):
     assert rows_of(buckets.ohlcv_from_buckets(cut).select(*CANDLE)) == rows_of(ohlcv(feed).select(*CANDLE))
     volumes = [rows_of(buckets.bucket_volume(df, ["symbol"]).drop("bucket_count")) for df in (cut, whole)]
     assert volumes[0] == volumes[1] == rows_of(stats.volume(feed))
-    assert buckets.bucket_volume(cut, []).first().bucket_count == cut.count()
+    assert buckets.bucket_volume(cut, []).first().bucket_count == whole.count()
     assert rows_of(buckets.bucket_vwap(cut, ["symbol"])) == rows_of(stats.vwap(feed))
 
 
@@ -51,6 +52,32 @@ def test_merge_combines_pieces_and_keeps_rows_bounded(feed):
     assert rows_of(buckets.merge_buckets(pieces, part_size=7)) == rows_of(buckets.pack(feed, part_size=7))
 
 
+def test_a_bucket_appended_twice_changes_nothing(feed):
+    packed = buckets.pack(feed)
+    twice = packed.unionByName(packed.where("symbol = 'AAPL'"))
+    assert rows_of(buckets.merge_buckets(twice)) == rows_of(packed)
+
+
+def test_numbers_may_start_anywhere(feed):
+    columns = ["bucket_ts", "symbol", "part", "prices", "volumes", "offsets_ms", "tick_count", "volume_sum", "notional_cents"]
+    for part_size in (buckets.PART_SIZE, 5):
+        wanted = rows_of(buckets.pack(feed, part_size=part_size).select(*columns))
+        for shift in (1, 262_140, 262_144 * 7 - 3, 1 << 50):
+            moved = buckets.pack(feed.withColumn("seq", F.col("seq") + shift), part_size=part_size)
+            assert rows_of(moved.select(*columns)) == wanted
+            assert buckets.bucket_volume(moved, []).first().bucket_count == ohlcv(feed).count()
+
+
+def test_sums_need_no_arrays(spark, feed, tmp_path):
+    path = str(tmp_path / "b")
+    tables.write_buckets(buckets.pack(feed), path)
+    stored = tables.scan_buckets(spark, path)
+    for found in (buckets.bucket_volume(stored, ["symbol"]), buckets.bucket_vwap(stored, []), buckets.ohlcv_from_buckets(stored),
+                  buckets.bucket_volume_by(stored, "1 minute", [])):
+        scans = [line.split("ReadSchema: ")[1] for line in plan_of(found).split("\n") if "ReadSchema" in line]
+        assert scans and not any("array" in line for line in scans)
+
+
 def test_candles_of_pieces_equal_candles_of_ticks(feed):
     pieces = buckets.pack(feed.where("seq % 3 = 0")).unionByName(buckets.pack(feed.where("seq % 3 > 0")))
     assert rows_of(buckets.ohlcv_from_buckets(pieces).select(*CANDLE)) == rows_of(ohlcv(feed).select(*CANDLE))

@@ -7,7 +7,7 @@ from conftest import START, rows_of
 from pyspark.sql import functions as F
 
 from tickloom import schemas
-from tickloom.operators.buckets import pack
+from tickloom.operators.buckets import merge_buckets, pack
 from tickloom.operators.candles import ohlcv, rollup
 from tickloom.plans import incremental
 from tickloom.sources import tables, text
@@ -130,13 +130,41 @@ def test_stream_hierarchy(spark, feed, tmp_path):
     assert rows_of(found.select(*CANDLE)) == rows_of(closed.select(*CANDLE))
 
 
-def test_stream_pack(spark, feed, tmp_path):
-    stream = arrivals(spark, thirds(feed), str(tmp_path / "in"))
-    _, found = run(spark, jobs.run_packed, jobs.packed(stream, part_size=7), tmp_path)
-    last = feed.agg(F.max("ts")).first()[0].replace(microsecond=0)
-    wanted = pack(feed, part_size=7).where(F.col("bucket_ts") < F.lit(str(last)).cast("timestamp_ntz"))
+def test_stream_pack_and_compaction(spark, feed, tmp_path):
+    parts = [feed.where(F.col("seq") % 3 == i) for i in range(3)]
+    stream = arrivals(spark, parts, str(tmp_path / "in"))
+    _, found = run(spark, jobs.run_packed, stream, tmp_path)
     columns = [field.name for field in schemas.BUCKETS]
-    assert rows_of(found.select(*columns)) == rows_of(wanted.select(*columns))
+    wanted = rows_of(pack(feed).select(*columns))
+    assert found.count() > len(wanted)
+    assert rows_of(merge_buckets(found.select(*columns)).select(*columns)) == wanted
+    for day in ("2024-04-11", "2024-04-12"):
+        jobs.compact_packed(spark, str(tmp_path / "out"), day)
+    assert rows_of(tables.scan_buckets(spark, str(tmp_path / "out")).select(*columns)) == wanted
+
+
+def test_replayed_packed_batches_are_written_once(spark, feed, tmp_path):
+    stream = arrivals(spark, thirds(feed), str(tmp_path / "in"))
+    run(spark, jobs.run_packed, stream, tmp_path)
+    # the last batch was written but not committed: it comes again
+    for name in ("2", ".2.crc"):
+        (tmp_path / "out-checkpoint" / "commits" / name).unlink(missing_ok=True)
+    _, found = run(spark, jobs.run_packed, jobs.stream_ticks(spark, str(tmp_path / "in"), 1), tmp_path)
+    assert found.agg(F.sum("tick_count")).first()[0] == feed.count()
+
+
+def test_only_the_first_batch_is_compared(spark, feed, tmp_path, monkeypatch):
+    compared = []
+    real = jobs.append_by_key
+    monkeypatch.setattr(jobs, "append_by_key", lambda *args: (compared.append(1), real(*args)))
+    stream = arrivals(spark, thirds(feed), str(tmp_path / "in"))
+    _, found = run(spark, jobs.run_candles, jobs.candles(stream), tmp_path)
+    assert rows_of(found.select(*CANDLE)) == finished(feed) and len(compared) <= 1
+    files = found.inputFiles()
+    for day in ("2024-04-11", "2024-04-12"):
+        jobs.compact_candles(spark, str(tmp_path / "out"), day)
+    after = spark.read.parquet(str(tmp_path / "out"))
+    assert rows_of(after.select(*CANDLE)) == finished(feed) and len(after.inputFiles()) <= len(files)
 
 
 def test_late_ticks_are_dropped_and_counted(spark, feed, tmp_path):
@@ -159,12 +187,15 @@ def test_delay_keeps_late_ticks(spark, feed, tmp_path):
     assert rows_of(found.select(*CANDLE)) == rows_of(closed.select(*CANDLE))
 
 
-def test_replaying_a_stream_into_the_same_table(spark, feed, tmp_path):
+def test_an_uncommitted_batch_is_written_once(spark, feed, tmp_path):
     stream = arrivals(spark, thirds(feed), str(tmp_path / "in"))
     run(spark, jobs.run_candles, jobs.candles(stream), tmp_path)
-    query = jobs.run_candles(jobs.candles(stream), str(tmp_path / "out"), str(tmp_path / "other-checkpoint"))
-    query.awaitTermination()
-    assert rows_of(spark.read.parquet(str(tmp_path / "out")).select(*CANDLE)) == finished(feed)
+    commits = tmp_path / "out-checkpoint" / "commits"
+    last = max(int(p.name) for p in commits.iterdir() if p.name.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        (commits / name).unlink(missing_ok=True)
+    _, found = run(spark, jobs.run_candles, jobs.candles(jobs.stream_ticks(spark, str(tmp_path / "in"), 1)), tmp_path)
+    assert rows_of(found.select(*CANDLE)) == finished(feed)
 
 
 def test_tsv_round_trip_and_numbering(spark, feed, tmp_path):
@@ -176,6 +207,47 @@ def test_tsv_round_trip_and_numbering(spark, feed, tmp_path):
     assert rows_of(ohlcv(loaded)) == rows_of(ohlcv(feed))
 
 
+def test_numbers_follow_the_lines_however_files_are_split(spark, feed, tmp_path):
+    path, lines = tmp_path / "tsv", [f"{r.symbol}\t{r.price}\t{r.volume}\t{r.ts}" for r in feed.orderBy("seq").collect()] * 6
+    path.mkdir()
+    for i in range(6):
+        (path / f"part-{i}.tsv").write_text("".join(f"{line}\n" for line in lines[i * 400:(i + 1) * 400]))
+    wanted = rows_of(ohlcv(spark.createDataFrame(
+        [(i, *r[1:]) for i, r in enumerate(feed.orderBy("seq").collect() * 6)], schemas.TICKS)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        loaded = text.load_tsv(spark, str(path))
+        assert text.load_tsv(spark, str(path), number=False).rdd.getNumPartitions() > 1024
+        tables.write_ticks(loaded, str(tmp_path / "ticks"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    ticks = tables.scan_ticks(spark, str(tmp_path / "ticks"))
+    in_order = [f"{r.symbol}\t{r.price}\t{r.volume}\t{r.ts}" for r in ticks.orderBy("seq").collect()]
+    assert in_order == lines and sorted(r.seq for r in ticks.select("seq").collect()) == list(range(2400))
+    assert rows_of(ohlcv(ticks)) == wanted and rows_of(ohlcv(ticks, key="long")) == wanted
+    incremental.advance(spark, ticks, str(tmp_path / "store"))
+    assert tables.scan_candles(spark, str(tmp_path / "store"), "1 second").count() == len({w[:2] for w in wanted}) - len(
+        {w[:2] for w in wanted if w[0] == max(w[0] for w in wanted)})
+
+
+def test_clock_times(spark):
+    rows = spark.createDataFrame([("09:30",), (" 23:59:58 ",), ("soon",), (None,), ("25:00",)], "said STRING")
+    found = [r.t for r in rows.select(text.clock_time("said", "08:15").alias("t")).collect()]
+    assert found == [34200, 86398, 29700, 29700, 29700]
+
+
+def test_rebuild_drops_days_without_ticks(spark, feed, tmp_path):
+    root = str(tmp_path / "store")
+    incremental.advance(spark, feed, root)
+    left = feed.where(F.to_date("ts") > F.lit(START.date()))
+    incremental.rebuild(spark, left, root, START, START + timedelta(days=1))
+    days = {row.dt for row in tables.scan_candles(spark, root, "1 second").select("dt").distinct().collect()}
+    assert days == {START.date() + timedelta(days=1)}
+    assert all(row.dt in days for row in tables.scan_or_empty(spark, f"{root}/ohlcv_1m", schemas.CANDLES).select("dt").distinct().collect())
+
+
 def test_bad_line_fails(spark, tmp_path):
     path = tmp_path / "bad.tsv"
     path.write_text("AAPL\tnot a price\t1\t2024-04-11 23:58:00\n")

@@ -6,7 +6,7 @@ from conftest import START, plan_of, rows_of
 from pyspark.sql import functions as F
 
 from tickloom import schemas
-from tickloom.operators import keyed, range_join
+from tickloom.operators import keyed
 from tickloom.operators.range_join import window_counts, window_stats
 from tickloom.sources import tables
 
@@ -53,10 +53,30 @@ def test_means_per_symbol_match_a_plain_join(spark, feed, windows, broadcast):
     assert got == rows_of(plain.groupBy("wid", "symbol").agg(F.count("ts"), F.sum("price")))
 
 
-def test_many_windows_need_no_marks(feed, windows, monkeypatch):
-    wanted = rows_of(window_stats(windows, feed, by=["symbol"]))
-    monkeypatch.setattr(range_join, "BROADCAST_BUCKETS", 3)
-    assert rows_of(window_stats(windows, feed, by=["symbol"])) == wanted
+def test_many_windows(spark, feed):
+    start = F.timestamp_add("MILLISECOND", (F.col("wid") * 7919) % 30_000 - 3000, F.lit(str(START)).cast("timestamp_ntz"))
+    many = spark.range(20_000).withColumnRenamed("id", "wid").withColumn("t1", start)
+    many = many.withColumn("t2", F.timestamp_add("MILLISECOND", (F.col("wid") * 104_729) % 20_000 - 2000, F.col("t1")))
+    found = window_counts(many, feed, chunk="5 seconds")
+    assert "sequence(" not in plan_of(found)
+    plain = many.join(feed, F.col("ts").between(F.col("t1"), F.col("t2")), "left").groupBy("wid").agg(F.count("ts"))
+    assert rows_of(found.select("wid", "tick_count")) == rows_of(plain)
+
+
+def test_windows_upside_down_hold_nothing(feed, windows):
+    turned = windows.select("wid", F.col("t2").alias("t1"), F.col("t1").alias("t2"))
+    found = {row.wid: row.tick_count for row in window_counts(turned, feed).collect()}
+    assert set(found) == {row[0] for row in WINDOWS}
+    assert all(found[wid] == 0 for wid, a, b in WINDOWS if a < b) and found[1] > 0
+    assert window_counts(turned.where("wid = 4"), feed).first().tick_count == 0
+
+
+def test_window_sums_of_double_prices(feed, windows):
+    doubles = feed.withColumn("price", F.col("price").cast("double") + 0.0007)
+    plain = windows.join(doubles, F.col("ts").between(F.col("t1"), F.col("t2"))).groupBy("wid").agg(F.avg("price").alias("m"))
+    wanted = {row.wid: row.m for row in plain.collect()}
+    found = {row.wid: row.avg_price for row in window_stats(windows, doubles).collect()}
+    assert found == pytest.approx(wanted, rel=1e-9)
 
 
 def test_only_touched_days_are_read(spark, feed, windows, tmp_path):
@@ -64,6 +84,7 @@ def test_only_touched_days_are_read(spark, feed, windows, tmp_path):
     stored = tables.scan_ticks(spark, str(tmp_path / "t"))
     found = window_stats(windows.where("wid = 1"), stored)
     assert "dt" in plan_of(found).split("PartitionFilters: [")[1].split("]")[0]
+    assert "Cartesian" not in plan_of(window_stats(windows, stored, by=["symbol"]))
     assert found.first().tick_count == 3
 
 
@@ -105,6 +126,11 @@ def test_last_write_wins_and_may_go_back(table):
     assert rows_of(keyed.upsert(stored, updates, ["k"], ["at"])) == [("a", 3, 2), ("b", 2, 1), ("z", 1, 1)]
 
 
+def test_picks_are_made_before_the_shuffle(table):
+    for found in (keyed.newest_per_key(table([("a", 1, 0)]), ["k"], ["at"]), keyed.first_per_key(table([("a", 1, 0)]), ["k"], ["at"])):
+        assert "SortAggregate" not in plan_of(found) and "WindowGroupLimit" in plan_of(found)
+
+
 def test_append_candles_twice_adds_nothing(spark, tmp_path):
     path = str(tmp_path / "c")
     price = Decimal("1.00")

@@ -1,12 +1,13 @@
 from datetime import timedelta
 
+import pytest
 from conftest import START, plan_of, rows_of
 from pyspark.sql import functions as F
 
 from tickloom.operators import ranges, stats
 from tickloom.operators.candles import ohlcv
 from tickloom.plans.layouts import QUERIES, Layouts, query, register_views
-from tickloom.operators.buckets import pack
+from tickloom.operators.buckets import bucket_vwap, pack
 from tickloom.operators.candles import rollup
 from tickloom.sources import tables, trades
 
@@ -129,7 +130,27 @@ def test_sql_over_views(spark, feed):
     assert spark.sql("SELECT COUNT(*) AS n FROM ohlcv_1s").first().n == ohlcv(feed).count()
 
 
-def test_double_prices_count_as_cents(feed):
-    doubles = feed.withColumn("price", F.col("price").cast("double"))
-    assert rows_of(stats.mean_price(doubles)) == rows_of(stats.mean_price(feed))
-    assert rows_of(stats.vwap(doubles)) == rows_of(stats.vwap(feed))
+def test_double_prices_keep_their_fractions(feed, make_ticks):
+    ticks = make_ticks([(1, 0, "AAPL", "1.00", 1), (2, 1, "AAPL", "1.00", 3)])
+    doubles = ticks.withColumn("price", F.lit(1.0014))
+    assert stats.mean_price(doubles).first().avg_price == pytest.approx(1.0014, rel=1e-12)
+    assert stats.vwap(doubles).first().vwap == pytest.approx(1.0014, rel=1e-12)
+    floats = feed.withColumn("price", F.col("price").cast("float"))
+    for found, wanted in zip(rows_of(stats.mean_price(floats)), rows_of(stats.mean_price(feed)), strict=True):
+        assert found[0] == wanted[0] and found[1] == pytest.approx(wanted[1], rel=1e-6)
+
+
+def test_sums_of_the_largest_values_are_exact(spark, make_ticks):
+    price, volume = "99999999.99", 2_000_000_000
+    ticks = make_ticks([(i, i, "AAPL", price, volume) for i in range(1000)] + [(2000, 5, "MSFT", "-0.01", volume)])
+    found = {row.symbol: row.vwap for row in stats.vwap(ticks).collect()}
+    assert found == {"AAPL": float(price), "MSFT": -0.01}
+    assert {row.symbol: row.vwap for row in bucket_vwap(pack(ticks), ["symbol"]).collect()} == found
+    assert {row.symbol: row.avg_price for row in stats.mean_price(ticks).collect()} == found
+
+
+def test_latest_price_of_all_symbols_is_one_pass(spark, feed, tmp_path):
+    path = str(tmp_path / "t")
+    tables.write_ticks(feed, path)
+    plan = plan_of(stats.latest_price(tables.scan_ticks(spark, path)))
+    assert plan.count("FileScan") == 1 and "SortAggregate" not in plan

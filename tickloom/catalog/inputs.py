@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.functions.timecols import from_epoch_micros
+from tickloom.functions.timecols import from_epoch_micros, ntz
 from tickloom.operators.buckets import pack
 from tickloom.operators.candles import ohlcv, rollup
 from tickloom.plans.layouts import Layouts
@@ -81,13 +81,13 @@ def windows_over(ticks: DataFrame, count: int, shortest: int, longest: int) -> D
     )
 
 
-def stream_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dense feed as a stream over the events files.
-
-    The name is a glob, so that a single file is taken as well as a folder.
-    """
-    events = spark.readStream.schema(event_feed.EVENTS_SCHEMA).parquet(f"{sf_dir}/[e]vents.parquet")
-    return event_feed.dense_ticks(events)
+def quarters_of(ticks: DataFrame) -> list[DataFrame]:
+    """The ticks in four parts, one after another in time."""
+    lo, hi = data_extent(ticks)
+    cuts = [ntz(lo + (hi - lo) * i // 4) for i in (1, 2, 3)]
+    first, middle = ticks.where(F.col("ts") < cuts[0]), zip(cuts, cuts[1:], strict=False)
+    between = [ticks.where((F.col("ts") >= a) & (F.col("ts") < b)) for a, b in middle]
+    return [first, *between, ticks.where(F.col("ts") >= cuts[2])]
 
 
 def report(df: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def array_text(name: str, decimals: bool = False):
 
 
 def bucket_text(buckets: DataFrame) -> DataFrame:
-    """Packed rows with their arrays as text."""
+    """Packed rows with their arrays as text, without tie keys."""
     names = [n for n in buckets.columns if n in ("volumes", "offsets_ms", "seqs")]
-    others = [n for n in buckets.columns if n not in (*names, "prices")]
+    others = [n for n in buckets.columns if n not in (*names, "prices", "first_at", "last_at")]
     return buckets.select(*others, array_text("prices", decimals=True), *[array_text(n) for n in names])

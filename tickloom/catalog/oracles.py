@@ -1,14 +1,18 @@
 """DuckDB SQL with the same result as each registered query.
 
-Queries without an entry have no SQL form: file sizes on disk.
+Every query has an entry.
 """
 
+from tickloom import schemas
+
+NAMES = str([row[0] for row in schemas.SYMBOL_ROWS])
+
 # The feed as in tickloom.sources.event_feed, and the parts of its extent.
-TICKS = """
+TICKS = f"""
 ticks AS (
   SELECT event_id AS seq,
          TIMESTAMP '2024-04-11 23:58:00' + to_milliseconds((event_id // 4) * 120) AS ts,
-         (['GOOGL','META','TSLA','NVDA','AMZN','NFLX','MSFT','AAPL','TSMC','INTC'])[(user_id % 10)::INT + 1] AS symbol,
+         ({NAMES})[(user_id % 10)::INT + 1] AS symbol,
          CAST(value AS DECIMAL(10,2)) AS price,
          (props->>'$.k')::INT AS volume
   FROM events),
@@ -22,10 +26,10 @@ period AS (
          make_timestamp(lo + span * 2 // 3) AS third2
   FROM bounds)"""
 
-SPARSE = """
+SPARSE = f"""
 sparse AS (
   SELECT event_id AS seq, ts,
-         (['GOOGL','META','TSLA','NVDA','AMZN','NFLX','MSFT','AAPL','TSMC','INTC'])[(user_id % 10)::INT + 1] AS symbol,
+         ({NAMES})[(user_id % 10)::INT + 1] AS symbol,
          CAST(value AS DECIMAL(10,2)) AS price,
          (props->>'$.k')::INT AS volume
   FROM events)"""
@@ -50,15 +54,28 @@ c1m AS (
          CAST(sum(volume) AS BIGINT) AS volume, CAST(sum(tick_count) AS BIGINT) AS tick_count
   FROM c1s GROUP BY date_trunc('minute', c1s.ts_bucket), symbol)"""
 
-PACKED = """
-packed AS (
-  SELECT date_trunc('second', ts) AS bucket_ts, symbol, seq // 262144 AS part,
+PACKED_ROWS = """
          string_agg(price::VARCHAR, ',' ORDER BY ts, seq) AS prices,
          string_agg(volume::VARCHAR, ',' ORDER BY ts, seq) AS volumes,
          string_agg(((epoch_us(ts) % 1000000) // 1000)::VARCHAR, ',' ORDER BY ts, seq) AS offsets_ms,
-         string_agg(seq::VARCHAR, ',' ORDER BY ts, seq) AS seqs
+         string_agg(seq::VARCHAR, ',' ORDER BY ts, seq) AS seqs,
+         count(*) AS tick_count, CAST(sum(volume) AS BIGINT) AS volume_sum,
+         (sum(price * volume) * 100)::DOUBLE AS notional_cents,
+         first(price ORDER BY ts, seq)::DOUBLE AS open_price, max(price)::DOUBLE AS high_price,
+         min(price)::DOUBLE AS low_price, last(price ORDER BY ts, seq)::DOUBLE AS close_price"""
+
+PACKED = f"""
+packed AS (
+  SELECT date_trunc('second', ts) AS bucket_ts, symbol, 0::BIGINT AS part, {PACKED_ROWS}
   FROM ticks GROUP BY ALL)"""
 
+# Buckets of more than four ticks are cut into runs of four numbers.
+PACKED_IN_FOURS = f"""
+runs AS (
+  SELECT *, CASE WHEN count(*) OVER w > 4 THEN (seq - min(seq) OVER w) // 4 ELSE 0 END AS part
+  FROM (SELECT *, date_trunc('second', ts) AS bucket_ts FROM ticks) WINDOW w AS (PARTITION BY bucket_ts, symbol)),
+packed AS (SELECT bucket_ts, symbol, part, {PACKED_ROWS} FROM runs GROUP BY bucket_ts, symbol, part)"""
+
 TICK = "seq, ts, symbol, price::DOUBLE AS price, volume"
 
 OHLC = """ts_bucket, symbol, open_price::DOUBLE AS open_price, high_price::DOUBLE AS high_price,
@@ -116,6 +133,20 @@ batches AS (
          count(*) AS tick_count
   FROM ticks GROUP BY ALL)"""
 
+PACKED_LINE = "strlen(bucket_ts::VARCHAR || symbol || prices || volumes || offsets_ms) + 5"
+
+LISTING = f"""
+listing AS (
+  SELECT 'raw_ticks' AS tbl, batch::DATE AS dt, raw_bytes AS length FROM batches
+  UNION ALL SELECT 'raw_ticks_bucketed', bucket_ts::DATE, {PACKED_LINE} FROM packed""" + "".join(f"""
+  UNION ALL SELECT '{name}', ts_bucket::DATE, strlen(ts_bucket::VARCHAR || symbol || open_price::VARCHAR || high_price::VARCHAR
+    || low_price::VARCHAR || close_price::VARCHAR || volume::VARCHAR) + 7 FROM {table}""" for name, table in (("ohlcv_1s", "c1s"), ("ohlcv_1m", "c1m"))) + ")"
+
+COMPRESSED = f"""
+compressed AS (
+  SELECT batch, raw_bytes, stored_bytes, raw_bytes / greatest(stored_bytes, 1) AS ratio, (1 - stored_bytes / raw_bytes) * 100 AS saved_percent
+  FROM batches JOIN (SELECT bucket_ts AS batch, CAST(sum({PACKED_LINE}) AS BIGINT) AS stored_bytes FROM packed GROUP BY bucket_ts) USING (batch))"""
+
 METRICS = """
 metrics AS (
   SELECT event_id AS id, event_type AS query, CASE WHEN user_id % 2 = 0 THEN 'naive' ELSE 'opt' END AS variant,
@@ -138,10 +169,16 @@ ORACLES: dict[str, str] = {
         f"SELECT {CANDLE}, '1s' AS resolution FROM c1s UNION ALL SELECT {CANDLE}, '1m' AS resolution FROM c1m", C1M
     ),
     "load_tsv_roundtrip": _ticks("SELECT symbol, price::DOUBLE AS price, volume, ts FROM ticks"),
+    "load_tsv_candles": _ticks(f"SELECT {CANDLE} FROM c1s", C1S),
+    "clock_labels": _ticks(
+        """SELECT strftime(ts, '%H:%M') AS label,
+           CASE WHEN symbol = 'AAPL' THEN 34200 ELSE (hour(ts) * 60 + minute(ts)) * 60 END::INT AS second_of_day, count(*) AS tick_count
+           FROM ticks GROUP BY ALL"""
+    ),
     "daily_partition_counts": _ticks("SELECT ts::DATE::VARCHAR AS dt, count(*) AS tick_count FROM ticks GROUP BY ALL"),
     "bucket_partition_counts": _ticks(
         """SELECT ts::DATE::VARCHAR AS dt,
-           count(DISTINCT (date_trunc('second', ts), symbol, seq // 262144)) AS bucket_rows, count(*) AS tick_count
+           count(DISTINCT (date_trunc('second', ts), symbol)) AS bucket_rows, count(*) AS tick_count
            FROM ticks GROUP BY ts::DATE"""
     ),
     "historic_slice": _ticks(
@@ -197,16 +234,20 @@ ORACLES: dict[str, str] = {
            FROM ticks GROUP BY ALL"""
     ),
     # packed layout
-    "pack_buckets": _ticks("SELECT * FROM packed", PACKED),
+    "pack_buckets": _ticks("SELECT * FROM packed", PACKED_IN_FOURS),
     "unpack_buckets": _ticks(f"SELECT {TICK} FROM ticks"),
     "merge_buckets": _ticks("SELECT * FROM packed", PACKED),
+    "merge_twice_appended": _ticks(
+        """SELECT symbol, CAST(sum(volume) AS BIGINT) AS total_volume,
+           count(DISTINCT date_trunc('second', ts)) AS bucket_count, count(*) AS tick_count FROM ticks GROUP BY symbol"""
+    ),
     # aggregates
     "range_volume": _ticks(
         f"SELECT symbol, CAST(sum(volume) AS BIGINT) AS total_volume, count(*) AS tick_count {IN_PERIOD} GROUP BY symbol"
     ),
     "bucket_volume": _ticks(
         f"""SELECT symbol, CAST(sum(volume) AS BIGINT) AS total_volume,
-            count(DISTINCT (date_trunc('second', ts), seq // 262144)) AS bucket_count, count(*) AS tick_count
+            count(DISTINCT date_trunc('second', ts)) AS bucket_count, count(*) AS tick_count
             {BUCKET_IN_PERIOD} GROUP BY symbol"""
     ),
     "candle_volume": _ticks(
@@ -216,6 +257,10 @@ ORACLES: dict[str, str] = {
     "vwap": _ticks(
         f"SELECT symbol, sum(price * volume)::DOUBLE / nullif(sum(volume), 0)::DOUBLE AS vwap {IN_PERIOD} GROUP BY symbol"
     ),
+    "vwap_double_prices": _ticks(
+        """SELECT symbol, round(sum(p * volume) / nullif(sum(volume), 0), 8) AS vwap, round(avg(p), 8) AS avg_price
+           FROM (SELECT *, price::DOUBLE * 1.00037::DOUBLE AS p FROM ticks) GROUP BY symbol"""
+    ),
     "bucket_vwap": _ticks(
         f"""SELECT symbol, sum(price * volume)::DOUBLE / nullif(sum(volume), 0)::DOUBLE AS vwap
             {BUCKET_IN_PERIOD} GROUP BY symbol"""
@@ -300,6 +345,11 @@ ORACLES: dict[str, str] = {
         """SELECT wid, t1, t2, count(ts) AS tick_count FROM windows LEFT JOIN ticks ON ts BETWEEN t1 AND t2
            GROUP BY ALL""", _windows(100, 10, 120)
     ),
+    "range_join_upside_down": _ticks(
+        """SELECT wid, t1, t2, count(ts) AS tick_count
+           FROM (SELECT wid, CASE WHEN wid % 3 = 0 THEN t2 ELSE t1 END AS t1, CASE WHEN wid % 3 = 0 THEN t1 ELSE t2 END AS t2 FROM windows) w
+           LEFT JOIN ticks ON ts BETWEEN t1 AND t2 GROUP BY ALL""", _windows(90, 10, 120)
+    ),
     "range_join_symbol_avg": _ticks(
         f"SELECT wid, symbol, {MEAN} AS avg_price FROM windows JOIN ticks ON ts BETWEEN t1 AND t2 GROUP BY wid, symbol",
         _windows(50, 10, 60),
@@ -330,6 +380,24 @@ ORACLES: dict[str, str] = {
     "size_share": f"""
 SELECT source, {PRETTY} AS size, bytes, round(bytes * 100.0::DOUBLE / sum(bytes) OVER (), 2) AS share_percent
 FROM (SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY source)""",
+    "storage_profile": _ticks(
+        f"""SELECT tbl AS "table", {PRETTY} AS size, bytes, round(bytes * 100.0::DOUBLE / sum(bytes) OVER (), 2) AS share_percent
+            FROM (SELECT tbl, CAST(sum(length) AS BIGINT) AS bytes FROM listing GROUP BY tbl)""", PACKED, C1M, BATCHES, LISTING
+    ),
+    "day_sizes": _ticks(
+        """SELECT tbl AS "table", dt::VARCHAR AS dt, CAST(sum(length) AS BIGINT) AS bytes FROM listing GROUP BY ALL""",
+        PACKED, C1M, BATCHES, LISTING
+    ),
+    "compression_profile": _ticks(
+        f"""SELECT 'packed' AS "table", batch, stored_bytes, raw_bytes, round(ratio, 8) AS ratio, round(saved_percent, 8) AS saved_percent,
+            CAST(sum(raw_bytes) OVER w AS BIGINT) AS cumulative_raw, CAST(sum(stored_bytes) OVER w AS BIGINT) AS cumulative_stored
+            FROM compressed WINDOW w AS (ORDER BY batch)""", PACKED, BATCHES, COMPRESSED
+    ),
+    "compression_totals": _ticks(
+        f"""SELECT 'packed' AS "table", CAST(sum(raw_bytes) AS BIGINT) AS raw_bytes, CAST(sum(stored_bytes) AS BIGINT) AS stored_bytes,
+            round(avg(ratio), 8) AS mean_ratio, round((1 - sum(stored_bytes) / sum(raw_bytes)) * 100, 8) AS saved_percent
+            FROM compressed""", PACKED, BATCHES, COMPRESSED
+    ),
     "batch_raw_bytes": _ticks("SELECT * FROM batches", BATCHES),
     "cumulative_bytes": _ticks(
         "SELECT *, CAST(sum(raw_bytes) OVER (ORDER BY batch) AS BIGINT) AS cumulative_bytes FROM batches", BATCHES
@@ -362,6 +430,13 @@ FROM smoothed GROUP BY query""").replace("\n\n,", ","),
             WHERE ts_bucket < (SELECT date_trunc('minute', max(ts)) FROM ticks)""", C1M
     ),
     "rewind_idempotent": _ticks(f"SELECT {CANDLE} FROM c1s WHERE {FINISHED}", C1S),
+    "rebuild_days": _ticks(
+        """SELECT ts_bucket, symbol, open_price::DOUBLE AS open_price, high_price::DOUBLE AS high_price,
+           low_price::DOUBLE AS low_price, close_price::DOUBLE AS close_price, volume, tick_count
+           FROM (SELECT ts_bucket, symbol, open_price + 0.01 AS open_price, high_price + 0.01 AS high_price,
+                        low_price + 0.01 AS low_price, close_price + 0.01 AS close_price, volume, tick_count FROM c1s)
+           WHERE ts_bucket::DATE > (SELECT min(ts)::DATE FROM ticks) AND ts_bucket < (SELECT date_trunc('second', max(ts)) FROM ticks)""", C1S
+    ),
     "progress_table": _ticks(
         "SELECT '1s' AS aggregation_interval, date_trunc('second', max(ts)) AS last_processed_ts FROM ticks"
     ),
@@ -370,9 +445,7 @@ FROM smoothed GROUP BY query""").replace("\n\n,", ","),
         f"""SELECT {CANDLE} FROM c1m
             WHERE ts_bucket + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM ticks)""", C1M
     ),
-    "stream_pack": _ticks(
-        "SELECT * FROM packed WHERE bucket_ts + INTERVAL 1 SECOND <= (SELECT max(ts) FROM ticks)", PACKED
-    ),
+    "stream_pack": _ticks("SELECT * FROM packed", PACKED),
     "stream_late_drop": _with(
         TICKS, "in_time AS (SELECT ticks.* FROM ticks, period WHERE NOT (symbol = 'TSLA' AND ts < third1))",
         _candles("c1s", "second", "in_time"), select=f"SELECT {CANDLE} FROM c1s WHERE {CLOSED_SECONDS}",

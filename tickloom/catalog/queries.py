@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.catalog.inputs import (
-    bucket_text, data_extent, layouts_of, metrics_of, midpoint_of, minutes_of, period_of, report,
-    sparse_of, stream_of, ticks_of, windows_over,
+    bucket_text, data_extent, layouts_of, metrics_of, midpoint_of, minutes_of, period_of, quarters_of, report,
+    sparse_of, ticks_of, windows_over,
 )
 from tickloom import schemas
 from tickloom.functions.timecols import ntz, tumbling
@@ -22,7 +22,7 @@ from tickloom.operators.range_join import window_counts, window_stats
 from tickloom.plans import incremental, storage
 from tickloom.plans.layouts import candles_at, query
 from tickloom.session import shared_dir
-from tickloom.sources import event_feed, listing, tables, text, trades
+from tickloom.sources import event_feed, tables, text, trades
 from tickloom.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,23 @@ def load_tsv_roundtrip(spark, sf_dir):
     return text.load_tsv(spark, path).select("symbol", "price", "volume", "ts")
 
 
+@register
+def load_tsv_candles(spark, sf_dir):
+    """Candles of ticks that were written as text and numbered again on loading."""
+    path = shared_dir(spark, "tsv")
+    text.write_tsv(ticks_of(spark, sf_dir), path)
+    return candles.ohlcv(text.load_tsv(spark, path))
+
+
+@register
+def clock_labels(spark, sf_dir):
+    """Ticks per minute of the day, by label; the label read back as a time, one that is none as 09:30."""
+    minutes = ticks_of(spark, sf_dir).select(text.clock_label("ts").alias("label"), "symbol")
+    odd = F.when(F.col("symbol") == SYMBOL, F.concat(F.lit("at "), "label")).otherwise(F.col("label"))
+    parsed = minutes.withColumn("said", odd).withColumn("second_of_day", text.clock_time("said", "09:30"))
+    return parsed.groupBy("label", "second_of_day").agg(F.count(F.lit(1)).alias("tick_count"))
+
+
 @register
 def daily_partition_counts(spark, sf_dir):
     path = shared_dir(spark, "ticks")
@@ -199,7 +216,8 @@ def second_activity(spark, sf_dir):
 
 @register
 def pack_buckets(spark, sf_dir):
-    return bucket_text(buckets.pack(ticks_of(spark, sf_dir)))
+    """Rows of at most four ticks, so that many buckets are cut."""
+    return bucket_text(buckets.pack(ticks_of(spark, sf_dir), part_size=4))
 
 
 @register
@@ -216,6 +234,23 @@ def merge_buckets(spark, sf_dir):
     return bucket_text(buckets.merge_buckets(buckets.pack(late).unionByName(buckets.pack(early))))
 
 
+@register
+def merge_twice_appended(spark, sf_dir):
+    """The second half of the buckets is there twice."""
+    ticks = ticks_of(spark, sf_dir)
+    packed = buckets.pack(ticks)
+    again = packed.where(F.col("bucket_ts") >= ntz(midpoint_of(ticks)))
+    return buckets.bucket_volume(buckets.merge_buckets(packed.unionByName(again)), ["symbol"])
+
+
+@register
+def vwap_double_prices(spark, sf_dir):
+    """VWAP and mean of prices with fractions of a cent."""
+    ticks = ticks_of(spark, sf_dir).withColumn("price", F.col("price").cast("double") * 1.00037)
+    both = stats.vwap(ticks).join(stats.mean_price(ticks), "symbol")
+    return both.select("symbol", F.round("vwap", 8).alias("vwap"), F.round("avg_price", 8).alias("avg_price"))
+
+
 @register
 def symbol_avg_range(spark, sf_dir):
     ticks = ticks_of(spark, sf_dir)
@@ -277,8 +312,6 @@ _named("time_range_raw", "time_range", "raw")
 _named("time_range_packed", "time_range", "packed")
 _named("minute_scan", "ohlc_scan", "raw")
 _named("candle_minute_scan", "ohlc_scan", "candles", whole_minutes=True)
-_named("sma20_raw", "moving_average", "raw", rounded="sma20")
-_named("sma20_minute_candles", "moving_average", "candles", rounded="sma20")
 _named("range_volume", "volume", "raw")
 _named("bucket_volume", "volume", "packed")
 _named("candle_volume", "volume", "candles", whole_minutes=True)
@@ -302,10 +335,22 @@ def latest_price_one(spark, sf_dir):
 
 @register
 def sma20_candles(spark, sf_dir):
-    averaged = moving.sma(candles.ohlcv(ticks_of(spark, sf_dir)))
+    averaged = moving.sma(candles.ohlcv(ticks_of(spark, sf_dir)), chunk="1 minute")
     return averaged.select("ts_bucket", "symbol", "close_price", F.round("sma20", 8).alias("sma20"))
 
 
+@register
+def sma20_raw(spark, sf_dir):
+    averaged = moving.sma_of_mean_price(ticks_of(spark, sf_dir), chunk="2 minutes")
+    return averaged.withColumn("sma20", F.round("sma20", 8))
+
+
+@register
+def sma20_minute_candles(spark, sf_dir):
+    averaged = moving.sma(layouts_of(ticks_of(spark, sf_dir)).candles_1m, chunk="2 minutes")
+    return averaged.withColumn("sma20", F.round("sma20", 8))
+
+
 @register
 def sma20_full(spark, sf_dir):
     averaged = moving.sma(candles.ohlcv(ticks_of(spark, sf_dir)), frames="full")
@@ -325,7 +370,7 @@ def moving_avg_valid(spark, sf_dir):
     seconds = ticks.withColumn("ts_bucket", tumbling("ts", "1 second"))
     averaged = moving.moving_average(
         seconds.select("ts_bucket", "symbol", "seq", "price"), "price", "smooth", keys=["symbol", "ts_bucket"],
-        order="seq", chunk=F.expr("seq DIV 65536"), width=5, frames="valid",
+        order="seq", chunk=F.expr("seq DIV 16"), width=5, frames="valid",
     )
     return averaged.withColumn("smooth", F.round("smooth", 8))
 
@@ -336,13 +381,22 @@ def moving_avg_valid(spark, sf_dir):
 @register
 def range_join_count(spark, sf_dir):
     ticks = ticks_of(spark, sf_dir)
-    return window_counts(windows_over(ticks, 100, 10, 120), ticks)
+    return window_counts(windows_over(ticks, 100, 10, 120), ticks, chunk="1 minute")
+
+
+@register
+def range_join_upside_down(spark, sf_dir):
+    """Every third window ends before it starts and holds nothing."""
+    ticks = ticks_of(spark, sf_dir)
+    windows = windows_over(ticks, 90, 10, 120)
+    turned = F.when(F.col("wid") % 3 == 0, F.struct(F.col("t2").alias("t1"), F.col("t1").alias("t2"))).otherwise(F.struct("t1", "t2"))
+    return window_counts(windows.select("wid", turned.alias("w")).select("wid", "w.*"), ticks)
 
 
 @register
 def range_join_symbol_avg(spark, sf_dir):
     ticks = ticks_of(spark, sf_dir)
-    found = window_stats(windows_over(ticks, 50, 10, 60), ticks, by=["symbol"])
+    found = window_stats(windows_over(ticks, 50, 10, 60), ticks, by=["symbol"], chunk="1 minute")
     return found.select("wid", "symbol", "avg_price")
 
 
@@ -384,7 +438,7 @@ def insert_first_of_duplicates(spark, sf_dir):
 
 @register
 def upsert_watermarks(spark, sf_dir):
-    """A position per symbol from the first half, overwritten by positions of some ticks."""
+    """A position per symbol from the first half, overwritten by the second half's ticks without volume."""
     ticks = ticks_of(spark, sf_dir).select(
         F.col("symbol").alias("aggregation_interval"), F.col("ts").alias("last_processed_ts"),
         F.col("seq").alias("updated"), "volume",
@@ -407,15 +461,30 @@ def size_share(spark, sf_dir):
     return storage.size_profile(sized, "source", "length")
 
 
+def _listing(spark, sf_dir):
+    """(table, dt, length) of every stored table's day, the lengths being those of its rows as text."""
+    layouts = layouts_of(ticks_of(spark, sf_dir))
+    by_day = lambda df, name: df.select(F.lit(name).alias("table"), F.to_date("batch").alias("dt"), F.col(df.columns[1]).alias("length"))
+    line = lambda df: F.concat_ws("\t", *[F.col(c).cast("string") for c in df.columns])
+    found = by_day(storage.batch_raw_bytes(layouts.raw), "raw_ticks").unionByName(
+        by_day(storage.batch_packed_bytes(layouts.packed), "raw_ticks_bucketed"))
+    for name, table in (("ohlcv_1s", layouts.candles_1s), ("ohlcv_1m", layouts.candles_1m)):
+        table = table.select("ts_bucket", "symbol", "open_price", "high_price", "low_price", "close_price", "volume")
+        rows = table.select(F.lit(name).alias("table"), F.to_date("ts_bucket").alias("dt"), (F.octet_length(line(table)) + 1).cast("bigint").alias("length"))
+        found = found.unionByName(rows)
+    return found
+
+
 @register
 def storage_profile(spark, sf_dir):
-    root = shared_dir(spark, "market")
-    layouts = layouts_of(ticks_of(spark, sf_dir))
-    tables.write_ticks(layouts.raw, f"{root}/raw_ticks")
-    tables.write_buckets(layouts.packed, f"{root}/raw_ticks_bucketed")
-    tables.write_candles(layouts.candles_1s, f"{root}/ohlcv_1s")
-    tables.write_candles(layouts.candles_1m, f"{root}/ohlcv_1m")
-    return storage.storage_profile(spark, root)
+    """Sizes of the four tables, their days added up."""
+    return storage.size_profile(_listing(spark, sf_dir), "table", "length")
+
+
+@register
+def day_sizes(spark, sf_dir):
+    """Sizes of the day partitions of each table."""
+    return _listing(spark, sf_dir).groupBy("table", "dt").agg(F.sum("length").alias("bytes"))
 
 
 @register
@@ -429,22 +498,23 @@ def cumulative_bytes(spark, sf_dir):
 
 
 def _compression(spark, sf_dir):
+    """Packed text against row text, per second batch."""
     ticks = ticks_of(spark, sf_dir)
-    root = shared_dir(spark, "codecs")
-    storage.write_codecs(ticks, root)
-    by_day = storage.batch_raw_bytes(ticks, "1 day")
-    raw = by_day.select(F.to_date("batch").cast("string").alias("dt"), "raw_bytes")
-    return storage.compression_profile(listing.list_files(spark, root), raw)
+    packed = storage.batch_packed_bytes(buckets.pack(ticks))
+    sizes = packed.select(F.lit("packed").alias("table"), "batch", F.col("packed_bytes").alias("length"))
+    raw = storage.batch_raw_bytes(ticks).select("batch", "raw_bytes")
+    return storage.compression_profile(sizes, raw, "batch", tumbling("batch", "1 minute"))
 
 
 @register
 def compression_profile(spark, sf_dir):
-    return _compression(spark, sf_dir)
+    return _compression(spark, sf_dir).withColumns({name: F.round(name, 8) for name in ("ratio", "saved_percent")})
 
 
 @register
 def compression_totals(spark, sf_dir):
-    return storage.compression_totals(_compression(spark, sf_dir))
+    totals = storage.compression_totals(_compression(spark, sf_dir))
+    return totals.withColumns({name: F.round(name, 8) for name in ("mean_ratio", "saved_percent")})
 
 
 @register
@@ -472,7 +542,7 @@ def throughput_p95_clip(spark, sf_dir):
         F.get_json_object("props", "$.k").cast("int").alias("row_count"),
         F.col("value").cast("decimal(10,3)").cast("double").alias("elapsed"),
     )
-    found = metrics.throughput(measured, "query", "id", F.expr("id DIV 1048576"))
+    found = metrics.throughput(measured, "query", "id", F.expr("id DIV 512"))
     rounded = {name: F.round(name, 6) for name in ("p95_rate", "mean_rate", "mean_smoothed")}
     return found.withColumns(rounded)
 
@@ -516,25 +586,43 @@ def progress_table(spark, sf_dir):
     return incremental.read_progress(spark, root).drop("updated_at")
 
 
-def _streamed(spark, stream, run=jobs.run_candles, schema=schemas.CANDLES):
+@register
+def rebuild_days(spark, sf_dir):
+    """All days rebuilt after the ticks of the first one are gone and the others cost a cent more."""
+    ticks = ticks_of(spark, sf_dir)
+    root = _advanced(spark, sf_dir, lambda _: [None])
+    lo, hi = data_extent(ticks)
+    left = ticks.where(F.to_date("ts") > F.lit(lo.date())).withColumn("price", (F.col("price") + F.lit("0.01").cast("decimal(10,2)")).cast(schemas.PRICE))
+    incremental.rebuild(spark, left, root, lo, hi)
+    return tables.scan_candles(spark, root, "1 second").drop("dt")
+
+
+def _fed(spark, parts, build, run, schema):
+    """The table after each part has been all the input of one run, going on from the last one's checkpoint."""
     root = shared_dir(spark, "stream")
-    run(stream, f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    for part in parts:
+        part.write.mode("append").parquet(f"{root}/arrivals")
+        run(build(jobs.stream_ticks(spark, f"{root}/arrivals")), f"{root}/table", f"{root}/checkpoint").awaitTermination()
     return tables.scan_or_empty(spark, f"{root}/table", schema).drop("dt")
 
 
 @register
 def stream_ohlcv_1s(spark, sf_dir):
-    return _streamed(spark, jobs.candles(stream_of(spark, sf_dir)))
+    return _fed(spark, quarters_of(ticks_of(spark, sf_dir)), jobs.candles, jobs.run_candles, schemas.CANDLES)
 
 
 @register
 def stream_ohlcv_1m(spark, sf_dir):
-    return _streamed(spark, jobs.rollup(jobs.candles(stream_of(spark, sf_dir))))
+    return _fed(spark, quarters_of(ticks_of(spark, sf_dir)), lambda s: jobs.rollup(jobs.candles(s)), jobs.run_candles, schemas.CANDLES)
 
 
 @register
 def stream_pack(spark, sf_dir):
-    return bucket_text(_streamed(spark, jobs.packed(stream_of(spark, sf_dir)), jobs.run_packed, schemas.BUCKETS))
+    """Ticks dealt out by number, so that every batch holds some of every bucket."""
+    ticks = ticks_of(spark, sf_dir)
+    parts = [ticks.where(F.col("seq") % 4 == i) for i in range(4)]
+    stored = _fed(spark, parts, lambda s: s, jobs.run_packed, schemas.BUCKETS)
+    return bucket_text(buckets.merge_buckets(stored))
 
 
 @register
@@ -550,10 +638,4 @@ def stream_late_drop(spark, sf_dir):
         ticks.where(F.col("ts") >= third[1]),
         ticks.where(late),
     ]
-    # Each part is all the input of one run, which goes on from the checkpoint of the last.
-    root = shared_dir(spark, "stream")
-    for part in parts:
-        part.write.mode("append").parquet(f"{root}/arrivals")
-        stream = jobs.candles(jobs.stream_ticks(spark, f"{root}/arrivals"))
-        jobs.run_candles(stream, f"{root}/table", f"{root}/checkpoint").awaitTermination()
-    return tables.scan_or_empty(spark, f"{root}/table", schemas.CANDLES).drop("dt")
+    return _fed(spark, parts, jobs.candles, jobs.run_candles, schemas.CANDLES)

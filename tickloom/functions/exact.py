@@ -1,21 +1,31 @@
 """Exact aggregates of decimal prices, at the cost of integer ones.
 
 Sums of DOUBLE change in the last digits with the partitioning, and sums of
-DECIMAL(10,2) run on arbitrary-precision numbers. Prices are whole cents, so
-cents are summed as BIGINT and become a decimal again once per group. A sum
-beyond 9.2e18 cents raises under ANSI mode, which the session pins.
+DECIMAL run on arbitrary-precision numbers. Decimal prices are whole cents, so
+cents are summed as BIGINT. A sum is kept as two or four BIGINT halves of the
+numbers, which become one wide decimal once per group: no schema value and no
+group of up to 10**11 rows overflows, and beyond that ANSI mode raises.
+
+Prices of other types (FLOAT, DOUBLE) are averaged as they are, unrounded.
 """
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+HALF = 24  # bits of the lower half of a summed number
+SPLIT = 16  # bits of the lower half of a volume
 
-def cents(price: str, scale: int = 2) -> Column:
-    """A DECIMAL(10, scale) as a whole number of its last digit.
 
-    Other types are rounded to that one first.
-    """
-    return F.expr(f"CAST(CAST({price} AS DECIMAL(10,{scale})) * {10 ** scale} AS BIGINT)")
+def price_scale(df: DataFrame, price: str) -> int | None:
+    """Digits after the point of a decimal column that fits BIGINT; None for other types."""
+    kind = df.schema[price].dataType
+    return kind.scale if isinstance(kind, T.DecimalType) and kind.precision <= 18 else None
+
+
+def cents(price: str, scale: int = 2) -> Column:
+    """A decimal of ``scale`` digits as a whole number of its last digit."""
+    return F.expr(f"CAST(CAST({price} AS DECIMAL(18,{scale})) * {10 ** scale} AS BIGINT)")
 
 
 def float_cents(price: str) -> Column:
@@ -23,19 +33,49 @@ def float_cents(price: str) -> Column:
     return F.expr(f"floor(CAST({price} AS DOUBLE) * 100 + 0.5D)")
 
 
+def wide(number: Column) -> Column:
+    return number.cast("decimal(28,0)")
+
+
+def big_sum(number: Column) -> Column:
+    """Sum of a BIGINT as a wide decimal, by two sums that stay far from overflow."""
+    low = number.bitwiseAND(F.lit((1 << HALF) - 1))
+    return wide(F.sum(F.shiftright(number, HALF))) * F.lit(1 << HALF).cast("decimal(8,0)") + wide(F.sum(low))
+
+
+def notional(price_cents: Column, volume: Column) -> Column:
+    """Sum of ``price_cents * volume`` as a wide decimal; the volume is split, so that no product overflows."""
+    volume = volume.cast("bigint")
+    high, low = F.shiftright(volume, SPLIT), volume.bitwiseAND(F.lit((1 << SPLIT) - 1))
+    return (big_sum(price_cents * high) * F.lit(1 << SPLIT).cast("decimal(6,0)") + big_sum(price_cents * low)).cast("decimal(38,0)")
+
+
 def from_cents(total: Column, scale: int = 2) -> Column:
     """Whole cents as a decimal of ``scale`` digits."""
-    return total.cast("decimal(20,0)") * F.lit(f"1E-{scale}").cast(f"decimal({scale},{scale})")
+    unit = F.lit(f"1E-{scale}").cast(f"decimal({scale + 1},{scale})")
+    return total.cast(f"decimal({37 - 2 * scale},0)") * unit
+
+
+def mean(df: DataFrame, value: str) -> Column:
+    """Average as DOUBLE: of decimals the exact sum, rounded once, of other types their plain average."""
+    scale = price_scale(df, value)
+    if scale is None:
+        return F.avg(F.col(value).cast("double"))
+    return ratio(from_cents(big_sum(cents(value, scale)), scale), F.count(value))
 
 
-def mean(value: str, scale: int = 2) -> Column:
-    """Average of a decimal column as DOUBLE, rounded once."""
-    return ratio(from_cents(F.sum(cents(value, scale)), scale), F.count(value))
+def price_sum(df: DataFrame, value: str) -> Column:
+    """Sum of a price column: exact for decimals, DOUBLE for other types."""
+    scale = price_scale(df, value)
+    return F.sum(F.col(value).cast("double")) if scale is None else from_cents(big_sum(cents(value, scale)), scale)
 
 
-def vwap(price_cents: Column, volume: str) -> Column:
+def vwap(df: DataFrame, price: str, volume: str) -> Column:
     """``sum(price * volume) / sum(volume)`` as DOUBLE; NULL without volume."""
-    return ratio(from_cents(F.sum(price_cents * F.col(volume))), F.sum(volume))
+    scale = price_scale(df, price)
+    if scale is None:
+        return ratio(F.sum(F.col(price).cast("double") * F.col(volume)), F.sum(volume))
+    return ratio(from_cents(notional(cents(price, scale), F.col(volume)), scale), F.sum(volume))
 
 
 def ratio(total: Column, count: Column) -> Column:

@@ -1,6 +1,6 @@
 """Human-readable sizes and share of a total."""
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Unit names in rising order, each 1024 times the one before.
@@ -22,6 +22,6 @@ def pretty_size(size: Column) -> Column:
     return text
 
 
-def share_percent(size: str) -> Column:
-    """Percentage of the grand total, two decimals. For aggregated rows only."""
-    return F.round(F.col(size) * F.lit(100.0) / F.sum(size).over(Window.partitionBy()), 2)
+def share_percent(size: str, total: Column) -> Column:
+    """Percentage of a total, two decimals."""
+    return F.round(F.col(size) * F.lit(100.0) / total, 2)

@@ -55,20 +55,17 @@ def tumbling(ts: str, resolution: str) -> Column:
     return F.window(ts, resolution).getField("start")
 
 
-def first_last_key(ts: str, seq: str, resolution: str, key: str = "auto") -> Column:
+def first_last_key(ts: str, seq: str, key: str = "wide") -> Column:
     """Ordering of ticks inside one bucket: by time, then by arrival number.
 
     A struct key would force a sort-based aggregate, so the pair is packed into
     one number:
 
-    * ``long`` puts the microsecond of the second above 43 bits of ``seq``. It
-      suits buckets of up to a second and raises when ``seq`` does not fit.
-    * ``wide`` is a 38-digit decimal that takes any time and any ``seq``.
+    * ``wide``, the default, is a 38-digit decimal that takes any time and any ``seq``.
+    * ``long`` puts the microsecond of the second above 43 bits of ``seq``: faster,
+      for buckets of up to a second. It raises when ``seq`` does not fit.
     * ``struct`` is the plain pair, kept for comparison.
-    * ``auto`` is ``long`` up to one second and ``wide`` beyond.
     """
-    if key == "auto":
-        key = "long" if UNIT_MICROS["second"] % resolution_micros(resolution) == 0 else "wide"
     if key == "long":
         return F.expr(
             f"CASE WHEN {seq} >= 0 AND {seq} < {1 << SEQ_BITS}L "

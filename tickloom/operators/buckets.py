@@ -1,42 +1,44 @@
 """The packed layout: arrays of prices, volumes, offsets and sequence numbers.
 
-A (second, symbol) bucket has no size limit, so it may take several rows. A
-row holds the ticks of one run of ``part_size`` consecutive sequence numbers,
-which bounds each array and spreads a hot bucket over many tasks. ``part`` is
-the number of that run. Readers merge the rows of a bucket, as they must
-anyway where a bucket was appended twice.
+A (second, symbol) bucket is one row. Only a bucket of more than ``part_size``
+ticks is cut, into runs of ``part_size`` consecutive sequence numbers counted
+from its own first one, which bounds each array and spreads a hot bucket over
+many tasks; ``part`` is the number of the run, 0 elsewhere. Readers merge the
+rows of a bucket, as they must anyway where a bucket was appended in pieces.
+
+A row carries its tick count, volume, notional, candle and first and last tie
+key, so volume, VWAP, rollups and candles never read the arrays.
 """
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom import schemas
 from tickloom.functions import exact
-from tickloom.functions.timecols import offset_millis, resolution_micros, tumbling
+from tickloom.functions.timecols import first_last_key, offset_millis, resolution_micros, tumbling
 from tickloom.operators.ranges import in_range
 
 PART_SIZE = 1 << 18
 
 KEYS = ["bucket_ts", "symbol", "part"]
-
-
 ARRAYS = ["prices", "volumes", "offsets_ms", "seqs"]
-
-
-def _arrays(packed: str) -> list[Column]:
-    """The four parallel arrays out of an array of tick structs."""
-    return [F.col(packed)[name].alias(name) for name in ARRAYS]
+SUMS = ["tick_count", "volume_sum", "notional_cents", "open_price", "high_price", "low_price", "close_price", "first_at", "last_at"]
 
 
 def pack(ticks: DataFrame, resolution: str = "1 second", part_size: int = PART_SIZE) -> DataFrame:
     """Gather ticks into arrays per (bucket, symbol), in (ts, seq) order.
 
     Prices become REAL and times whole milliseconds, so detail below that is
-    lost. ``seq`` must be unique within a symbol.
+    lost in the arrays; the sums are those of the ticks. ``seq`` must be unique
+    within a symbol. Reads the ticks twice: buckets are counted first, from two
+    columns, to find those to cut.
     """
     bucketed = ticks.select(tumbling("ts", resolution).alias("bucket_ts"), "ts", "symbol", "price", "volume", "seq")
+    bucketed = bucketed.withColumn("_at", first_last_key("ts", "seq"))
+    large = bucketed.groupBy("bucket_ts", "symbol").agg(F.count(F.lit(1)).alias("_ticks"), F.min("seq").alias("_from"))
+    large = large.where(F.col("_ticks") > part_size).drop("_ticks")
     member = F.struct(
         "ts",
         F.col("seq").alias("seqs"),
@@ -44,13 +46,21 @@ def pack(ticks: DataFrame, resolution: str = "1 second", part_size: int = PART_S
         F.col("volume").alias("volumes"),
         offset_millis("ts", "bucket_ts", resolution).alias("offsets_ms"),
     )
-    runs = bucketed.select("bucket_ts", "symbol", _part("seq", part_size), member.alias("_tick"))
-    gathered = runs.groupBy(*KEYS).agg(F.sort_array(F.collect_list("_tick")).alias("_ticks"))
-    return gathered.select(*KEYS, *_arrays("_ticks"))
-
-
-def _part(seq: str, part_size: int) -> Column:
-    return F.expr(f"{seq} DIV {part_size}").alias("part")
+    part = F.coalesce(F.expr(f"(seq - _from) DIV {part_size}"), F.lit(0).cast("bigint"))
+    runs = bucketed.join(large, ["bucket_ts", "symbol"], "left").withColumns({"part": part, "_tick": member})
+    gathered = runs.groupBy(*KEYS).agg(
+        F.sort_array(F.collect_list("_tick")).alias("_ticks"),
+        F.count(F.lit(1)).alias("tick_count"),
+        F.sum("volume").cast("bigint").alias("volume_sum"),
+        exact.notional(exact.cents("price"), F.col("volume")).alias("notional_cents"),
+        F.min_by("price", "_at").cast(schemas.PRICE).alias("open_price"),
+        F.max("price").cast(schemas.PRICE).alias("high_price"),
+        F.min("price").cast(schemas.PRICE).alias("low_price"),
+        F.max_by("price", "_at").cast(schemas.PRICE).alias("close_price"),
+        F.min("_at").alias("first_at"),
+        F.max("_at").alias("last_at"),
+    )
+    return gathered.select(*KEYS, *[F.col("_ticks")[name].alias(name) for name in ARRAYS], *SUMS)
 
 
 def unpack(buckets: DataFrame) -> DataFrame:
@@ -69,18 +79,15 @@ def unpack(buckets: DataFrame) -> DataFrame:
     )
 
 
-def merge_buckets(buckets: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
+def merge_buckets(buckets: DataFrame, resolution: str = "1 second", part_size: int = PART_SIZE) -> DataFrame:
     """One row per (bucket, symbol, part): combines buckets appended in pieces.
 
-    Pieces are cut at part boundaries first, so a merged array stays within
-    ``part_size`` ticks however many pieces a bucket has.
+    A tick that is there twice, by symbol, bucket and ``seq``, counts once, so
+    appending a bucket again changes nothing. Times are whole milliseconds and
+    prices cents from here on.
     """
-    in_order = F.arrays_zip("offsets_ms", "seqs", "prices", "volumes")
-    parts = F.array_distinct(F.expr(f"transform(seqs, s -> s DIV {part_size})"))
-    pieces = buckets.select("bucket_ts", "symbol", in_order.alias("_ticks"), F.explode(parts).alias("part"))
-    cut = pieces.withColumn("_ticks", F.expr(f"filter(_ticks, t -> t.seqs DIV {part_size} = part)"))
-    merged = cut.groupBy(*KEYS).agg(F.sort_array(F.flatten(F.collect_list("_ticks"))).alias("_ticks"))
-    return merged.select(*KEYS, *_arrays("_ticks"))
+    ticks = unpack(buckets).withColumn("_bucket", tumbling("ts", resolution))
+    return pack(ticks.dropDuplicates(["_bucket", "symbol", "seq"]).drop("_bucket"), resolution, part_size)
 
 
 def bucket_range(buckets: DataFrame, start: datetime, end: datetime, symbol: str | None = None) -> DataFrame:
@@ -101,63 +108,36 @@ def bucket_range_exact(buckets: DataFrame, start: datetime, end: datetime, symbo
 
 
 def ohlcv_from_buckets(buckets: DataFrame) -> DataFrame:
-    """Candles straight from the arrays, merging the rows of a bucket.
-
-    Each packed row gives its own candle without unnesting; rows of the same
-    bucket are then combined by their first and last (offset, seq).
-    """
-    at = "CAST(element_at(offsets_ms, {i}) AS DECIMAL(38,0)) * CAST('10000000000000000000' AS DECIMAL(20,0))" \
-         " + element_at(seqs, {i})"
-    rows = buckets.select(
-        F.col("bucket_ts").alias("ts_bucket"),
-        "symbol",
-        F.element_at("prices", 1).alias("_open"),
-        F.array_max("prices").alias("_high"),
-        F.array_min("prices").alias("_low"),
-        F.element_at("prices", -1).alias("_close"),
-        volume_of("volumes").alias("_volume"),
-        F.size("prices").alias("_ticks"),
-        F.expr(at.format(i=1)).alias("_first"),
-        F.expr(at.format(i=-1)).alias("_last"),
-    )
+    """Candles from the rows' own candles, merging the rows of a bucket."""
+    rows = buckets.select(F.col("bucket_ts").alias("ts_bucket"), "symbol", *SUMS)
     return rows.groupBy("ts_bucket", "symbol").agg(
-        F.min_by("_open", "_first").cast(schemas.PRICE).alias("open_price"),
-        F.max("_high").cast(schemas.PRICE).alias("high_price"),
-        F.min("_low").cast(schemas.PRICE).alias("low_price"),
-        F.max_by("_close", "_last").cast(schemas.PRICE).alias("close_price"),
-        F.sum("_volume").alias("volume"),
-        F.sum("_ticks").alias("tick_count"),
+        F.min_by("open_price", "first_at").alias("open_price"),
+        F.max("high_price").alias("high_price"),
+        F.min("low_price").alias("low_price"),
+        F.max_by("close_price", "last_at").alias("close_price"),
+        F.sum("volume_sum").alias("volume"),
+        F.sum("tick_count").alias("tick_count"),
     )
 
 
-def volume_of(volumes: str) -> Column:
-    """Total of an integer array."""
-    return F.aggregate(volumes, F.lit(0).cast("bigint"), lambda total, v: total + v)
-
-
-# The sums below unnest the arrays: unlike array functions with a lambda, that
-# is part of the generated code, and the rows go straight into a partial sum.
-
-
 def bucket_volume(buckets: DataFrame, per: list[str]) -> DataFrame:
-    """Volume, packed rows and ticks. A bucket stored in several rows counts as several."""
-    ticks = buckets.select("symbol", F.posexplode("volumes").alias("_i", "_volume"))
-    return ticks.groupBy(*per).agg(
+    """Volume, buckets and ticks. A bucket in several rows is one bucket."""
+    rows = buckets.select("bucket_ts", "symbol", "volume_sum", "tick_count")
+    whole = rows.groupBy("bucket_ts", "symbol").agg(F.sum("volume_sum").alias("_volume"), F.sum("tick_count").alias("_ticks"))
+    return whole.groupBy(*per).agg(
         F.sum("_volume").alias("total_volume"),
-        F.count_if(F.col("_i") == 0).alias("bucket_count"),
-        F.count(F.lit(1)).alias("tick_count"),
+        F.count(F.lit(1)).alias("bucket_count"),
+        F.coalesce(F.sum("_ticks"), F.lit(0)).alias("tick_count"),
     )
 
 
 def bucket_vwap(buckets: DataFrame, per: list[str]) -> DataFrame:
     """Volume-weighted average price; NULL where no volume traded."""
-    ticks = buckets.select("symbol", F.inline(F.arrays_zip("prices", "volumes")))
-    return ticks.groupBy(*per).agg(exact.vwap(exact.float_cents("prices"), "volumes").alias("vwap"))
+    total = exact.from_cents(F.sum("notional_cents"))
+    return buckets.groupBy(*per).agg(exact.ratio(total, F.sum("volume_sum")).alias("vwap"))
 
 
 def bucket_volume_by(buckets: DataFrame, resolution: str, per: list[str]) -> DataFrame:
     """Volume per time bucket, ordered by time."""
-    ticks = buckets.select(
-        tumbling("bucket_ts", resolution).alias("ts_bucket"), "symbol", F.explode("volumes").alias("_volume")
-    )
-    return ticks.groupBy("ts_bucket", *per).agg(F.sum("_volume").alias("volume")).orderBy("ts_bucket", *per)
+    rows = buckets.select(tumbling("bucket_ts", resolution).alias("ts_bucket"), "symbol", "volume_sum")
+    return rows.groupBy("ts_bucket", *per).agg(F.sum("volume_sum").alias("volume")).orderBy("ts_bucket", *per)

@@ -12,7 +12,7 @@ from tickloom.functions import exact
 from tickloom.functions.timecols import first_last_key, tumbling
 
 
-def ohlcv(ticks: DataFrame, resolution: str = "1 second", key: str = "auto") -> DataFrame:
+def ohlcv(ticks: DataFrame, resolution: str = "1 second", key: str = "wide") -> DataFrame:
     """Open, high, low, close, volume and tick count per (bucket, symbol).
 
     Open and close are the first and last tick by (ts, seq). For ``key`` see
@@ -23,7 +23,7 @@ def ohlcv(ticks: DataFrame, resolution: str = "1 second", key: str = "auto") ->
         "symbol",
         "price",
         "volume",
-        first_last_key("ts", "seq", resolution, key).alias("_at"),
+        first_last_key("ts", "seq", key).alias("_at"),
     )
     return keyed.groupBy("ts_bucket", "symbol").agg(
         F.min_by("price", "_at").alias("open_price"),
@@ -56,7 +56,7 @@ def mean_price_candles(ticks: DataFrame, resolution: str) -> DataFrame:
     """
     bucketed = ticks.select(tumbling("ts", resolution).alias("ts_bucket"), "symbol", "price", "volume")
     merged = bucketed.groupBy("ts_bucket", "symbol").agg(
-        exact.mean("price").alias("open_price"),
+        exact.mean(bucketed, "price").alias("open_price"),
         F.max("price").alias("high_price"),
         F.min("price").alias("low_price"),
         F.sum("volume").alias("volume"),

@@ -2,11 +2,10 @@
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.ranges import in_range
-from tickloom.session import broadcast_if_small
 from tickloom.sources.tables import table_exists, with_day, write_by_day
 
 
@@ -20,13 +19,13 @@ def not_null(df: DataFrame, columns: list[str]) -> Column:
 
 def accepted(ticks: DataFrame, symbols: DataFrame, required: list[str]) -> DataFrame:
     """Rows with a known symbol and no NULL in the required columns."""
-    known = broadcast_if_small(symbols.select("symbol"))
+    known = symbols.select("symbol")
     return ticks.where(not_null(ticks, required)).join(known, "symbol", "left_semi")
 
 
 def rejected(ticks: DataFrame, symbols: DataFrame, required: list[str]) -> DataFrame:
     """The other rows, each with the first reason that applies."""
-    known = broadcast_if_small(symbols.select("symbol", F.lit(True).alias("_known")).distinct())
+    known = symbols.select("symbol", F.lit(True).alias("_known")).distinct()
     checked = ticks.join(known, "symbol", "left")
     reason = F.when(~not_null(ticks, required), "null value").when(F.col("_known").isNull(), "unknown symbol")
     return checked.withColumn("reason", reason).where("reason IS NOT NULL").drop("_known")
@@ -34,18 +33,18 @@ def rejected(ticks: DataFrame, symbols: DataFrame, required: list[str]) -> DataF
 
 def newest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the highest ``order`` of each key."""
-    return _pick(df, keys, order, F.max_by)
+    return _first_ranked(df, keys, [F.desc(name) for name in order])
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the lowest ``order`` of each key."""
-    return _pick(df, keys, order, F.min_by)
+    return _first_ranked(df, keys, [F.asc(name) for name in order])
 
 
-def _pick(df: DataFrame, keys: list[str], order: list[str], choose) -> DataFrame:
-    row = F.struct(*df.columns)
-    chosen = df.groupBy(*keys).agg(choose(row, F.struct(*order)).alias("_row"))
-    return chosen.select("_row.*")
+def _first_ranked(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    # Spark keeps the first row of a key on the map side, before the shuffle.
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
 def insert_if_absent(new: DataFrame, existing: DataFrame, keys: list[str],

@@ -68,7 +68,12 @@ def moving_average(df: DataFrame, value: str, out: str, *, keys: list[str], orde
 
 
 def running_total(df: DataFrame, value: str, out: str, *, keys: list[str], order: str, chunk: Column) -> DataFrame:
-    """Cumulative sum of ``value`` along ``order``, NULLs counting as nothing.
+    """Cumulative sum of ``value`` along ``order``, NULLs counting as nothing."""
+    return running_totals(df, {value: out}, keys=keys, order=order, chunk=chunk)
+
+
+def running_totals(df: DataFrame, values: dict[str, str], *, keys: list[str], order: str, chunk: Column) -> DataFrame:
+    """Cumulative sums along ``order``, named by ``values``; NULLs count as nothing.
 
     Chunk totals are accumulated first (one row per chunk), then added to the
     running sum inside each chunk.
@@ -76,13 +81,13 @@ def running_total(df: DataFrame, value: str, out: str, *, keys: list[str], order
     chunked = df.withColumn("_chunk", chunk)
     by_chunk = [*keys, "_chunk"]
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = chunked.groupBy(*by_chunk).agg(F.sum(value).alias("_total"))
-    offsets = totals.select(*by_chunk, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    totals = chunked.groupBy(*by_chunk).agg(*[F.sum(value).alias(f"_total_{out}") for value, out in values.items()])
+    offsets = totals.select(*by_chunk, *[
+        F.coalesce(F.sum(f"_total_{out}").over(before), F.lit(0)).alias(f"_offset_{out}") for out in values.values()])
     inside = Window.partitionBy(*by_chunk).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    local = chunked.withColumn("_local", F.sum(value).over(inside))
-    return local.join(offsets, by_chunk).select(
-        *df.columns, (F.col("_offset") + F.coalesce("_local", F.lit(0))).alias(out)
-    )
+    local = chunked.withColumns({f"_local_{out}": F.sum(value).over(inside) for value, out in values.items()})
+    return local.join(offsets, by_chunk).select(*df.columns, *[
+        (F.col(f"_offset_{out}") + F.coalesce(f"_local_{out}", F.lit(0))).alias(out) for out in values.values()])
 
 
 def sma(candles: DataFrame, width: int = 20, frames: str = "partial", chunk: str = "1 day",
@@ -102,7 +107,7 @@ def sma_of_mean_price(ticks: DataFrame, width: int = 20, resolution: str = "1 mi
                       chunk: str = "30 days") -> DataFrame:
     """Moving average of the mean tick price per bucket, which stands in for the close."""
     rows = ticks.select(tumbling("ts", resolution).alias("ts_bucket"), "symbol", "price")
-    means = rows.groupBy("ts_bucket", "symbol").agg(exact.mean("price").alias("mean_price"))
+    means = rows.groupBy("ts_bucket", "symbol").agg(exact.mean(rows, "price").alias("mean_price"))
     return sma(means, width, "partial", chunk, value="mean_price")
 
 

@@ -1,108 +1,74 @@
-"""Statistics of many time windows over one tick table, as a single join."""
+"""Statistics of many time windows over one tick table, by running totals.
+
+The total of a window is the running total at its end less that before its
+start, so a window costs two lookups whatever its length. Ticks are summed per
+time bucket, and per exact time in the buckets that hold an end of a window;
+the ends are merged into these sums in time order, and running totals along
+them, taken chunk by chunk, are read off at the ends.
+"""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.exact import cents, from_cents, ratio
-from tickloom.functions.timecols import resolution_micros, tumbling
+from tickloom.functions import exact
+from tickloom.functions.timecols import epoch_micros, tumbling
+from tickloom.operators.moving import running_totals
 from tickloom.operators.ranges import in_range
 
-
-# Bucket marks are broadcast up to this many rows, some twenty bytes each.
-BROADCAST_BUCKETS = 2_000_000
+START, TICKS, END = 0, 1, 2  # order at the same time: starts, ticks, ends
 
 
 def window_stats(windows: DataFrame, ticks: DataFrame, by: list[str] | None = None,
-                 resolution: str = "1 second", salts: int = 8) -> DataFrame:
+                 resolution: str = "1 second", chunk: str = "1 hour") -> DataFrame:
     """Count, price sum and mean price per window, optionally per ``by`` columns.
 
-    ``windows`` is (wid, t1, t2), both ends inclusive. A window is made of the
-    time buckets it covers whole, taken from per-bucket sums, and of the at
-    most two buckets it cuts, taken from sums per exact timestamp. Both come
-    out of one pass over the ticks, and timestamps are kept apart only in
-    buckets that some window cuts. Ticks are never paired with windows one by
-    one, and a crowded second is summed up before it is shuffled. Cut buckets
-    are spread over ``salts`` tasks each. Choose a ``resolution`` well below
-    the window length: a window joins one row per bucket.
-
-    Windows without ticks have no rows. Runs a job over the windows, for their
-    extent and length and for the days to read. Unless the windows touch too
-    many buckets to broadcast those, ticks outside all windows are left out
-    first; beyond that every timestamp is summed up by itself.
+    ``windows`` is (wid, t1, t2), both ends inclusive; a window with ``t1 >
+    t2`` holds nothing. Windows without ticks have no rows. ``chunk`` is the
+    time over which totals run in one task; chunk totals are added up after.
+    With ``by``, every window is looked up for every value, as its result has
+    a row for each. Runs one job over the windows, for the extent to read.
     """
-    by = by or []
-    pieces = _pieces(windows, ticks, by, resolution, salts)
-    count, total = F.sum("_n"), from_cents(F.sum("_s"))
-    return pieces.groupBy("wid", *by).agg(
-        count.alias("tick_count"), total.alias("price_sum"), ratio(total, count).alias("avg_price")
-    )
-
-
-def _pieces(windows: DataFrame, ticks: DataFrame, by: list[str], resolution: str, salts: int) -> DataFrame:
-    """Counts and sums of the parts that each window is made of."""
-    summary = _summary(windows, resolution)
-    if not summary.windows:
-        wanted = ticks.where(F.lit(False))
-    else:
-        wanted = in_range(ticks, summary.lo, summary.hi)
-        if "dt" in ticks.columns:
-            wanted = wanted.where(F.col("dt").isin(summary.days))
-    wanted = wanted.withColumn("_bucket", tumbling("ts", resolution))
-
-    covered = _buckets_of(windows, resolution)
-    if (summary.buckets or 0) <= BROADCAST_BUCKETS:
-        marks = covered.groupBy("_bucket").agg(F.max(~F.col("_whole")).alias("_mark"))
-        marked = wanted.join(F.broadcast(marks), "_bucket")
-    else:
-        # So many windows cut about every bucket: keep all timestamps apart.
-        marked = wanted.withColumn("_mark", F.lit(True))
-    marked = marked.withColumn("_at", F.when(F.col("_mark"), F.col("ts")))
-    fine = marked.groupBy("_bucket", "_at", *by).agg(F.count(F.lit(1)).alias("_n"), F.sum(cents("price")).alias("_s"))
-
-    # Sums of a cut bucket count twice: at their timestamp and for the whole bucket.
-    whole_too = F.when(F.col("_at").isNull(), F.array("_at")).otherwise(F.array(F.lit(None), F.col("_at")))
-    levels = fine.select("_bucket", *by, "_n", "_s", F.explode(whole_too).alias("_at"))
-    sums = levels.groupBy("_bucket", "_at", *by).agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
-    sums = sums.withColumns({
-        "_whole": F.col("_at").isNull(),
-        "_salt": F.when(F.col("_at").isNull(), 0).otherwise(F.pmod(F.xxhash64("_at"), F.lit(salts)).cast("int")),
-    })
-
-    one_task, all_tasks = F.array(F.lit(0)), F.sequence(F.lit(0), F.lit(salts - 1))
-    wanted_by = covered.withColumn("_salt", F.explode(F.when(F.col("_whole"), one_task).otherwise(all_tasks)))
-    inside = F.col("_whole") | F.col("_at").between(F.col("t1"), F.col("t2"))
-    pieces = sums.join(wanted_by, ["_bucket", "_whole", "_salt"]).where(inside)
-    return pieces.select("wid", "t1", "t2", *by, "_n", "_s")
-
-
-def _summary(windows: DataFrame, resolution: str):
-    """One row: number, extent, touched buckets and touched days of the windows."""
-    length = F.timestamp_diff("MICROSECOND", F.col("t1"), F.col("t2"))
-    by_day = windows.select(
-        "t1", "t2", (length / resolution_micros(resolution) + 2).alias("_touched"),
-        F.posexplode(F.sequence(F.to_date("t1"), F.to_date("t2"))).alias("_i", "_day"),
+    totals = _totals(windows, ticks, by or [], resolution, chunk).where("_n > 0")
+    return totals.select(
+        "wid", *(by or []), F.col("_n").alias("tick_count"), F.col("_s").alias("price_sum"),
+        exact.ratio(F.col("_s"), F.col("_n")).alias("avg_price"),
     )
-    return by_day.agg(
-        F.min("t1").alias("lo"),
-        F.max("t2").alias("hi"),
-        F.count_if(F.col("_i") == 0).alias("windows"),
-        F.sum(F.when(F.col("_i") == 0, F.col("_touched"))).alias("buckets"),
-        F.collect_set("_day").alias("days"),
-    ).first()
-
 
-def _buckets_of(windows: DataFrame, resolution: str) -> DataFrame:
-    """One row per (window, bucket it touches); ``_whole`` if it covers all of it."""
-    width = F.expr(f"INTERVAL {resolution}")
-    ends = windows.withColumn("_first", tumbling("t1", resolution)).withColumn("_last", tumbling("t2", resolution))
-    touched = ends.withColumn("_bucket", F.explode(F.sequence("_first", "_last", width)))
-    end = F.col("_bucket") + width
-    whole = (F.col("_bucket") >= F.col("t1")) & (end <= F.col("t2") + F.expr("INTERVAL 1 MICROSECOND"))
-    return touched.select("wid", "t1", "t2", "_bucket", whole.alias("_whole"))
 
-
-def window_counts(windows: DataFrame, ticks: DataFrame, resolution: str = "1 second", salts: int = 8) -> DataFrame:
+def window_counts(windows: DataFrame, ticks: DataFrame, resolution: str = "1 second", chunk: str = "1 hour") -> DataFrame:
     """Tick count of every window, zero included."""
-    found = _pieces(windows, ticks, [], resolution, salts).select("wid", "t1", "t2", "_n")
+    found = _totals(windows, ticks, [], resolution, chunk).select("wid", "t1", "t2", "_n")
     none = windows.select("wid", "t1", "t2", F.lit(0).cast("bigint").alias("_n"))
     return found.unionByName(none).groupBy("wid", "t1", "t2").agg(F.sum("_n").alias("tick_count"))
+
+
+def _totals(windows: DataFrame, ticks: DataFrame, by: list[str], resolution: str, chunk: str) -> DataFrame:
+    """(wid, t1, t2, by, _n, _s) of the windows that are not upside down."""
+    windows = windows.where("t1 <= t2")
+    extent = windows.agg(F.min("t1"), F.max("t2")).first()
+    wanted = in_range(ticks, *extent) if extent[0] is not None else ticks.where(F.lit(False))
+
+    end = lambda time, kind, sign: F.struct(
+        F.col(time).alias("at"), F.lit(kind).alias("kind"), F.lit(sign).cast("bigint").alias("sign"))
+    ends = windows.select("wid", "t1", "t2", F.inline(F.array(end("t1", START, -1), end("t2", END, 1))))
+    cut = ends.select(tumbling("at", resolution).alias("_bucket")).distinct()
+
+    bucketed = wanted.withColumn("_bucket", tumbling("ts", resolution)).join(cut.withColumn("_cut", F.lit(True)), "_bucket", "left")
+    at = F.when(F.col("_cut"), F.col("ts")).otherwise(F.col("_bucket"))
+    sums = bucketed.withColumn("at", at).groupBy("at", *by).agg(
+        F.count(F.lit(1)).alias("_n"), exact.price_sum(ticks, "price").alias("_s"))
+    if by:
+        # every end for every value: as many rows as the result
+        values = wanted.agg(F.collect_set(F.struct(*by))).scalar()
+        ends = ends.select("*", F.explode(values).alias("_of")).select(*ends.columns, "_of.*")
+
+    place = (epoch_micros("at") * 3 + F.col("kind")).alias("_place")
+    marks = ends.select("wid", "t1", "t2", "sign", *by, "at", place)
+    steps = sums.withColumn("kind", F.lit(TICKS)).select(*by, "at", place, "_n", "_s")
+    merged = steps.unionByName(marks, allowMissingColumns=True)
+    running = running_totals(merged, {"_n": "_upto_n", "_s": "_upto_s"}, keys=by, order="_place", chunk=tumbling("at", chunk))
+    read = running.where(F.col("wid").isNotNull())
+    return read.groupBy("wid", "t1", "t2", *by).agg(
+        F.sum(F.col("_upto_n") * F.col("sign")).alias("_n"),
+        (F.sum(F.when(F.col("sign") > 0, F.col("_upto_s"))) - F.sum(F.when(F.col("sign") < 0, F.col("_upto_s")))).alias("_s"),
+    )

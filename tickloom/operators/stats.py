@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import exact
-from tickloom.functions.timecols import tumbling
+from tickloom.functions.timecols import first_last_key, tumbling
 from tickloom.operators.ranges import of_symbol
-from tickloom.session import broadcast_if_small, materialize
 
 
 def per_symbol(symbol: str | None) -> list[str]:
@@ -45,9 +44,7 @@ def candle_volume(candles: DataFrame, symbol: str | None = None) -> DataFrame:
 
 def vwap(ticks: DataFrame, symbol: str | None = None) -> DataFrame:
     """Volume-weighted average price; NULL where no volume traded."""
-    return _cut(ticks, symbol).groupBy(*per_symbol(symbol)).agg(
-        exact.vwap(exact.cents("price"), "volume").alias("vwap")
-    )
+    return _cut(ticks, symbol).groupBy(*per_symbol(symbol)).agg(exact.vwap(ticks, "price", "volume").alias("vwap"))
 
 
 def volume_by(ticks: DataFrame, resolution: str = "1 minute", symbol: str | None = None) -> DataFrame:
@@ -66,7 +63,7 @@ def volatility(df: DataFrame, value: str, symbol: str | None = None) -> DataFram
 
 def mean_price(ticks: DataFrame) -> DataFrame:
     """Mean price per symbol."""
-    return ticks.groupBy("symbol").agg(exact.mean("price").alias("avg_price"))
+    return ticks.groupBy("symbol").agg(exact.mean(ticks, "price").alias("avg_price"))
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -88,18 +85,12 @@ def high_water(df: DataFrame, time: str = "ts") -> DataFrame:
 def latest_price(ticks: DataFrame, symbol: str | None = None) -> DataFrame:
     """Price of the newest tick, ties going to the highest arrival number.
 
-    One symbol is a top-1. For all symbols the newest time of each is found
-    first, from two columns, and only ticks of those times are compared; that
-    step runs a job, and limits the second read to the days it needs.
+    One symbol is a top-1, all symbols are one pass with a hash aggregate.
     """
     if symbol is not None:
         return _cut(ticks, symbol).orderBy(F.desc("ts"), F.desc("seq")).limit(1).select("symbol", "ts", "price")
-    newest = materialize(ticks.groupBy("symbol").agg(F.max("ts").alias("ts")), "newest")
-    if "dt" in ticks.columns:
-        days = [row.dt for row in newest.select(F.to_date("ts").alias("dt")).distinct().collect()]
-        ticks = ticks.where(F.col("dt").isin(days))
-    last = ticks.join(broadcast_if_small(newest), ["symbol", "ts"])
-    return last.groupBy("symbol", "ts").agg(F.max_by("price", "seq").alias("price"))
+    keyed = ticks.select("symbol", "ts", "price", first_last_key("ts", "seq").alias("_at"))
+    return keyed.groupBy("symbol").agg(F.max("ts").alias("ts"), F.max_by("price", "_at").alias("price"))
 
 
 def latest_close(candles: DataFrame, symbol: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ are written before progress, so a crash in between leads to a replay, and a
 replay appends nothing (first write wins). One writer at a time.
 """
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from tickloom.operators.ranges import in_range
 from tickloom.sources.tables import complete_versions, remove_paths, scan_candles, table_exists, write_by_day
 
 # Older versions of the progress table are removed.
-KEEP_VERSIONS = 10
+KEEP_VERSIONS = 10  # the default; a reader slower than that many steps needs more
 
 
 def read_progress(spark: SparkSession, root: str) -> DataFrame:
@@ -36,7 +36,8 @@ def last_processed(spark: SparkSession, root: str, interval: str = "1s") -> date
     return row.last_processed_ts if row else None
 
 
-def set_progress(spark: SparkSession, root: str, position: datetime, interval: str = "1s") -> None:
+def set_progress(spark: SparkSession, root: str, position: datetime, interval: str = "1s",
+                 keep: int = KEEP_VERSIONS) -> None:
     """Record a position; the last record counts, even if it lies further back."""
     path = f"{root}/progress"
     versions = complete_versions(spark, path)
@@ -49,7 +50,7 @@ def set_progress(spark: SparkSession, root: str, position: datetime, interval: s
     # A version that a crash left incomplete is written over.
     version = versions[-1] + 1 if versions else 0
     merged.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
-    remove_paths(spark, [f"{path}/version={old}" for old in versions[:1 - KEEP_VERSIONS]])
+    remove_paths(spark, [f"{path}/version={old}" for old in versions[:max(len(versions) + 1 - keep, 0)]])
 
 
 def rewind(spark: SparkSession, root: str, position: datetime) -> None:
@@ -62,30 +63,34 @@ def merge_progress(progress: DataFrame, updates: DataFrame) -> DataFrame:
     return upsert(progress, updates, ["aggregation_interval"], ["updated_at"])
 
 
-def advance(spark: SparkSession, ticks: DataFrame, root: str, until: datetime | None = None) -> datetime | None:
+def advance(spark: SparkSession, ticks: DataFrame, root: str, until: datetime | None = None,
+            key: str = "wide") -> datetime | None:
     """Write the candles of all finished seconds since the last step, in one job.
 
     A second is finished once a tick of a later second exists, so no candle is
     frozen half full. Seconds without ticks give no candle and are passed over.
     Minutes that end within the step are rolled up from the stored one-second
-    candles. ``until`` stops earlier. Returns the new position.
+    candles. ``until`` stops earlier; ticks beyond it are not read. Returns the
+    new position.
     """
     position = last_processed(spark, root)
     if position is not None:
         # Days before the position are not read, not even for the high water.
         ticks = in_range(ticks, position, datetime.max.replace(microsecond=0), closed=False)
+    if until is not None:
+        # One tick at or after ``until`` shows that its second is over.
+        later = not in_range(ticks, until, datetime.max.replace(microsecond=0)).limit(1).isEmpty()
+        ticks = in_range(ticks, datetime.min, until, closed=False) if later else ticks
     edge = ticks.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     if edge.hi is None:
         return position
-    end = edge.hi.replace(microsecond=0)
-    if until is not None:
-        end = min(end, until.replace(microsecond=0))
+    end = until.replace(microsecond=0) if until is not None and later else edge.hi.replace(microsecond=0)
     start = position or edge.lo.replace(microsecond=0)
     if start >= end:
         return start
 
     step = in_range(ticks, start, end, closed=False)
-    append_candles(spark, ohlcv(step, "1 second"), f"{root}/ohlcv_1s", (start, end))
+    append_candles(spark, ohlcv(step, "1 second", key), f"{root}/ohlcv_1s", (start, end))
 
     first_minute, end_minute = start.replace(second=0), end.replace(second=0)
     if first_minute < end_minute and table_exists(spark, f"{root}/ohlcv_1s"):
@@ -97,22 +102,29 @@ def advance(spark: SparkSession, ticks: DataFrame, root: str, until: datetime |
     return end
 
 
-def rebuild(spark: SparkSession, ticks: DataFrame, root: str, first_day: datetime, last_day: datetime) -> None:
-    """Overwrite the candles of whole days from the ticks: the way to correct candles.
+def rebuild(spark: SparkSession, ticks: DataFrame, root: str, first_day: datetime, last_day: datetime,
+            key: str = "wide") -> None:
+    """Replace the candles of every day of a range: the way to correct candles.
 
-    Only finished seconds and minutes are written, as in ``advance``; the days
-    must lie before the progress position for that not to matter.
+    A day whose ticks are gone loses its candles. Only finished seconds and
+    minutes are written, as in ``advance``; the days must lie before the
+    progress position for that not to matter. Seconds are replaced first, then
+    minutes, then empty days are removed; after a crash in between, the same
+    call makes all three right.
     """
-    day = F.to_date("ts").between(F.lit(first_day.date()), F.lit(last_day.date()))
-    chosen = ticks.where(day)
+    first, last = first_day.date(), last_day.date()
+    chosen = ticks.where(F.to_date("ts").between(F.lit(first), F.lit(last)))
     if "dt" in ticks.columns:
-        chosen = chosen.where(F.col("dt").between(F.lit(first_day.date()), F.lit(last_day.date())))
+        chosen = chosen.where(F.col("dt").between(F.lit(first), F.lit(last)))
     position = last_processed(spark, root)
     if position is not None:
         chosen = chosen.where(F.col("ts") < ntz(position))
-    seconds = ohlcv(chosen, "1 second")
+    seconds = ohlcv(chosen, "1 second", key)
     minutes = rollup(seconds, "1 minute")
     if position is not None:
         minutes = minutes.where(F.col("ts_bucket") < ntz(position.replace(second=0)))
+    every = {first + timedelta(days=i) for i in range((last - first).days + 1)}
     for candles, table in ((seconds, "ohlcv_1s"), (minutes, "ohlcv_1m")):
         write_by_day(candles, f"{root}/{table}", "ts_bucket", ["symbol", "ts_bucket"], replace_days=True)
+        full = {row.day for row in candles.select(F.to_date("ts_bucket").alias("day")).distinct().collect()}
+        remove_paths(spark, [f"{root}/{table}/dt={day}" for day in sorted(every - full)])

@@ -59,20 +59,19 @@ def register_views(tables: Layouts) -> None:
             frame.createOrReplaceTempView(view)
 
 
-def candles_at(tables: Layouts, resolution: str) -> DataFrame:
+def candles_at(tables: Layouts, resolution: str, key: str = "wide") -> DataFrame:
     """Candles of any resolution, rolled up from the coarsest table that fits.
 
     Stored one-minute candles serve whole minutes, stored one-second candles
-    whole seconds. Without those, ticks go through one-second candles, whose
-    first and last tick are cheap to find.
+    whole seconds. Without those, ticks go through one-second candles.
     """
     width = resolution_micros(resolution)
     for stored, unit in ((tables.candles_1m, "1 minute"), (tables.candles_1s, "1 second")):
         if stored is not None and width % resolution_micros(unit) == 0:
             return rollup(stored, resolution)
     if width > resolution_micros("1 second") and width % resolution_micros("1 second") == 0:
-        return rollup(ohlcv(tables.raw, "1 second"), resolution)
-    return ohlcv(tables.raw, resolution)
+        return rollup(ohlcv(tables.raw, "1 second", key), resolution)
+    return ohlcv(tables.raw, resolution, key)
 
 
 def _raw(tables, start, end, symbol):

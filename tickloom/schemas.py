@@ -29,6 +29,16 @@ BUCKETS = T.StructType([
     T.StructField("volumes", T.ArrayType(T.IntegerType(), False), False),
     T.StructField("offsets_ms", T.ArrayType(T.IntegerType(), False), False),
     T.StructField("seqs", T.ArrayType(T.LongType(), False), False),
+    # What queries need of a row without its arrays.
+    T.StructField("tick_count", T.LongType()),
+    T.StructField("volume_sum", T.LongType()),
+    T.StructField("notional_cents", T.DecimalType(38, 0)),
+    T.StructField("open_price", PRICE),
+    T.StructField("high_price", PRICE),
+    T.StructField("low_price", PRICE),
+    T.StructField("close_price", PRICE),
+    T.StructField("first_at", T.DecimalType(38, 0)),
+    T.StructField("last_at", T.DecimalType(38, 0)),
 ])
 
 CANDLES = T.StructType([

@@ -1,15 +1,14 @@
 """Session settings and the shared scratch folder."""
 
+import atexit
 import functools
+import gc
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows a side may have before we stop asking Spark to broadcast it.
-BROADCAST_ROWS = 100_000
 
 
 def build_session(app: str = "tickloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -48,25 +47,41 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 
 @functools.cache
 def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="tickloom-")
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when it has at most ``max_rows`` rows.
-
-    Runs one bounded count. A larger frame is returned unmarked, so that the
-    join shuffles instead.
-    """
-    rows = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if rows <= max_rows else df
+    path = tempfile.mkdtemp(prefix="tickloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
-    For small intermediate tables that several later steps read. Unlike a
-    cache it survives the loss of executors without recomputing.
+    For intermediate tables that several later steps read. Unlike a cache it
+    survives the loss of executors without recomputing. ``discard`` deletes it.
     """
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._materialized_at = path
+    return found
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for frame in frames:
+        path, spark = frame._materialized_at, frame.sparkSession
+        jvm = getattr(spark, "_jvm", None)
+        if jvm is not None:
+            hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished queries that nothing refers to any more.
+
+    It does so once the driver's garbage collector has run, which may take long
+    without this call. Does nothing where the driver's handles are not there.
+    """
+    gc.collect()
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()

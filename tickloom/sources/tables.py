@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom import schemas
+from tickloom.session import materialize
 
 
 def with_day(schema: T.StructType) -> T.StructType:
@@ -43,6 +44,15 @@ def write_by_day(df: DataFrame, path: str, time: str, order: list[str], codec: s
     writer.option("compression", codec).partitionBy("dt").parquet(path)
 
 
+def compact_day(rows: DataFrame, path: str, time: str, codec: str = "zstd") -> None:
+    """Replace days of a table by ``rows``, which were read from it, as few files.
+
+    The rows are written to the shared folder first, as a job must not
+    overwrite what it reads. One writer at a time.
+    """
+    write_by_day(materialize(rows, "compact"), path, time, ["symbol", time], codec=codec, replace_days=True)
+
+
 def write_ticks(ticks: DataFrame, path: str, **options) -> None:
     """Append ticks into daily partitions, sorted by symbol and time."""
     write_by_day(ticks, path, "ts", ["symbol", "ts", "seq"], **options)

@@ -1,6 +1,6 @@
 """Header-less tab-separated tick files: symbol, price, volume, ts."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom import schemas
@@ -11,17 +11,39 @@ TS_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]"
 def load_tsv(spark: SparkSession, paths: str | list[str], number: bool = True) -> DataFrame:
     """Read tick files; malformed lines fail the job instead of turning NULL.
 
-    The files carry no arrival number. ``number=True`` adds one that follows
-    the line order inside each file split. It is unique, but with more than a
-    thousand splits it exceeds 43 bits and candles need ``key="wide"``. Write
-    the result with ``write_ticks`` once: numbers are not stable across reads.
+    The files carry no arrival number. ``number=True`` adds one: 0, 1, 2 in
+    line order within and across files, files by path. However the files are
+    split, the numbers are the same. They cost a counting pass over the files:
+    lines are counted per split, and running totals of these counts, one row per
+    split, are where each split starts.
     """
     reader = spark.read.schema(schemas.TICKS_TSV).option("timestampNTZFormat", TS_FORMAT)
     ticks = reader.csv(paths, sep="\t", header=False, mode="FAILFAST")
-    if number:
-        ticks = ticks.withColumn("seq", F.monotonically_increasing_id())
-        return ticks.select("seq", "ts", "symbol", "price", "volume")
-    return ticks
+    if not number:
+        return ticks
+    placed = ticks.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_nr"),
+    )
+    splits = placed.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_lines"), F.min("_nr").alias("_first"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("_file", "_block", (F.coalesce(F.sum("_lines").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    numbered = placed.join(starts, ["_file", "_block"])
+    return numbered.select((F.col("_nr") + F.col("_shift")).alias("seq"), "ts", "symbol", "price", "volume")
+
+
+def clock_time(text: str, fallback: str) -> Column:
+    """A clock time such as ``09:30`` or ``09:30:15`` as seconds of the day; ``fallback`` where it is none."""
+    parsed = F.coalesce(*[F.try_to_timestamp(F.concat(F.lit("1970-01-01 "), F.trim(F.col(text))), F.lit(form))
+                          for form in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm")])
+    hours, minutes, *seconds = (int(part) for part in fallback.split(":"))
+    default = F.lit(hours * 3600 + minutes * 60 + sum(seconds))
+    return F.coalesce(F.hour(parsed) * 3600 + F.minute(parsed) * 60 + F.second(parsed), default)
+
+
+def clock_label(ts: str) -> Column:
+    """The ``HH:MM`` label of a time."""
+    return F.date_format(ts, "HH:mm")
 
 
 def write_tsv(ticks: DataFrame, path: str) -> None:

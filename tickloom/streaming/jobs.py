@@ -4,6 +4,9 @@ Watermarks need a zoned timestamp, so ticks get an ``event_time``, their time
 taken as UTC whatever the session zone, and results turn back to zone-less
 times in the sink. Late ticks, older than the watermark, are dropped; windows come out
 once, when the watermark has passed their end.
+
+Packing keeps no state: every batch appends the packed rows of its own ticks,
+and readers merge the rows of a bucket.
 """
 
 from collections.abc import Callable
@@ -14,8 +17,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tickloom import schemas
 from tickloom.functions.timecols import epoch_micros, first_last_key, from_epoch_micros
-from tickloom.operators.buckets import ARRAYS, PART_SIZE
+from tickloom.operators.buckets import PART_SIZE, merge_buckets, pack
 from tickloom.operators.keyed import append_by_key
+from tickloom.sources.tables import compact_day, scan_buckets, with_day, write_by_day
 
 
 def stream_ticks(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -30,9 +34,9 @@ def _watermarked(ticks: DataFrame, delay: str) -> DataFrame:
     return ticks.withColumn("event_time", F.timestamp_micros(epoch_micros("ts"))).withWatermark("event_time", delay)
 
 
-def candles(ticks: DataFrame, delay: str = "0 seconds", resolution: str = "1 second") -> DataFrame:
+def candles(ticks: DataFrame, delay: str = "0 seconds", resolution: str = "1 second", key: str = "wide") -> DataFrame:
     """Candles of a tick stream, with their event-time window as ``w``."""
-    keyed = _watermarked(ticks, delay).withColumn("_at", first_last_key("ts", "seq", resolution))
+    keyed = _watermarked(ticks, delay).withColumn("_at", first_last_key("ts", "seq", key))
     return keyed.groupBy(F.window("event_time", resolution).alias("w"), "symbol").agg(
         F.min_by("price", "_at").alias("open_price"),
         F.max("price").alias("high_price"),
@@ -56,24 +60,6 @@ def rollup(finer: DataFrame, resolution: str = "1 minute") -> DataFrame:
     ).withColumnRenamed("coarse", "w")
 
 
-def packed(ticks: DataFrame, delay: str = "0 seconds", part_size: int = PART_SIZE) -> DataFrame:
-    """Packed rows of a tick stream, one per (second, symbol, part)."""
-    member = F.struct(
-        "ts",
-        F.col("seq").alias("seqs"),
-        F.col("price").cast("float").alias("prices"),
-        F.col("volume").alias("volumes"),
-        F.expr("CAST(pmod(unix_millis(event_time), 1000L) AS INT)").alias("offsets_ms"),
-    )
-    runs = _watermarked(ticks, delay).select(
-        "event_time", "symbol", F.expr(f"seq DIV {part_size}").alias("part"), member.alias("_tick")
-    )
-    gathered = runs.groupBy(F.window("event_time", "1 second").alias("w"), "symbol", "part").agg(
-        F.sort_array(F.collect_list("_tick")).alias("_ticks")
-    )
-    return gathered.select("w", "symbol", "part", *[F.col("_ticks")[name].alias(name) for name in ARRAYS])
-
-
 def _window_start(alias: str) -> Column:
     return from_epoch_micros(F.unix_micros("w.start")).alias(alias)
 
@@ -81,8 +67,7 @@ def _window_start(alias: str) -> Column:
 def run_candles(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append finished candles to a day-partitioned table, first write winning.
 
-    A batch that is run again after a failure finds its keys present and
-    appends nothing. ``trigger`` defaults to all available input, then stop.
+    ``trigger`` defaults to all available input, then stop.
     """
     columns = [field.name for field in schemas.CANDLES if field.name != "ts_bucket"]
 
@@ -92,24 +77,33 @@ def run_candles(stream: DataFrame, path: str, checkpoint: str, **trigger) -> Str
     return _start(stream, rows_of, path, "ts_bucket", ["ts_bucket", "symbol"], "zstd", checkpoint, trigger)
 
 
-def run_packed(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append finished packed rows, skipping those a replay has written already."""
-
-    def rows_of(batch: DataFrame) -> DataFrame:
-        return batch.select(_window_start("bucket_ts"), "symbol", "part", *ARRAYS)
+def run_packed(ticks: DataFrame, path: str, checkpoint: str, part_size: int = PART_SIZE, **trigger) -> StreamingQuery:
+    """Append the packed rows of each batch of a tick stream; late ticks are kept.
 
-    return _start(stream, rows_of, path, "bucket_ts", ["bucket_ts", "symbol", "part"], "lz4_raw", checkpoint, trigger)
+    A bucket that several batches touch has several rows. ``compact_packed``
+    makes them one.
+    """
+    keys = ["bucket_ts", "symbol", "part", "first_at"]
+    return _start(ticks, lambda batch: pack(batch, part_size=part_size), path, "bucket_ts", keys, "lz4_raw", checkpoint, trigger)
 
 
 def _start(stream: DataFrame, rows_of: Callable[[DataFrame], DataFrame], path: str, time: str, keys: list[str],
            codec: str, checkpoint: str, trigger: dict) -> StreamingQuery:
+    # Only the first batch of a run can be one that was written before: a failure
+    # ends the query, and a restart begins with the batch that was not committed.
+    first = [True]
+
     def sink(batch: DataFrame, _: int) -> None:
         # The period and the write both read the batch: compute it once.
         rows = rows_of(batch).persist()
         try:
-            period = rows.agg(F.min(time), F.max(time)).first()
-            if period[0] is not None:
-                append_by_key(batch.sparkSession, rows, path, time, keys, tuple(period), codec)
+            if first[0]:
+                period = rows.agg(F.min(time), F.max(time)).first()
+                if period[0] is not None:
+                    append_by_key(batch.sparkSession, rows, path, time, keys, tuple(period), codec)
+            else:
+                write_by_day(rows, path, time, ["symbol", time], codec=codec, increment=True)
+            first[0] = False
         finally:
             rows.unpersist()
 
@@ -117,8 +111,23 @@ def _start(stream: DataFrame, rows_of: Callable[[DataFrame], DataFrame], path: s
     return writer.trigger(**(trigger or {"availableNow": True})).foreachBatch(sink).start()
 
 
+def compact_packed(spark: SparkSession, path: str, day: str) -> None:
+    """Merge the packed rows of a day: one row per bucket and part, few files."""
+    rows = scan_buckets(spark, path).where(F.col("dt") == F.lit(day).cast("date")).drop("dt")
+    compact_day(merge_buckets(rows), path, "bucket_ts", codec="lz4_raw")
+
+
+def compact_candles(spark: SparkSession, path: str, day: str) -> None:
+    """Write the candles of a day again as few files."""
+    rows = spark.read.schema(with_day(schemas.CANDLES)).parquet(path).where(F.col("dt") == F.lit(day).cast("date"))
+    compact_day(rows.drop("dt"), path, "ts_bucket")
+
+
 def late_groups(query: StreamingQuery) -> int:
-    """Partially aggregated groups dropped as late so far (not input rows)."""
+    """Partially aggregated groups dropped as late (not input rows).
+
+    Counts the batches whose progress Spark still keeps, by default the last 100.
+    """
     return sum(
         operator["numRowsDroppedByWatermark"]
         for progress in query.recentProgress
