@@ -160,9 +160,9 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, seed: int = 23) -> tuple[
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts.ravel()[some])], ["slot", "n"])
 
-    found = sample.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    found = sample.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(len(names) * ORDERS << BUCKET_BITS)
-    counts[found["slot"]] = found["n"]
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
     counts = counts.reshape(len(names), ORDERS, -1) + 0.5
     table = np.log(counts / counts.sum(axis=2, keepdims=True)).astype(np.float32)
     return names, np.ascontiguousarray(table.transpose(1, 2, 0))
