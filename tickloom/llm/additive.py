@@ -229,10 +229,10 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", folds:
     marked = marked.where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & (fold(F.col("id"), folds) != held))
     share = min(1.0, rows / max(marked.count(), 1))
     drawn = marked.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)).distinct()
-    taught = described.join(drawn, described["doc_id"] == drawn["id"]).select("doc_id", "values", "label").toPandas()
-    taught = taught.sort_values("doc_id", kind="stable")
-    values = np.stack(taught["values"].to_list()).astype(np.float64) if len(taught) else np.zeros((0, len(FEATURES)))
-    model = AdditiveModel().fit(values, taught["label"].to_numpy(np.float64))
+    taught = described.join(drawn, described["doc_id"] == drawn["id"]).select("doc_id", "h", "values", "label").toArrow()
+    taught = taught.sort_by([("doc_id", "ascending"), ("h", "ascending"), ("label", "ascending")])
+    values = np.array(taught["values"].to_pylist(), np.float64).reshape(-1, len(FEATURES))
+    model = AdditiveModel().fit(values, taught["label"].to_numpy().astype(np.float64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
