@@ -17,10 +17,11 @@ import zlib
 
 import numpy as np
 
-LANES, STEPS = 4096, 256
+LANES, STEPS = 8192, 256
 BLOCK_IDS = LANES * STEPS
-TOTAL_BITS, COUNT_BITS, TABLE_BITS = 28, 22, 18
+TOTAL_BITS, COUNT_BITS, TABLE_BITS = 28, 20, 18
 TOTAL, COUNTS = 1 << TOTAL_BITS, 1 << COUNT_BITS
+MOST_IDS = COUNTS >> 1
 REFRESH = 16
 LEVELS = 16
 MAGIC = b"TLB1"
@@ -30,46 +31,55 @@ LOW32 = U64(0xFFFFFFFF)
 
 
 class Model:
-    """The predictors' state within a block."""
+    """The predictors' state within a block. An entry of orders 1 and 2 is an id above four bits of confidence."""
 
     def __init__(self, vocabulary: int):
-        self.pred2 = np.zeros(1 << TABLE_BITS, np.int64)
-        self.conf2 = np.zeros(1 << TABLE_BITS, np.int64)
-        self.pred1 = np.zeros(vocabulary, np.int64)
-        self.conf1 = np.zeros(vocabulary, np.int64)
+        self.order2 = np.zeros(1 << TABLE_BITS, np.int32)
+        self.order1 = np.zeros(vocabulary, np.int32)
         self.right = np.ones(LEVELS * LEVELS * 3, np.int64)  # per gate: order 0, 1, 2
         self.right[0::3] = 4
         self.seen = np.zeros(vocabulary, np.int64)
+        # the new confidence less the old one, for misses and for hits
+        miss = (np.arange(LEVELS) >> 1) - np.arange(LEVELS)
+        hit = np.minimum(np.arange(LEVELS) + 1, LEVELS - 1) - np.arange(LEVELS)
+        self.change = np.concatenate([miss, hit]).astype(np.int32)
         self.learn_counts()
         self.learn_gates()
 
     def learn_counts(self):
         """Order 0's cumulative counts, scaled to a fixed total with at least 1 for every id."""
-        running = np.concatenate([[0], np.cumsum(self.seen)])
-        places = np.arange(len(running))
-        room = COUNTS - len(self.seen)
-        scaled = running * room // max(running[-1], 1) if running[-1] else places * room // len(self.seen)
-        self.running = (scaled + places).astype(np.uint64)
+        running = np.zeros(len(self.seen) + 1, np.int64)
+        np.cumsum(self.seen, out=running[1:])
+        if not running[-1]:
+            running = np.arange(len(running))
+        room = (COUNTS - len(self.seen)) / float(running[-1])
+        self.running = (running * room).astype(np.uint64) + np.arange(len(running), dtype=np.uint64)
+        self.running[-1] = COUNTS
+
+    def id_table(self) -> np.ndarray:
+        """The id of each place below ``COUNTS``, for decoding."""
+        return np.repeat(np.arange(len(self.seen), dtype=np.int32), np.diff(self.running.astype(np.int64)))
 
     def learn_gates(self):
         n0, n1, n2 = self.right[0::3], self.right[1::3], self.right[2::3]
         share = (TOTAL - (1 << (TOTAL_BITS - 5))) // (n0 + n1 + n2)
-        self.weight2, self.weight1 = (n2 * share).astype(np.uint64), (n1 * share).astype(np.uint64)
+        self.weight2, self.base = (n2 * share).astype(np.uint64), ((n2 + n1) * share).astype(np.uint64)
 
     def contexts(self, last, before):
+        """(place in order 2, its entry, order 1's entry, gate, weight of order 2, of both)."""
         at2 = ((last * 0x9E3779B1 + before * 0x85EBCA77) & 0xFFFFFFFF) >> (32 - TABLE_BITS)
-        conf2, conf1 = self.conf2[at2], self.conf1[last]
-        gate = conf2 * LEVELS + conf1
-        return at2, self.pred2[at2], conf2, self.pred1[last], conf1, gate, self.weight2[gate], self.weight1[gate]
+        two, one = self.order2.take(at2), self.order1.take(last)
+        gate = ((two & 15) << 4) | (one & 15)
+        return at2, two, one, gate, self.weight2.take(gate), self.base.take(gate)
 
-    def learn(self, last, ids, at2, pred2, conf2, pred1, conf1, gate, hit2, hit1):
-        outcome = gate * 3 + hit2 * 2 + (hit1 & ~hit2)
-        self.right += np.bincount(outcome, minlength=len(self.right))
+    def learn(self, last, ids, at2, two, one, gate, hit2, hit1):
+        self.right += np.bincount(gate * 3 + np.where(hit2, 2, hit1), minlength=len(self.right))
         self.learn_gates()
-        self.pred2[at2] = np.where(conf2 > 1, pred2, ids)
-        self.conf2[at2] = np.where(hit2, np.minimum(conf2 + 1, LEVELS - 1), (conf2 >> 1) + (conf2 <= 1))
-        self.pred1[last] = np.where(conf1 > 1, pred1, ids)
-        self.conf1[last] = np.where(hit1, np.minimum(conf1 + 1, LEVELS - 1), (conf1 >> 1) + (conf1 <= 1))
+        fresh = ((ids << 4) | 1).astype(np.int32)
+        for table, at, entry, hit in ((self.order2, at2, two, hit2), (self.order1, last, one, hit1)):
+            conf = entry & 15
+            kept = entry + self.change.take(conf + (hit << 4))
+            table[at] = np.where(hit | (conf > 1), kept, fresh)
 
 
 def lanes_of(count: int) -> tuple[int, int]:
@@ -79,11 +89,11 @@ def lanes_of(count: int) -> tuple[int, int]:
 
 
 def encode(ids: np.ndarray) -> bytes:
-    """A block of at least one id below 2**20, at most ``BLOCK_IDS`` of them."""
+    """A block of at least one id below ``MOST_IDS``, at most ``BLOCK_IDS`` of them."""
     ids = np.ascontiguousarray(ids, np.int64)
     count, vocabulary = len(ids), int(ids.max()) + 1
-    if vocabulary > 1 << 20:
-        raise ValueError(f"id {vocabulary - 1} is not below 2**20")
+    if vocabulary > MOST_IDS:
+        raise ValueError(f"id {vocabulary - 1} is not below {MOST_IDS}")
     steps, lanes = lanes_of(count)
     grid = np.zeros(steps * lanes, np.int64)
     grid[:count] = ids
@@ -96,13 +106,16 @@ def encode(ids: np.ndarray) -> bytes:
     for t in range(steps):
         active = lanes if t < full else lanes - 1
         now, last, before, lo, sp = grid[t, :active], last[:active], before[:active], low[:active], span[:active]
-        at2, pred2, conf2, pred1, conf1, gate, w2, w1 = model.contexts(last, before)
-        hit2, hit1 = now == pred2, now == pred1
-        rest, base = U64(TOTAL) - w2 - w1, w2 + w1
-        down = (rest * model.running[now]) >> U64(COUNT_BITS)
-        up = (rest * model.running[now + 1]) >> U64(COUNT_BITS)
-        start = np.where(hit2, U64(0), np.where(hit1, w2, base + down))
-        width = np.where(hit2, w2, np.where(hit1, w1, up - down))
+        at2, two, one, gate, w2, base = model.contexts(last, before)
+        hit2, hit1 = now == two >> 4, now == one >> 4
+        start, stop = np.where(hit2, U64(0), w2), np.where(hit2, w2, base)
+        other = np.flatnonzero(~(hit2 | hit1))
+        if len(other):
+            base_, ids_ = base[other], now[other]
+            rest = U64(TOTAL) - base_
+            start[other] = base_ + ((rest * model.running.take(ids_)) >> U64(COUNT_BITS))
+            stop[other] = base_ + ((rest * model.running.take(ids_ + 1)) >> U64(COUNT_BITS))
+        width = stop - start
         unit = sp >> U64(TOTAL_BITS)
         lo += unit * start
         np.multiply(unit, width, out=sp)
@@ -113,7 +126,7 @@ def encode(ids: np.ndarray) -> bytes:
             out[short, lengths[short]] = (lo_ >> U64(32)).astype(np.uint32)
             lengths[short] += 1
             lo[short], sp[short] = lo_ << U64(32), sp_ << U64(32)
-        model.learn(last, now, at2, pred2, conf2, pred1, conf1, gate, hit2, hit1)
+        model.learn(last, now, at2, two, one, gate, hit2, hit1)
         if (t + 1) % REFRESH == 0:
             model.seen += np.bincount(grid[t + 1 - REFRESH:t + 1, :active].ravel(), minlength=vocabulary)
             model.learn_counts()
@@ -147,25 +160,26 @@ def decode(block) -> np.ndarray:
     code, read = (words[:, 0] << U64(32)) | words[:, 1], np.full(lanes, 2, np.int64)
     last = before = np.zeros(lanes, np.int64)
     grid = np.zeros((steps, lanes), np.int64)
-    end = words.shape[1] - 1
+    end, owner = words.shape[1] - 1, model.id_table()
     for t in range(steps):
         active = lanes if t < full else lanes - 1
         last, before, lo, sp, co = last[:active], before[:active], low[:active], span[:active], code[:active]
-        at2, pred2, conf2, pred1, conf1, gate, w2, w1 = model.contexts(last, before)
+        at2, two, one, gate, w2, base = model.contexts(last, before)
         unit = sp >> U64(TOTAL_BITS)
         slot = np.minimum((co - lo) // unit, U64(TOTAL - 1))
-        base = w2 + w1
-        rest = U64(TOTAL) - base
-        two, one = slot < w2, slot < base
-        now, start, width = np.where(two, pred2, pred1), np.where(two, U64(0), w2), np.where(two, w2, w1)
-        other = np.flatnonzero(~one)
+        is2 = slot < w2
+        now = (np.where(is2, two, one) >> 4).astype(np.int64)
+        start, stop = np.where(is2, U64(0), w2), np.where(is2, w2, base)
+        other = np.flatnonzero(slot >= base)
         if len(other):
-            rest_ = rest[other]
-            most = (((slot[other] - base[other] + U64(1)) << U64(COUNT_BITS)) - U64(1)) // rest_
-            ids = np.searchsorted(model.running, most, side="right") - 1
-            down = (rest_ * model.running[ids]) >> U64(COUNT_BITS)
-            now[other], start[other] = ids, base[other] + down
-            width[other] = ((rest_ * model.running[ids + 1]) >> U64(COUNT_BITS)) - down
+            base_ = base[other]
+            rest = U64(TOTAL) - base_
+            most = (((slot[other] - base_ + U64(1)) << U64(COUNT_BITS)) - U64(1)) // rest
+            ids = owner.take(most.astype(np.int64))
+            now[other] = ids
+            start[other] = base_ + ((rest * model.running.take(ids)) >> U64(COUNT_BITS))
+            stop[other] = base_ + ((rest * model.running.take(ids + 1)) >> U64(COUNT_BITS))
+        width = stop - start
         lo += unit * start
         np.multiply(unit, width, out=sp)
         short = np.flatnonzero(sp <= LOW32)
@@ -176,10 +190,11 @@ def decode(block) -> np.ndarray:
             code[short] = (co[short] << U64(32)) | words[short, np.minimum(read[short], end)]
             read[short] += 1
         grid[t, :active] = now
-        model.learn(last, now, at2, pred2, conf2, pred1, conf1, gate, now == pred2, now == pred1)
+        model.learn(last, now, at2, two, one, gate, now == two >> 4, now == one >> 4)
         if (t + 1) % REFRESH == 0:
             model.seen += np.bincount(grid[t + 1 - REFRESH:t + 1, :active].ravel(), minlength=vocabulary)
             model.learn_counts()
+            owner = model.id_table()
         last, before = now, last
     ids = grid.T.ravel()[:count]
     if zlib.crc32(ids.astype("<u4").tobytes()) != checksum:

@@ -50,26 +50,41 @@ class PieceEncoder:
 
     def __init__(self, tokenizer, table: dict | None = None):
         self.tokenizer, self.table = tokenizer, {} if table is None else table
+        size = tokenizer.get_vocab_size(with_added_tokens=True)
+        # byte-level vocabularies write a space as this letter
+        self.opens = np.array([(tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        if len(self.table) > KEPT_PIECES:
-            self.table.clear()
         table, split = self.table, [text.split(" ") for text in texts]
-        fresh = list({piece for pieces in split for piece in pieces if piece not in table})
-        irregular = {piece for piece in fresh if IRREGULAR.search(piece)}
-        table.update(dict.fromkeys(irregular))
-        fresh = [piece for piece in fresh if piece not in irregular]
-        table.update(zip(fresh, self.ids_of([" " + piece for piece in fresh]), strict=True))
-        found = [[table[piece] for piece in pieces] for pieces in split]
+        found = [list(map(table.get, pieces)) for pieces in split]
+        fresh = list({piece for pieces, coded in zip(split, found, strict=True) if None in coded
+                      for piece, ids in zip(pieces, coded, strict=True) if ids is None})
+        regular = [piece for piece in fresh if not IRREGULAR.search(piece)]
+        new = dict.fromkeys(fresh, 0) | dict(zip(regular, self.ids_of_pieces(regular), strict=True))
+        for pieces, coded in zip(split, found, strict=True):
+            if None in coded:
+                coded[:] = [new[piece] if ids is None else ids for piece, ids in zip(pieces, coded, strict=True)]
+        if len(table) < KEPT_PIECES:  # common pieces come early
+            table.update(new)
         # the first piece has no space before it; irregular texts are encoded whole
-        heads = self.ids_of([text if None in coded else pieces[0] for text, pieces, coded in zip(texts, split, found, strict=True)])
+        heads = self.tokenizer.encode_batch_fast(
+            [text if 0 in coded else pieces[0] for text, pieces, coded in zip(texts, split, found, strict=True)], add_special_tokens=False)
         for coded, head in zip(found, heads, strict=True):
-            yield head if None in coded else head + b"".join(coded[1:])
-
-    def ids_of(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", one.ids).tobytes() for one in found]
+            first = array("I", head.ids).tobytes()
+            yield first if 0 in coded else first + b"".join(coded[1:])
+
+    def ids_of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces with a space before each, encoded as one text and cut where an id opens with a space."""
+        if not pieces:
+            return []
+        joined = self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0]
+        ids = np.array(joined.ids, "<u4")
+        starts = np.flatnonzero(self.opens[ids])
+        if len(starts) != len(pieces):
+            raise ValueError("the tokenizer does not begin a piece at every space")
+        raw, cuts = ids.tobytes(), [*(starts * 4).tolist(), len(ids) * 4]
+        return [raw[low:high] for low, high in zip(cuts, cuts[1:], strict=False)]
 
 
 def worker_table() -> dict:
