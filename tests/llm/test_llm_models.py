@@ -5,10 +5,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm_cases import WORD, edge_texts, lowered, same_rows
 from tickloom.llm import additive, context_mixing, languages
+from tickloom.llm.kernels import Words, byte_tables, chunked
 
 SF = "/root/testdata/sf0.01"
 
@@ -120,3 +122,24 @@ def test_common_words_are_cheaper_than_rare(documents):
     per_token = [r["score"] / r["n_tokens"] for r in rows if r["n_known"] > 0.95 * r["n_tokens"]]
     strange = [r["score"] / r["n_tokens"] for r in rows if r["n_known"] < 0.7 * r["n_tokens"]]
     assert np.mean(per_token) > np.mean(strange)
+
+
+def test_scores_depend_on_the_order_of_words(spark):
+    ordered = "the cat sat on the mat while the old dog slept under a big tree"
+    shuffled = " ".join(sorted(ordered.split()))
+    rows = [(i, ordered) for i in range(40)] + [(i, shuffled) for i in range(100, 101)]
+    found = {r["doc_id"]: r for r in context_mixing.score(spark.createDataFrame(rows, "doc_id long, text string"), folds=1).collect()}
+    assert abs(found[0]["base_score"] - found[100]["base_score"]) < 1e-6
+    assert found[0]["score"] > found[100]["score"] + 3
+
+
+def test_closed_texts_and_their_contexts():
+    texts = ["the  Cat", "", None, "cat sat\tdown"]
+    ((_, _, data, offsets),) = chunked(pa.array(texts), 1 << 20)
+    closed, bounds = context_mixing.closed_texts(Words(data, offsets, byte_tables()))
+    assert [closed[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [b"the cat \0", b"\0", b"\0", b"cat sat down \0"]
+    contexts, place = context_mixing.byte_contexts(closed, bounds)
+    first, second = bounds[0] + 4, bounds[3]  # "cat" after "the" and at a text's start
+    assert place[first] == place[second] == 0
+    same = contexts[:, first + 2] == contexts[:, second + 2]
+    assert same.tolist() == [True, True, False, True, False, False]
