@@ -143,3 +143,19 @@ def test_closed_texts_and_their_contexts():
     assert place[first] == place[second] == 0
     same = contexts[:, first + 2] == contexts[:, second + 2]
     assert same.tolist() == [True, True, False, True, False, False]
+
+
+def test_weights_are_fitted_on_all_training_texts(spark, monkeypatch):
+    random = np.random.default_rng(3)
+    names = ["".join(random.choice(list("abcdefgh"), 5)) for _ in range(300)]
+    texts = [" ".join(names[j] for j in (random.random(60) ** 2 * 300).astype(int)) for _ in range(120)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("text").repartition(5)
+    n_bytes = sum(map(len, texts))
+    whole = context_mixing.trained(frame, n_bytes)
+    closed = context_mixing.closed_texts(Words(np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate([[0], np.cumsum([*map(len, texts)])]), byte_tables()))
+    gain = whole.step(whole.slopes(*closed))
+    assert gain < 0.01 * n_bytes  # nothing left to learn from all texts
+    monkeypatch.setattr(context_mixing, "START_BYTES", 1000)
+    other = context_mixing.trained(frame, n_bytes)
+    a, b = whole.scores(*closed).sum(), other.scores(*closed).sum()
+    assert abs(a - b) < 0.01 * abs(a)  # the start does not decide
