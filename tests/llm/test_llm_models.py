@@ -151,11 +151,19 @@ def test_weights_are_fitted_on_all_training_texts(spark, monkeypatch):
     texts = [" ".join(names[j] for j in (random.random(60) ** 2 * 300).astype(int)) for _ in range(120)]
     frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("text").repartition(5)
     n_bytes = sum(map(len, texts))
-    whole = context_mixing.trained(frame, n_bytes)
+    whole, _ = context_mixing.trained(frame, n_bytes)
     closed = context_mixing.closed_texts(Words(np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate([[0], np.cumsum([*map(len, texts)])]), byte_tables()))
     gain = whole.step(whole.slopes(*closed))
     assert gain < 0.01 * n_bytes  # nothing left to learn from all texts
     monkeypatch.setattr(context_mixing, "START_BYTES", 1000)
-    other = context_mixing.trained(frame, n_bytes)
+    other, _ = context_mixing.trained(frame, n_bytes)
     a, b = whole.scores(*closed).sum(), other.scores(*closed).sum()
     assert abs(a - b) < 0.01 * abs(a)  # the start does not decide
+
+
+def test_words_seen_once_are_counted_in_every_order(spark):
+    frame = spark.createDataFrame([("zyxwv",), ("aa bb",)], "text string").repartition(2)
+    tables = context_mixing.predictor_tables(frame).tables
+    assert [len(table).bit_length() - 1 for table in tables] == list(context_mixing.SLOT_BITS)
+    n_bits = 8 * len(b"zyxwv \0aa bb \0")
+    assert [table[:, 1].sum() for table in tables] == [n_bits] * context_mixing.ORDERS
