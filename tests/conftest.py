@@ -1,18 +1,17 @@
 import os
 import sys
-from datetime import datetime, timedelta
+from datetime import timedelta
 from decimal import Decimal
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from core_cases import START  # noqa: E402
 from tickloom import schemas  # noqa: E402
 from tickloom.session import build_session  # noqa: E402
 
-START = datetime(2024, 4, 11, 23, 59, 58)
-
-
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
@@ -53,11 +52,3 @@ def feed(make_ticks):
         cents = 10_000 + (seq * 7919) % 5_000
         rows.append((seq, (seq // 3) * 150, symbol, f"{cents / 100:.2f}", (seq * 13) % 11))
     return make_ticks(rows)
-
-
-def plan_of(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
-def rows_of(df):
-    return sorted(tuple(row) for row in df.collect())

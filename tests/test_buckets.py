@@ -1,6 +1,6 @@
 from datetime import timedelta
 
-from conftest import START, plan_of, rows_of
+from core_cases import START, plan_of, rows_of
 from pyspark.sql import functions as F
 
 from tickloom.operators import buckets, stats

@@ -1,5 +1,5 @@
 import pytest
-from conftest import plan_of, rows_of
+from core_cases import plan_of, rows_of
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 

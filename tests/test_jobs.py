@@ -3,7 +3,7 @@
 from datetime import timedelta
 
 import pytest
-from conftest import START, rows_of
+from core_cases import START, rows_of
 from pyspark.sql import functions as F
 
 from tickloom import schemas

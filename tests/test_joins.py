@@ -2,7 +2,7 @@ from datetime import timedelta
 from decimal import Decimal
 
 import pytest
-from conftest import START, plan_of, rows_of
+from core_cases import START, plan_of, rows_of
 from pyspark.sql import functions as F
 
 from tickloom import schemas

@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
-from conftest import plan_of
+from core_cases import plan_of
 from pyspark.sql import functions as F
 
 from tickloom.operators.kpis import kpis

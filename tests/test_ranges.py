@@ -1,7 +1,7 @@
 from datetime import timedelta
 
 import pytest
-from conftest import START, plan_of, rows_of
+from core_cases import START, plan_of, rows_of
 from pyspark.sql import functions as F
 
 from tickloom.operators import ranges, stats
