@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import additive, chat, context_mixing, languages, mixing, overlap_join, phrases, rules, token_files, warc
+from tickloom.llm import (
+    additive, chat, context_mixing, hard_negatives, languages, mixing, overlap_join, phrases, rules, secret_scan, token_files,
+    warc, whitening,
+)
 from tickloom.llm.common import table
 from tickloom.llm.sql import ORACLES
 
@@ -86,3 +89,25 @@ def op9_jaccard_join(spark, sf_dir):
 def op10_context_mixing(spark, sf_dir):
     found = context_mixing.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@register
+def op11_whitening(spark, sf_dir):
+    found = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+@register
+def op12_hard_negatives(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label").cast("bigint"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0, label=moved)
+
+
+@register
+def op13_secret_scan(spark, sf_dir):
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.col("base")
+    return found.select(
+        "doc_id", *[secret_scan.span_count(base, kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(secret_scan.span_text(base), 256).alias("base_sha256"), secret_scan.span_text(F.col("spans")).alias("spans"))
