@@ -8,10 +8,12 @@ half, and the serial correlation of neighbours.
 
 Each statistic is read twice. As a test of randomness: the three chances are
 combined by Fisher's rule, and a candidate that uniform draws would hardly give
-is put aside. And as evidence against ordinary text, which is modelled by the
-counts of symbols and of neighbouring symbols in the whole corpus: how rarely
-would text in this alphabet look that random? The least of the three chances,
-times three, is the candidate's chance.
+is put aside. And as evidence against ordinary text: how far is the statistic
+off what text in this encoding has, towards uniform draws? Text is modelled by
+the neighbouring symbols of the shorter runs of that encoding in the whole
+corpus, so that capitals inside identifiers, say, are ordinary among letters of
+both cases. The three deviates are added by Stouffer's rule, none of them
+counting more than ``CLIP``, so one odd feature alone makes no key.
 
 Chances of all candidates of the corpus pass a weighted step-up rule that keeps
 the expected share of ordinary strings among the spans below ``RATE``. A
@@ -56,8 +58,10 @@ SYMBOLS = ENCODINGS["mixed"]
 PLACE = {symbol: i for i, symbol in enumerate(SYMBOLS)}
 
 RANDOM_LEVEL = 0.001  # a candidate less likely than this under uniform draws is not random
-POWER_LEVEL = 0.001  # power is the chance that a random string gets below this
+POWER_LEVEL, POWER_DEVIATE = 0.001, -3.0902  # power is the chance that a random string gets below this; its normal quantile
 RATE = 0.01  # allowed share of ordinary strings among the added spans
+CLIP = 4.0  # most that one test's deviate adds to the evidence
+POOLED = 1_000  # neighbours of all encodings that the model of each one starts from
 STEPS, MOST = 100, 300  # chances are ranked in hundredths of a power of ten, down to 10**-300
 POWER_UNIT = 1_000_000
 
@@ -124,11 +128,13 @@ def chi_tail(value: float, freedom: float, variance: float) -> float:
 class Alphabet:
     """One encoding: what its statistics are like for uniform draws and for text of the corpus."""
 
-    def __init__(self, symbols: str, pairs: np.ndarray):
+    def __init__(self, name: str, pairs: np.ndarray):
+        symbols = ENCODINGS[name]
         self.size = k = len(symbols)
         self.place = {symbol: i for i, symbol in enumerate(symbols)}
-        at = [PLACE[symbol] for symbol in symbols]
-        pairs = pairs[np.ix_(at, at)] + 1.0 / (k * k)  # a little of uniform pairs, so that no alphabet is unseen
+        at = np.ix_(*[[PLACE[symbol] for symbol in symbols]] * 2)
+        pooled = pairs.sum(axis=0)[at] + 1.0 / (k * k)  # a little of uniform pairs, so that no alphabet is unseen
+        pairs = pairs[list(ENCODINGS).index(name)][at] + POOLED * pooled / pooled.sum()
         chance = pairs / pairs.sum()
         first, second = chance.sum(axis=1), chance.sum(axis=0)
         symbol = (first + second) / 2
@@ -182,61 +188,69 @@ class Alphabet:
         ])
 
     def against_text(self, text: str) -> float:
-        """Three times the least chance that text is that far off its own mean, towards the mean of uniform draws."""
-        n = len(text)
-        chances = [1.0]
-        for number, (value, (random, _, mean, deviation)) in enumerate(zip(self.statistics(text), self.moments(n), strict=True)):
-            if number == 1:
-                chances.append(self._changes_chance(int(value), n))
-            else:
-                chances.append(normal_below((value - mean) / deviation * (1 if random < mean else -1)))
-        return min(1.0, 3 * min(chances))
-
-    def _changes_chance(self, changes: int, n: int) -> float:
-        """Binomial tail of that many changes in text, on the side of uniform draws."""
-        rate, steps = self.change_text, n - 1
-        side = range(changes, steps + 1) if self.change_random > rate else range(changes + 1)
-        logs = [math.lgamma(steps + 1) - math.lgamma(i + 1) - math.lgamma(steps - i + 1)
-                + i * math.log(rate) + (steps - i) * math.log1p(-rate) for i in side]
-        most = max(logs)
-        return min(1.0, math.exp(most) * sum(math.exp(value - most) for value in logs))
+        """Chance that text is so far off its own means, towards those of uniform draws."""
+        total = 0.0
+        for value, (random, _, mean, deviation) in zip(self.statistics(text), self.moments(len(text)), strict=True):
+            total += max((value - mean) / deviation * (1 if random < mean else -1), -CLIP)
+        return normal_below(total / math.sqrt(3))
 
     @lru_cache(maxsize=None)  # noqa: B019  lives as long as its task
     def power(self, n: int) -> float:
-        """Chance that a random string of that length is found, by its best test, at ``POWER_LEVEL``."""
-        level = -3.4027  # the normal quantile of POWER_LEVEL / 3
-        found = 0.0
+        """Chance that a random string of that length gets below ``POWER_LEVEL``."""
+        expected, variance = 0.0, 0.01
         for random, of_random, mean, deviation in self.moments(n):
-            side = 1 if random < mean else -1
-            found = max(found, normal_below(((mean + side * level * deviation) - random) / of_random * side))
-        return found
+            deviate = -abs(random - mean) / deviation
+            expected += max(deviate, -CLIP)
+            variance += (of_random / deviation) ** 2 if deviate > -CLIP else 0.0
+        return normal_below((POWER_DEVIATE * math.sqrt(3) - expected) / math.sqrt(variance))
 
 
 # --- Spark -----------------------------------------------------------------------------------------
 
 
+def symbol_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per byte its symbol's number and its kind as one bit; per set of kinds the encoding's number."""
+    kinds = ("0189", "234567", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/", "-_")
+    numbers, bits = np.full(256, len(SYMBOLS), np.uint16), np.zeros(256, np.uint8)
+    for bit, members in enumerate(kinds):
+        for symbol in members:
+            numbers[ord(symbol)], bits[ord(symbol)] = PLACE[symbol], 1 << bit
+    encodings = [list(ENCODINGS).index(encoding_of("".join(kinds[bit] for bit in range(8) if held >> bit & 1))) for held in range(256)]
+    return numbers, bits, np.array(encodings)
+
+
 def neighbour_counts(texts: DataFrame) -> np.ndarray:
-    """How often each symbol stands before each other one, over all texts."""
+    """(encoding x symbol x symbol): how often symbols stand next to each other in runs shorter than candidates."""
     kinds = len(SYMBOLS)
 
     def run(batches):
-        table = np.full(256, kinds, np.uint16)
-        table[np.frombuffer(SYMBOLS.encode(), np.uint8)] = np.arange(kinds)
-        counts = np.zeros((kinds + 1) ** 2, np.int64)
+        numbers, bits, encodings = symbol_tables()
+        counts = np.zeros(len(ENCODINGS) * kinds * kinds, np.int64)
         for batch in batches:
             for _, _, data, offsets in chunked(batch.column("text")):
-                symbols = table[data]
-                pairs = symbols[:-1].astype(np.int32) * (kinds + 1) + symbols[1:]
-                inner = offsets[1:-1]
-                pairs[inner[(inner > 0) & (inner < len(data))] - 1] = (kinds + 1) ** 2 - 1  # not within a text
-                counts += np.bincount(pairs, minlength=len(counts))
+                held = bits[data]
+                fresh = np.ones(len(data) + 1, bool)  # where a run cannot go on
+                fresh[1:-1] = held[:-1] == 0
+                fresh[offsets] = True
+                starts = np.flatnonzero(fresh[:-1] & (held > 0))
+                if not len(starts):
+                    continue
+                stops = np.flatnonzero((held > 0) & ((np.append(held[1:], 0) == 0) | fresh[1:])) + 1
+                short = stops - starts < LEAST_RANDOM
+                encoding = np.repeat(encodings[np.bitwise_or.reduceat(held, starts)][short], (stops - starts - 1)[short])
+                inner = np.zeros(len(data) + 1, np.int8)
+                inner[starts[short]] += 1
+                inner[stops[short] - 1] -= 1
+                at = np.flatnonzero(np.cumsum(inner[:-1], dtype=np.int8))
+                symbols = numbers[data].astype(np.int64)
+                counts += np.bincount((encoding * kinds + symbols[at]) * kinds + symbols[at + 1], minlength=len(counts))
         some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some])], ["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some])], ["place", "n"])
 
-    out = np.zeros((kinds + 1) ** 2, np.int64)
-    for pair, n in texts.select("text").mapInArrow(run, "pair int, n bigint").groupBy("pair").agg(F.sum("n")).collect():
-        out[pair] = n
-    return out.reshape(kinds + 1, kinds + 1)[:kinds, :kinds]
+    out = np.zeros(len(ENCODINGS) * kinds * kinds, np.int64)
+    for place, n in texts.select("text").mapInArrow(run, "place int, n bigint").groupBy("place").agg(F.sum("n")).collect():
+        out[place] = n
+    return out.reshape(len(ENCODINGS), kinds, kinds)
 
 
 SPAN = "struct<start:int,kind:int,end:int>"
@@ -249,7 +263,7 @@ def scanned(texts: DataFrame, pairs: np.ndarray) -> DataFrame:
     ``exponent`` is minus the logarithm of a candidate's chance, in hundredths, ``power`` in millionths.
     """
     def run(batches):
-        alphabets = {name: Alphabet(symbols, pairs) for name, symbols in ENCODINGS.items()}
+        alphabets = {name: Alphabet(name, pairs) for name in ENCODINGS}
         span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
         candidate = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.string()), ("exponent", pa.int32()), ("power", pa.int32())])
         for batch in batches:
