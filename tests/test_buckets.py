@@ -3,9 +3,11 @@ from datetime import timedelta
 from core_cases import START, plan_of, rows_of
 from pyspark.sql import functions as F
 
+from tickloom import schemas
 from tickloom.operators import buckets, stats
 from tickloom.operators.candles import ohlcv
-from tickloom.sources import tables
+from tickloom.plans import storage
+from tickloom.sources import compact, event_feed, listing, tables
 
 TICK = ["seq", "ts", "symbol", "price", "volume"]
 CANDLE = ["ts_bucket", "symbol", "open_price", "high_price", "low_price", "close_price", "volume", "tick_count"]
@@ -58,6 +60,33 @@ def test_a_bucket_appended_twice_changes_nothing(feed):
     assert rows_of(buckets.merge_buckets(twice)) == rows_of(packed)
 
 
+def test_merge_is_one_shuffle_of_arrays(feed):
+    packed = buckets.pack(feed).checkpoint()
+    pieces = packed.unionByName(packed.where("symbol = 'AAPL'"))
+    plan = plan_of(buckets.merge_buckets(pieces))
+    assert "Generate" not in plan and "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_merge_of_overlapping_pieces_counts_each_tick_once(feed):
+    pieces = [feed.where(F.col("seq").between(low, low + 199)) for low in (0, 100, 150, 300)]
+    packed = [buckets.pack(piece) for piece in pieces]
+    whole = packed[0].unionByName(packed[1]).unionByName(packed[2]).unionByName(packed[3])
+    columns = [name for name in packed[0].columns]
+    assert rows_of(buckets.merge_buckets(whole).select(*columns)) == rows_of(buckets.pack(feed).select(*columns))
+    assert rows_of(buckets.merge_buckets(whole, part_size=7).select(*columns)) == rows_of(buckets.pack(feed, part_size=7).select(*columns))
+
+
+def test_merge_into_coarser_buckets(feed):
+    assert rows_of(buckets.merge_buckets(buckets.pack(feed), "1 minute")) == rows_of(buckets.pack(feed, "1 minute"))
+
+
+def test_unmerged_pieces_are_one_bucket_on_request(feed):
+    pieces = buckets.pack(feed.where("seq % 2 = 0")).unionByName(buckets.pack(feed.where("seq % 2 = 1")))
+    found = buckets.bucket_volume(pieces, ["symbol"], pieces=True)
+    assert rows_of(found) == rows_of(buckets.bucket_volume(buckets.pack(feed), ["symbol"]))
+    assert plan_of(buckets.bucket_volume(pieces, ["symbol"])).count("Exchange hashpartitioning(symbol") == 1
+
+
 def test_numbers_may_start_anywhere(feed):
     columns = ["bucket_ts", "symbol", "part", "prices", "volumes", "offsets_ms", "tick_count", "volume_sum", "notional_cents"]
     for part_size in (buckets.PART_SIZE, 5):
@@ -78,6 +107,36 @@ def test_sums_need_no_arrays(spark, feed, tmp_path):
         assert scans and not any("array" in line for line in scans)
 
 
+def test_stored_rows_come_back(spark, feed, make_ticks, tmp_path):
+    wide = make_ticks([
+        (1 << 60, 0, "BIG", "99999999.99", 2_000_000_000), (5, 0, "BIG", "0.00", 2_000_000_000), (-(1 << 60), 0, "BIG", "12345678.90", 0),
+        (7, 1, "BIG", "-0.01", 2_000_000_000), (8, 999, "BIG", "99999999.99", 7), (9, 999, "ONE", "-3.00", 0)])
+    fine = feed.withColumn("ts", F.expr("ts + make_interval(0, 0, 0, 0, 0, 0, 0.000001 * (seq % 900))"))
+    old = feed.withColumn("ts", F.expr("ts - make_interval(90)"))
+    for number, ticks in enumerate((feed, wide, fine, old)):
+        for resolution in ("1 second", "1 day"):
+            packed = buckets.pack(ticks, resolution, part_size=1000)
+            path = str(tmp_path / f"{number}-{resolution[2:]}")
+            tables.write_buckets(packed, path)
+            assert rows_of(tables.scan_buckets(spark, path).drop("dt")) == rows_of(packed)
+
+
+def test_stored_rows_of_two_ticks_keep_volumes_only(feed):
+    stored = compact.compact(buckets.pack(feed))
+    assert stored.schema.simpleString() == schemas.STORED_BUCKETS.simpleString()
+    for row in stored.collect():
+        assert len(row.price_steps) == len(row.seq_steps) == len(row.offset_steps) == max(row.tick_count - 2, 0)
+        assert row.wide_price_steps is row.wide_seq_steps is row.wide_notional_rest is None
+
+
+def test_packed_tables_are_smaller_than_ticks_in_every_codec(spark, tmp_path):
+    events = event_feed.read_events(spark, "/root/testdata/sf0.1")
+    storage.write_codecs(event_feed.dense_ticks(events), str(tmp_path))
+    sizes = {r.table: r.bytes for r in listing.list_files(spark, str(tmp_path)).groupBy("table").agg(F.sum("length").alias("bytes")).collect()}
+    for codec in storage.CODECS:
+        assert sizes[f"buckets-{codec}"] < sizes[f"ticks-{codec}"], (codec, sizes)
+
+
 def test_candles_of_pieces_equal_candles_of_ticks(feed):
     pieces = buckets.pack(feed.where("seq % 3 = 0")).unionByName(buckets.pack(feed.where("seq % 3 > 0")))
     assert rows_of(buckets.ohlcv_from_buckets(pieces).select(*CANDLE)) == rows_of(ohlcv(feed).select(*CANDLE))

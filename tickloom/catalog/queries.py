@@ -22,7 +22,7 @@ from tickloom.operators.range_join import window_counts, window_stats
 from tickloom.plans import incremental, storage
 from tickloom.plans.layouts import candles_at, query
 from tickloom.session import shared_dir
-from tickloom.sources import event_feed, tables, text, trades
+from tickloom.sources import compact, event_feed, tables, text, trades
 from tickloom.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -621,8 +621,8 @@ def stream_pack(spark, sf_dir):
     """Ticks dealt out by number, so that every batch holds some of every bucket."""
     ticks = ticks_of(spark, sf_dir)
     parts = [ticks.where(F.col("seq") % 4 == i) for i in range(4)]
-    stored = _fed(spark, parts, lambda s: s, jobs.run_packed, schemas.BUCKETS)
-    return bucket_text(buckets.merge_buckets(stored))
+    stored = _fed(spark, parts, lambda s: s, jobs.run_packed, schemas.STORED_BUCKETS)
+    return bucket_text(buckets.merge_buckets(compact.expand(stored)))
 
 
 @register

@@ -28,9 +28,9 @@ def cents(price: str, scale: int = 2) -> Column:
     return F.expr(f"CAST(CAST({price} AS DECIMAL(18,{scale})) * {10 ** scale} AS BIGINT)")
 
 
-def float_cents(price: str) -> Column:
+def float_cents(price: str | Column) -> Column:
     """Cents of a REAL price, half a cent going up."""
-    return F.expr(f"floor(CAST({price} AS DOUBLE) * 100 + 0.5D)")
+    return F.floor((F.col(price) if isinstance(price, str) else price).cast("double") * 100 + 0.5)
 
 
 def wide(number: Column) -> Column:

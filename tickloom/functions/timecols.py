@@ -55,6 +55,17 @@ def tumbling(ts: str, resolution: str) -> Column:
     return F.window(ts, resolution).getField("start")
 
 
+def wide_key(micros: Column, seq: Column) -> Column:
+    """Microseconds above 19 digits of the sequence number, as one decimal."""
+    return micros.cast("decimal(38,0)") * F.lit("1E19").cast("decimal(20,0)") + seq
+
+
+def micros_of_key(key: Column, seq: Column) -> Column:
+    """The microseconds of a wide key with that sequence number."""
+    whole = (key - seq.cast("decimal(20,0)")).cast("decimal(38,0)")
+    return F.call_function("div", whole, F.lit("1E19").cast("decimal(20,0)"))
+
+
 def first_last_key(ts: str, seq: str, key: str = "wide") -> Column:
     """Ordering of ticks inside one bucket: by time, then by arrival number.
 
@@ -73,8 +84,7 @@ def first_last_key(ts: str, seq: str, key: str = "wide") -> Column:
             f"ELSE raise_error('{seq} does not fit 43 bits: use the wide key') END"
         )
     if key == "wide":
-        shift = F.lit("1E19").cast("decimal(20,0)")
-        return epoch_micros(ts).cast("decimal(38,0)") * shift + F.col(seq)
+        return wide_key(epoch_micros(ts), F.col(seq))
     if key == "struct":
         return F.struct(ts, seq)
     raise ValueError(f"unknown key {key!r}")

@@ -79,10 +79,10 @@ def append_candles(spark: SparkSession, candles: DataFrame, path: str, period: t
 
 
 def append_by_key(spark: SparkSession, rows: DataFrame, path: str, time: str, keys: list[str],
-                  period: tuple[datetime, datetime], codec: str = "zstd") -> None:
+                  period: tuple[datetime, datetime], codec: str = "zstd", options: dict[str, str] | None = None) -> None:
     """Append the rows whose key is absent, in day partitions of ``time``."""
     if table_exists(spark, path):
         # With a schema, a folder that a failed first write left empty reads as no rows.
         stored = in_range(spark.read.schema(with_day(rows.schema)).parquet(path), *period, time=time)
         rows = insert_if_absent(rows, stored, keys)
-    write_by_day(rows, path, time, ["symbol", time], codec=codec, increment=True)
+    write_by_day(rows, path, time, ["symbol", time], codec=codec, increment=True, options=options)

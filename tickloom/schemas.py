@@ -41,6 +41,31 @@ BUCKETS = T.StructType([
     T.StructField("last_at", T.DecimalType(38, 0)),
 ])
 
+# The same as stored; see tickloom.sources.compact.
+STORED_BUCKETS = T.StructType([
+    T.StructField("bucket_ts", T.TimestampNTZType(), False),
+    T.StructField("symbol", T.StringType(), False),
+    T.StructField("part", T.LongType(), False),
+    T.StructField("tick_count", T.IntegerType(), False),
+    T.StructField("volume_sum", T.LongType()),
+    T.StructField("open_cents", T.LongType()),
+    T.StructField("close_step", T.LongType()),
+    T.StructField("above", T.LongType()),
+    T.StructField("below", T.LongType()),
+    T.StructField("notional_rest", T.LongType()),
+    T.StructField("wide_notional_rest", T.DecimalType(38, 0)),
+    T.StructField("first_us", T.LongType()),
+    T.StructField("us_span", T.LongType()),
+    T.StructField("first_seq", T.LongType()),
+    T.StructField("seq_span", T.LongType()),
+    T.StructField("price_steps", T.ArrayType(T.IntegerType(), False)),
+    T.StructField("offset_steps", T.ArrayType(T.IntegerType(), False)),
+    T.StructField("seq_steps", T.ArrayType(T.IntegerType(), False)),
+    T.StructField("volumes_but_last", T.ArrayType(T.IntegerType(), False)),
+    T.StructField("wide_price_steps", T.ArrayType(T.LongType(), False)),
+    T.StructField("wide_seq_steps", T.ArrayType(T.LongType(), False)),
+])
+
 CANDLES = T.StructType([
     T.StructField("ts_bucket", T.TimestampNTZType(), False),
     T.StructField("symbol", T.StringType(), False),

@@ -5,12 +5,15 @@ spread over many files, each covering a narrow symbol and time range, so that
 file and row-group statistics prune on both columns. AQE merges small ranges.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom import schemas
 from tickloom.session import materialize
+from tickloom.sources import compact
 
 
 def with_day(schema: T.StructType) -> T.StructType:
@@ -19,7 +22,8 @@ def with_day(schema: T.StructType) -> T.StructType:
 
 
 def write_by_day(df: DataFrame, path: str, time: str, order: list[str], codec: str = "zstd",
-                 partitions: int | None = None, increment: bool = False, replace_days: bool = False) -> None:
+                 partitions: int | None = None, increment: bool = False, replace_days: bool = False,
+                 options: dict[str, str] | None = None) -> None:
     """Append ``df`` under ``path`` with one folder per day of ``time``.
 
     Each row goes to the day of its own timestamp. ``partitions`` sets how many
@@ -27,7 +31,8 @@ def write_by_day(df: DataFrame, path: str, time: str, order: list[str], codec: s
     shuffle partitions, of which AQE merges the small ones. ``increment`` is
     for additions to a few days: rows are gathered by day without the sampling
     pass of a range split, and AQE splits a large day. ``replace_days``
-    overwrites the days that ``df`` has rows of.
+    overwrites the days that ``df`` has rows of. ``options`` are the file
+    writer's own.
     """
     dated = df.withColumn("dt", F.to_date(time))
     if increment:
@@ -41,16 +46,17 @@ def write_by_day(df: DataFrame, path: str, time: str, order: list[str], codec: s
     writer = dated.write.mode("append")
     if replace_days:
         writer = dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.option("compression", codec).partitionBy("dt").parquet(path)
+    writer.options(**(options or {})).option("compression", codec).partitionBy("dt").parquet(path)
 
 
-def compact_day(rows: DataFrame, path: str, time: str, codec: str = "zstd") -> None:
+def compact_day(rows: DataFrame, path: str, write: Callable[..., None], codec: str = "zstd") -> None:
     """Replace days of a table by ``rows``, which were read from it, as few files.
 
-    The rows are written to the shared folder first, as a job must not
-    overwrite what it reads. One writer at a time.
+    ``write`` is the table's own writer. The rows are written to the shared
+    folder first, as a job must not overwrite what it reads. One writer at a
+    time.
     """
-    write_by_day(materialize(rows, "compact"), path, time, ["symbol", time], codec=codec, replace_days=True)
+    write(materialize(rows, "compact"), path, codec=codec, replace_days=True)
 
 
 def write_ticks(ticks: DataFrame, path: str, **options) -> None:
@@ -59,8 +65,9 @@ def write_ticks(ticks: DataFrame, path: str, **options) -> None:
 
 
 def write_buckets(buckets: DataFrame, path: str, codec: str = "lz4_raw", **options) -> None:
-    """Append packed rows into daily partitions."""
-    write_by_day(buckets, path, "bucket_ts", ["symbol", "bucket_ts"], codec=codec, **options)
+    """Append packed rows into daily partitions, in their compact form."""
+    write_by_day(compact.compact(buckets), path, "bucket_ts", ["symbol", "bucket_ts"], codec=codec,
+                 options=compact.WRITER_OPTIONS, **options)
 
 
 def write_candles(candles: DataFrame, path: str, **options) -> None:
@@ -73,7 +80,8 @@ def scan_ticks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_buckets(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(with_day(schemas.BUCKETS)).parquet(path)
+    """Packed rows of a table that ``write_buckets`` or a packing stream wrote."""
+    return compact.expand(spark.read.schema(with_day(schemas.STORED_BUCKETS)).parquet(path))
 
 
 def scan_candles(spark: SparkSession, root: str, resolution: str) -> DataFrame:

@@ -19,7 +19,8 @@ from tickloom import schemas
 from tickloom.functions.timecols import epoch_micros, first_last_key, from_epoch_micros
 from tickloom.operators.buckets import PART_SIZE, merge_buckets, pack
 from tickloom.operators.keyed import append_by_key
-from tickloom.sources.tables import compact_day, scan_buckets, with_day, write_by_day
+from tickloom.sources import compact
+from tickloom.sources.tables import compact_day, scan_buckets, with_day, write_buckets, write_by_day, write_candles
 
 
 def stream_ticks(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -83,12 +84,13 @@ def run_packed(ticks: DataFrame, path: str, checkpoint: str, part_size: int = PA
     A bucket that several batches touch has several rows. ``compact_packed``
     makes them one.
     """
-    keys = ["bucket_ts", "symbol", "part", "first_at"]
-    return _start(ticks, lambda batch: pack(batch, part_size=part_size), path, "bucket_ts", keys, "lz4_raw", checkpoint, trigger)
+    keys = ["bucket_ts", "symbol", "part", "first_us", "first_seq"]
+    return _start(ticks, lambda batch: compact.compact(pack(batch, part_size=part_size)), path, "bucket_ts", keys, "lz4_raw",
+                  checkpoint, trigger, compact.WRITER_OPTIONS)
 
 
 def _start(stream: DataFrame, rows_of: Callable[[DataFrame], DataFrame], path: str, time: str, keys: list[str],
-           codec: str, checkpoint: str, trigger: dict) -> StreamingQuery:
+           codec: str, checkpoint: str, trigger: dict, options: dict[str, str] | None = None) -> StreamingQuery:
     # Only the first batch of a run can be one that was written before: a failure
     # ends the query, and a restart begins with the batch that was not committed.
     first = [True]
@@ -100,9 +102,9 @@ def _start(stream: DataFrame, rows_of: Callable[[DataFrame], DataFrame], path: s
             if first[0]:
                 period = rows.agg(F.min(time), F.max(time)).first()
                 if period[0] is not None:
-                    append_by_key(batch.sparkSession, rows, path, time, keys, tuple(period), codec)
+                    append_by_key(batch.sparkSession, rows, path, time, keys, tuple(period), codec, options)
             else:
-                write_by_day(rows, path, time, ["symbol", time], codec=codec, increment=True)
+                write_by_day(rows, path, time, ["symbol", time], codec=codec, increment=True, options=options)
             first[0] = False
         finally:
             rows.unpersist()
@@ -114,13 +116,13 @@ def _start(stream: DataFrame, rows_of: Callable[[DataFrame], DataFrame], path: s
 def compact_packed(spark: SparkSession, path: str, day: str) -> None:
     """Merge the packed rows of a day: one row per bucket and part, few files."""
     rows = scan_buckets(spark, path).where(F.col("dt") == F.lit(day).cast("date")).drop("dt")
-    compact_day(merge_buckets(rows), path, "bucket_ts", codec="lz4_raw")
+    compact_day(merge_buckets(rows), path, write_buckets, codec="lz4_raw")
 
 
 def compact_candles(spark: SparkSession, path: str, day: str) -> None:
     """Write the candles of a day again as few files."""
     rows = spark.read.schema(with_day(schemas.CANDLES)).parquet(path).where(F.col("dt") == F.lit(day).cast("date"))
-    compact_day(rows.drop("dt"), path, "ts_bucket")
+    compact_day(rows.drop("dt"), path, write_candles)
 
 
 def late_groups(query: StreamingQuery) -> int:
