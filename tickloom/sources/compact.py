@@ -94,10 +94,16 @@ def compact(buckets: DataFrame) -> DataFrame:
     )
 
 
-def _with_ends(steps: Column, first: Column, span: Column) -> Column:
-    """First, first + steps, last; the last is left out of a single tick."""
-    last = F.when(F.col("tick_count") > 1, F.array(first + span)).otherwise(F.slice(F.array(first), 1, 0))
-    return F.concat(F.array(first), F.transform(steps, lambda step: first + step), last)
+def _with_ends(steps: str, first: Column, last: Column, wide: str | None = None, read=lambda value: value) -> Column:
+    """``read`` of first, first + steps, last; the last is left out of a single tick."""
+    def all_of(name: str) -> Column:
+        inner = F.transform(name, lambda step: read(first + step))
+        return F.concat(F.array(read(first)), inner, F.array(read(last)))
+
+    whole = F.when(F.col("tick_count") == 1, F.array(read(first)))
+    if wide is not None:
+        whole = whole.when(F.col(wide).isNotNull(), all_of(wide))
+    return whole.otherwise(all_of(steps))
 
 
 def expand(stored: DataFrame) -> DataFrame:
@@ -105,8 +111,6 @@ def expand(stored: DataFrame) -> DataFrame:
     others = [name for name in stored.columns if name not in schemas.STORED_BUCKETS.names]
     opened, closed = F.col("open_cents"), F.col("open_cents") + F.col("close_step")
     high, low = F.greatest(opened, closed) + F.col("above"), F.least(opened, closed) - F.col("below")
-    price_steps = F.coalesce("wide_price_steps", F.col("price_steps").cast("array<bigint>"))
-    seq_steps = F.coalesce("wide_seq_steps", F.col("seq_steps").cast("array<bigint>"))
     first_ms = F.floor(F.col("first_us") / 1000).cast("int")
     last_ms = F.floor((F.col("first_us") + F.col("us_span")) / 1000).cast("int")
     notional = _middle(opened, closed).cast("decimal(18,0)") * F.col("volume_sum").cast("decimal(19,0)") + F.coalesce(
@@ -119,15 +123,15 @@ def expand(stored: DataFrame) -> DataFrame:
         return wide_key(epoch_micros("bucket_ts") + micros, seq).cast("decimal(38,0)")
 
     others_sum = F.aggregate("volumes_but_last", F.lit(0).cast("bigint"), lambda total, volume: total + volume)
-    cents = _with_ends(price_steps, opened, F.col("close_step"))
+    last_seq = F.col("first_seq") + F.col("seq_span")
     return stored.select(
         "bucket_ts", "symbol", "part",
-        F.transform(cents, lambda c: (c / F.lit(100.0)).cast("float")).alias("prices"),
+        _with_ends("price_steps", opened, closed, "wide_price_steps", lambda cents: (cents / F.lit(100.0)).cast("float")).alias("prices"),
         F.concat("volumes_but_last", F.array((F.col("volume_sum") - others_sum).cast("int"))).alias("volumes"),
-        _with_ends(F.col("offset_steps"), first_ms, last_ms - first_ms).alias("offsets_ms"),
-        _with_ends(seq_steps, F.col("first_seq"), F.col("seq_span")).alias("seqs"),
+        _with_ends("offset_steps", first_ms, last_ms).alias("offsets_ms"),
+        _with_ends("seq_steps", F.col("first_seq"), last_seq, "wide_seq_steps").alias("seqs"),
         F.col("tick_count").cast("bigint").alias("tick_count"), "volume_sum", notional.cast("decimal(38,0)").alias("notional_cents"),
         price(opened).alias("open_price"), price(high).alias("high_price"), price(low).alias("low_price"), price(closed).alias("close_price"),
         key(F.col("first_us"), F.col("first_seq")).alias("first_at"),
-        key(F.col("first_us") + F.col("us_span"), F.col("first_seq") + F.col("seq_span")).alias("last_at"), *others,
+        key(F.col("first_us") + F.col("us_span"), last_seq).alias("last_at"), *others,
     )
