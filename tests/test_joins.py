@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tickloom import schemas
 from tickloom.operators import keyed
+from tickloom.functions.timecols import from_epoch_micros
+from tickloom.operators import range_join
 from tickloom.operators.range_join import window_counts, window_stats
 from tickloom.sources import tables
 
@@ -63,6 +65,40 @@ def test_many_windows(spark, feed):
     assert rows_of(found.select("wid", "tick_count")) == rows_of(plain)
 
 
+def test_windows_meet_only_values_that_trade_near_them(spark):
+    """20,000 windows, 5,000 symbols of which three or four trade in any second."""
+    ticks = spark.range(50_000).select(
+        F.col("id").alias("seq"), F.timestamp_add("MILLISECOND", F.col("id") * 300, F.lit(str(START)).cast("timestamp_ntz")).alias("ts"),
+        F.concat(F.lit("S"), F.expr("(id DIV 10 * 7919) % 5000")).alias("symbol"), F.lit("1.25").cast("decimal(10,2)").alias("price"), F.lit(1).alias("volume"))
+    windows = spark.range(20_000).select(
+        F.col("id").alias("wid"), F.timestamp_add("MILLISECOND", F.col("id") * 733, F.lit(str(START)).cast("timestamp_ntz")).alias("t1"))
+    windows = windows.withColumn("t2", F.timestamp_add("MILLISECOND", F.expr("wid % 9 * 1500"), F.col("t1")))
+    found = window_stats(windows, ticks, by=["symbol"]).groupBy().agg(F.count("*").alias("rows"), F.sum("tick_count").alias("ticks")).first()
+    inside = F.col("ts").between(F.col("t1"), F.col("t2"))
+    hours = lambda column: F.expr(f"unix_micros(CAST({column} AS TIMESTAMP)) DIV 16000000")
+    near = windows.withColumn("h", F.explode(F.sequence(hours("t1"), hours("t2")))).join(ticks.withColumn("h", hours("ts")), "h").where(inside)
+    wanted = near.groupBy("wid", "symbol").count().groupBy().agg(F.count("*").alias("rows"), F.sum("count").alias("ticks")).first()
+    assert found == wanted and found.rows > 20_000
+    pieces = range_join._pieces(windows, 1_000_000, 2).groupBy("wid").count().agg(F.max("count")).first()[0]
+    assert pieces <= 2 + 2 * (range_join.CELLS - 1) and "collect_set" not in plan_of(window_stats(windows, ticks, by=["symbol"]))
+
+
+def test_pieces_cover_a_window_once(spark):
+    """Windows before and after 1970 and of any length, cut or not."""
+    rows = [(start, start + length) for start in (-7_000_001, -3_000_000, 0, 1, 999_999, 1_000_000, 12_345_678, 64_000_000)
+            for length in (0, 1, 999_998, 999_999, 1_000_000, 7_999_999, 9_000_001, 70_000_000, 599_999_999, 3_600_000_000)]
+    windows = spark.createDataFrame(rows, "a long, b long").select("a", "b", from_epoch_micros(F.col("a")).alias("t1"), from_epoch_micros(F.col("b")).alias("t2"))
+    pieced = range_join._pieces(windows, 1_000_000, 5).groupBy("a", "b").agg(F.collect_list(F.struct("_level", "_cell")))
+    for a, b, pieces in pieced.collect():
+        spans = []
+        for level, cell in pieces:
+            size = 1_000_000 * range_join.CELLS ** max(level, 0)
+            low, high = cell * size, cell * size + size
+            spans.append((max(low, a), min(high, b + 1)) if level == range_join.EDGE else (low, high))
+        spans.sort()
+        assert spans[0][0] == a and spans[-1][1] == b + 1 and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
+
+
 def test_windows_upside_down_hold_nothing(feed, windows):
     turned = windows.select("wid", F.col("t2").alias("t1"), F.col("t1").alias("t2"))
     found = {row.wid: row.tick_count for row in window_counts(turned, feed).collect()}
