@@ -254,3 +254,37 @@ def test_bad_line_fails(spark, tmp_path):
     path.write_text("AAPL\tnot a price\t1\t2024-04-11 23:58:00\n")
     with pytest.raises(Exception, match="MALFORMED_RECORD"):
         text.load_tsv(spark, str(path)).collect()
+
+
+@pytest.mark.parametrize("level", ["seconds", "coarse"])
+def test_late_ticks_are_counted_exactly_over_restarts(spark, feed, tmp_path, level):
+    """The same late ticks in one run, then in a second run of the same query."""
+    late = feed.where("symbol = 'TSLA' AND seq < 100")
+    build = jobs.candles if level == "seconds" else lambda stream: jobs.rollup(jobs.candles(stream), "5 seconds")
+    parts = thirds(feed.join(late.select("seq"), "seq", "left_anti").select(*feed.columns))
+    counter = jobs.LateTicks(spark)
+    try:
+        stream = arrivals(spark, [*parts, late], str(tmp_path / "in"))
+        query, found = run(spark, jobs.run_candles, build(stream), tmp_path)
+        checkpoint = str(tmp_path / "out-checkpoint")
+        dropped = late.count()
+        assert counter.count(query, checkpoint) == dropped
+        seen, kept = counter.totals(query)
+        assert seen == feed.count() and kept == found.agg(F.sum("tick_count")).first()[0]
+        assert jobs.held_ticks(spark, checkpoint) == seen - kept - dropped > 0
+        late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query, _ = run(spark, jobs.run_candles, build(jobs.stream_ticks(spark, str(tmp_path / "in"), 1)), tmp_path)
+        assert counter.count(query, checkpoint) == 2 * dropped
+    finally:
+        spark.streams.removeListener(counter)
+
+
+def test_late_counts_do_not_end_with_the_kept_progress(spark):
+    counter = jobs.LateTicks(spark)
+    spark.streams.removeListener(counter)
+    for batch in range(250):
+        counter._add("q", batch, 10, 7)
+    counter._add("q", 249, 12, 8)  # ran again
+    counter._add("q", 249, 0, 0)  # idle
+    query = type("Query", (), {"id": "q", "lastProgress": None})()
+    assert counter.totals(query) == (249 * 10 + 12, 249 * 7 + 8)

@@ -284,6 +284,22 @@ ORACLES: dict[str, str] = {
         f"""SELECT symbol, round(stddev_samp(close_price::DOUBLE), 8) AS volatility FROM c1m, period
             WHERE ts_bucket BETWEEN {MINUTES} GROUP BY symbol""", C1M
     ),
+    "tick_statistics_from_candles": _ticks(
+        f"""SELECT symbol, {MEAN} AS avg_price, sum(price * volume)::DOUBLE / nullif(sum(volume), 0)::DOUBLE AS vwap,
+            round(stddev_samp(price::DOUBLE), 8) AS volatility
+            FROM ticks, period WHERE date_trunc('minute', ts) BETWEEN {MINUTES} GROUP BY symbol"""
+    ),
+    "any_range_candle": _ticks(
+        f"""SELECT symbol, first(price ORDER BY ts, seq)::DOUBLE AS open_price, max(price)::DOUBLE AS high_price,
+            min(price)::DOUBLE AS low_price, last(price ORDER BY ts, seq)::DOUBLE AS close_price,
+            CAST(sum(volume) AS BIGINT) AS total_volume, count(*) AS tick_count, {MEAN} AS avg_price,
+            sum(price * volume)::DOUBLE / nullif(sum(volume), 0)::DOUBLE AS vwap, round(stddev_samp(price::DOUBLE), 8) AS volatility
+            FROM ticks, period WHERE ts BETWEEN t1 + INTERVAL 730 MILLISECOND AND t2 + INTERVAL 410 MILLISECOND GROUP BY symbol"""
+    ),
+    "any_range_volume": _ticks(
+        """SELECT symbol, CAST(sum(volume) AS BIGINT) AS total_volume, count(*) AS tick_count
+           FROM ticks, period WHERE ts BETWEEN t1 + INTERVAL 360 MILLISECOND AND t2 - INTERVAL 120 MILLISECOND GROUP BY symbol"""
+    ),
     "symbol_avg_range": _ticks(f"SELECT symbol, {MEAN} AS avg_price {IN_PERIOD} GROUP BY symbol"),
     "range_count": _ticks(f"SELECT count(*) AS row_count {IN_PERIOD}"),
     "extent": _ticks(

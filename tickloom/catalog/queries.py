@@ -20,7 +20,8 @@ from tickloom.operators import buckets, candles, keyed, metrics, moving, ranges,
 from tickloom.operators.kpis import kpis
 from tickloom.operators.range_join import window_counts, window_stats
 from tickloom.plans import incremental, storage
-from tickloom.plans.layouts import candles_at, query
+from tickloom.plans.anyrange import range_candle
+from tickloom.plans.layouts import Layouts, candles_at, query
 from tickloom.session import shared_dir
 from tickloom.sources import compact, event_feed, tables, text, trades
 from tickloom.streaming import jobs
@@ -325,6 +326,36 @@ _named("minute_volume", "minute_rollup", "raw")
 _named("bucket_minute_volume", "minute_rollup", "packed")
 
 
+def _with_sums(ticks: DataFrame) -> Layouts:
+    """Candles that carry exact sums, the minutes rolled up from the seconds."""
+    seconds = candles.ohlcv(ticks, "1 second", moments=True)
+    return Layouts(ticks, None, seconds, candles.rollup(seconds, "1 minute"))
+
+
+@register
+def tick_statistics_from_candles(spark, sf_dir):
+    """Mean price, VWAP and volatility of the ticks of whole minutes, without reading them."""
+    ticks = ticks_of(spark, sf_dir)
+    minutes = ranges.in_range(_with_sums(ticks).candles_1m, *minutes_of(ticks), time="ts_bucket")
+    return candles.tick_statistics(minutes, ["symbol"]).withColumn("volatility", F.round("volatility", 8))
+
+
+@register
+def any_range_candle(spark, sf_dir):
+    """A range with ends inside seconds: minutes, seconds and the ticks of two seconds."""
+    ticks = ticks_of(spark, sf_dir)
+    start, end = period_of(ticks)
+    found = range_candle(_with_sums(ticks), start + timedelta(milliseconds=730), end + timedelta(milliseconds=410))
+    return found.withColumn("volatility", F.round("volatility", 8))
+
+
+@register
+def any_range_volume(spark, sf_dir):
+    ticks = ticks_of(spark, sf_dir)
+    start, end = period_of(ticks)
+    return query("volume", "any", _with_sums(ticks), start + timedelta(milliseconds=360), end - timedelta(milliseconds=120))
+
+
 @register
 def latest_price_one(spark, sf_dir):
     return stats.latest_price(ticks_of(spark, sf_dir), SYMBOL)

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 HALF = 24  # bits of the lower half of a summed number
 SPLIT = 16  # bits of the lower half of a volume
+SQUARE_SPLIT = 20  # bits of the lower half of a number that is squared
 
 
 def price_scale(df: DataFrame, price: str) -> int | None:
@@ -50,6 +51,29 @@ def notional(price_cents: Column, volume: Column) -> Column:
     return (big_sum(price_cents * high) * F.lit(1 << SPLIT).cast("decimal(6,0)") + big_sum(price_cents * low)).cast("decimal(38,0)")
 
 
+def square_sum(price_cents: Column) -> Column:
+    """Sum of squares as a wide decimal; the number is split, so that no product overflows."""
+    high, low = F.shiftright(price_cents, SQUARE_SPLIT), price_cents.bitwiseAND(F.lit((1 << SQUARE_SPLIT) - 1))
+    unit = lambda bits: F.lit(1 << bits).cast("decimal(14,0)")
+    # (high * 2**s + low)**2
+    whole = big_sum(high * high) * unit(2 * SQUARE_SPLIT) + big_sum(high * low) * unit(SQUARE_SPLIT + 1) + big_sum(low * low)
+    return whole.cast("decimal(38,0)")
+
+
+def deviation(count: Column, total: Column, squares: Column, scale: int = 2) -> Column:
+    """Sample standard deviation out of a count, a sum and a sum of squares of whole cents; NULL below two.
+
+    Squares are moved to the whole number below the mean before anything is
+    rounded, so values far from zero that lie close together lose no digits.
+    """
+    n, total = count.cast("decimal(17,0)"), total.cast("decimal(27,0)")
+    middle = F.floor(total / F.nullif(n, F.lit(0).cast("decimal(17,0)"))).cast("decimal(11,0)")
+    rest = (total - n * middle).cast("decimal(18,0)")
+    apart = squares - (middle * (total + rest).cast("decimal(26,0)")).cast("decimal(38,0)")
+    variance = (apart.cast("double") - rest.cast("double") * rest.cast("double") / count.cast("double")) / (count - 1).cast("double")
+    return F.when(count > 1, F.sqrt(F.greatest(variance, F.lit(0.0))) / (10 ** scale))
+
+
 def from_cents(total: Column, scale: int = 2) -> Column:
     """Whole cents as a decimal of ``scale`` digits."""
     unit = F.lit(f"1E-{scale}").cast(f"decimal({scale + 1},{scale})")

@@ -1,6 +1,8 @@
 """The named queries, each answered from raw ticks, packed rows or candles.
 
 Spark does not rewrite a raw query onto a rollup, so the layout is an argument.
+``any`` reads each part of a range from the coarsest table that fits it, with
+the result of raw ticks; see ``tickloom.plans.anyrange``.
 Layouts do not always agree, by design: volume, VWAP, latest price and
 high/low do on whole buckets, volatility (ticks or closes) and moving average
 (mean price or close) do not.
@@ -14,8 +16,9 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.timecols import resolution_micros
 from tickloom.operators import buckets, moving, stats
-from tickloom.operators.candles import ohlcv, rollup
+from tickloom.operators.candles import ohlcv, rollup, tick_statistics
 from tickloom.operators.ranges import in_range
+from tickloom.plans.anyrange import range_candle
 
 
 @dataclass(frozen=True)
@@ -86,6 +89,14 @@ def _minutes(tables, start, end, symbol):
     return in_range(tables.candles_1m, start, end, symbol, time="ts_bucket")
 
 
+OHLC = ["open_price", "high_price", "low_price", "close_price"]
+
+
+def _tick_statistic(name, tables, start, end, symbol):
+    per = ["symbol"] if name == "avg_price" else stats.per_symbol(symbol)
+    return tick_statistics(_minutes(tables, start, end, symbol), per).select(*per, name)
+
+
 def _all(df, symbol):
     return df if symbol is None else df.where(F.col("symbol") == symbol)
 
@@ -99,6 +110,18 @@ QUERIES = {
     ("moving_average", "candles"): lambda t, a, b, s: moving.sma(_all(t.candles_1m, s), chunk="30 days"),
     ("volume", "raw"): lambda t, a, b, s: stats.volume(_raw(t, a, b, s), s),
     ("volume", "packed"): lambda t, a, b, s: buckets.bucket_volume(_packed(t, a, b, s), stats.per_symbol(s)),
+    # ticks' own statistics out of candles that carry exact sums, for whole minutes
+    ("vwap", "candles"): lambda t, a, b, s: _tick_statistic("vwap", t, a, b, s),
+    ("mean_price", "raw"): lambda t, a, b, s: stats.mean_price(_raw(t, a, b, s)),
+    ("mean_price", "candles"): lambda t, a, b, s: _tick_statistic("avg_price", t, a, b, s),
+    ("tick_volatility", "raw"): lambda t, a, b, s: stats.volatility(_raw(t, a, b, s), "price", s),
+    ("tick_volatility", "candles"): lambda t, a, b, s: _tick_statistic("volatility", t, a, b, s),
+    # any range, the tables chosen by its parts
+    ("volume", "any"): lambda t, a, b, s: range_candle(t, a, b, s).select("symbol", "total_volume", "tick_count"),
+    ("ohlc_range", "any"): lambda t, a, b, s: range_candle(t, a, b, s).select("symbol", *OHLC),
+    ("vwap", "any"): lambda t, a, b, s: range_candle(t, a, b, s).select("symbol", "vwap"),
+    ("mean_price", "any"): lambda t, a, b, s: range_candle(t, a, b, s).select("symbol", "avg_price"),
+    ("tick_volatility", "any"): lambda t, a, b, s: range_candle(t, a, b, s).select("symbol", "volatility"),
     ("volume", "candles"): lambda t, a, b, s: stats.candle_volume(_minutes(t, a, b, s), s),
     ("latest_price", "raw"): lambda t, a, b, s: stats.latest_price(t.raw, s),
     ("latest_price", "candles"): lambda t, a, b, s: stats.latest_close(t.candles_1s, s),

@@ -77,6 +77,13 @@ CANDLES = T.StructType([
     T.StructField("tick_count", T.LongType()),
 ])
 
+# Sums that some candle tables carry, in whole cents: exact, and merged by adding them up.
+MOMENTS = T.StructType([
+    T.StructField("cents_sum", T.DecimalType(38, 0)),
+    T.StructField("square_sum", T.DecimalType(38, 0)),
+    T.StructField("notional_cents", T.DecimalType(38, 0)),
+])
+
 PROGRESS = T.StructType([
     T.StructField("aggregation_interval", T.StringType(), False),
     T.StructField("last_processed_ts", T.TimestampNTZType(), False),

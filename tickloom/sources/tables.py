@@ -84,10 +84,11 @@ def scan_buckets(spark: SparkSession, path: str) -> DataFrame:
     return compact.expand(spark.read.schema(with_day(schemas.STORED_BUCKETS)).parquet(path))
 
 
-def scan_candles(spark: SparkSession, root: str, resolution: str) -> DataFrame:
-    """The candle table of a resolution, e.g. ``ohlcv_1m`` for ``1 minute``."""
+def scan_candles(spark: SparkSession, root: str, resolution: str, moments: bool = False) -> DataFrame:
+    """The candle table of a resolution, e.g. ``ohlcv_1m`` for ``1 minute``; ``moments`` reads the exact sums written with it."""
     path = f"{root}/{schemas.CANDLE_TABLES[resolution]}"
-    return spark.read.schema(with_day(schemas.CANDLES)).parquet(path)
+    fields = [*schemas.CANDLES, *(schemas.MOMENTS if moments else [])]
+    return spark.read.schema(with_day(T.StructType(fields))).parquet(path)
 
 
 def scan_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -9,11 +9,13 @@ Packing keeps no state: every batch appends the packed rows of its own ticks,
 and readers merge the rows of a bucket.
 """
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tickloom import schemas
 from tickloom.functions.timecols import epoch_micros, first_last_key, from_epoch_micros
@@ -23,6 +25,11 @@ from tickloom.sources import compact
 from tickloom.sources.tables import compact_day, scan_buckets, with_day, write_buckets, write_by_day, write_candles
 
 
+# Observed of every batch: ticks that came in, and ticks of the candles that went out.
+SEEN, KEPT = "ticks_seen", "ticks_kept"
+WAIT_S = 60  # for the progress of a batch that has ended
+
+
 def stream_ticks(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """Ticks arriving as Parquet files in a folder, oldest file first."""
     reader = spark.readStream.schema(schemas.TICKS)
@@ -37,6 +44,7 @@ def _watermarked(ticks: DataFrame, delay: str) -> DataFrame:
 
 def candles(ticks: DataFrame, delay: str = "0 seconds", resolution: str = "1 second", key: str = "wide") -> DataFrame:
     """Candles of a tick stream, with their event-time window as ``w``."""
+    ticks = ticks.observe(SEEN, F.count(F.lit(1)).alias("ticks"))
     keyed = _watermarked(ticks, delay).withColumn("_at", first_last_key("ts", "seq", key))
     return keyed.groupBy(F.window("event_time", resolution).alias("w"), "symbol").agg(
         F.min_by("price", "_at").alias("open_price"),
@@ -71,6 +79,7 @@ def run_candles(stream: DataFrame, path: str, checkpoint: str, **trigger) -> Str
     ``trigger`` defaults to all available input, then stop.
     """
     columns = [field.name for field in schemas.CANDLES if field.name != "ts_bucket"]
+    stream = stream.observe(KEPT, F.coalesce(F.sum("tick_count"), F.lit(0)).alias("ticks"))
 
     def rows_of(batch: DataFrame) -> DataFrame:
         return batch.select(_window_start("ts_bucket"), *columns)
@@ -125,6 +134,78 @@ def compact_candles(spark: SparkSession, path: str, day: str) -> None:
     compact_day(rows.drop("dt"), path, write_candles)
 
 
+class LateTicks(StreamingQueryListener):
+    """Counts the ticks that candle streams drop as late, in input rows, over all batches and restarts.
+
+    Every batch reports the ticks it read and those of the candles it wrote.
+    What was read, is not written and is not held by the query's state either
+    was dropped. A batch that runs again after a failure replaces its own
+    counts. Listens to the candle queries of the session it was made for, so
+    make it before they start:
+
+        late = LateTicks(spark)
+        query = run_candles(candles(stream), path, checkpoint)
+        query.awaitTermination()
+        late.count(query, checkpoint)
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._done, self._last = spark, {}, {}
+        spark.streams.addListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        found = [(progress.observedMetrics.get(name) or {"ticks": 0})["ticks"] for name in (SEEN, KEPT)]
+        self._add(str(progress.id), progress.batchId, *found)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def _add(self, query: str, batch: int, seen: int, kept: int) -> None:
+        before = self._last.get(query)
+        if before and before[0] != batch:
+            done = self._done.get(query, (0, 0))
+            self._done[query] = (done[0] + before[1], done[1] + before[2])
+        # the same number again: an idle trigger reports no rows, a batch that ran again all of them
+        if before and before[0] == batch and not seen:
+            seen, kept = before[1], max(kept, before[2])
+        self._last[query] = (batch, seen, kept)
+
+    def totals(self, query: StreamingQuery) -> tuple[int, int]:
+        """(ticks read, ticks written as candles) up to the query's last batch."""
+        begun, last = time.monotonic(), query.lastProgress
+        while last and self._last.get(str(query.id), (-1,))[0] < last["batchId"]:
+            if time.monotonic() - begun > WAIT_S:
+                raise TimeoutError(f"no progress of batch {last['batchId']}")
+            time.sleep(0.02)
+        done, last = self._done.get(str(query.id), (0, 0)), self._last.get(str(query.id), (0, 0, 0))
+        return done[0] + last[1], done[1] + last[2]
+
+    def count(self, query: StreamingQuery, checkpoint: str) -> int:
+        """Ticks dropped so far, exactly, while no batch runs."""
+        seen, kept = self.totals(query)
+        return seen - kept - held_ticks(self._spark, checkpoint)
+
+
+def held_ticks(spark: SparkSession, checkpoint: str) -> int:
+    """Ticks of candles that the state of a candle stream still holds open."""
+    total = 0
+    operators = spark.read.format("state-metadata").load(checkpoint).select("operatorId").distinct().collect()
+    for (operator,) in operators:
+        state = spark.read.format("statestore").option("operatorId", operator).load(checkpoint)
+        # the tick count is the last aggregate of every level
+        fields = [T.StructField(f"_{i}", field.dataType) for i, field in enumerate(state.schema["value"].dataType)]
+        last = F.col("value").cast(T.StructType(fields)).getField(fields[-1].name)
+        total += state.agg(F.coalesce(F.sum(last), F.lit(0)).cast("bigint")).first()[0]
+    return total
+
+
 def late_groups(query: StreamingQuery) -> int:
     """Partially aggregated groups dropped as late (not input rows).
 
