@@ -2,9 +2,13 @@ from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
-from core_cases import plan_of
+from core_cases import plan_of, rows_of
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.timecols import tumbling
+from tickloom.operators import moving
+from tickloom.operators.candles import ohlcv
 from tickloom.operators.kpis import kpis
 from tickloom.operators.moving import first_sma_rows, moving_average, running_total, sma
 
@@ -91,3 +95,29 @@ def test_kpis(spark):
     assert found["SHORT"].current_sma == 0.0
     assert found["LONG"].total_volume == 120
     assert "WindowGroupLimit" in plan_of(kpis(df))
+
+
+def test_a_series_of_a_hundred_thousand_chunks_meets_in_no_task(spark, monkeypatch):
+    """Chunks of two rows, fewer than the width, so that every row is an edge of its chunk."""
+    rows = spark.range(200_000).select(F.lit("A").alias("symbol"), F.col("id").alias("n"), F.expr("CAST(id * 37 % 101 AS DOUBLE)").alias("v"))
+    seen, real = [], moving._frame_columns
+    monkeypatch.setattr(moving, "_frame_columns", lambda df, *args: (seen.append(df), real(df, *args))[1])
+    found = moving.moving_average(rows, "v", "m", keys=["symbol"], order="n", chunk=moving.number_chunks("n", 2), width=5)
+    assert len(seen) == 3
+    largest = [df.groupBy(*key).count().agg(F.max("count")).first()[0] for df, key in zip(seen, (["symbol", "_chunk0"], ["symbol", "_chunk1"], ["symbol"]))]
+    assert largest[0] == 2 and largest[1] == 2 * moving.CHUNKS and largest[2] <= 8 * (200_000 // largest[1] + 1)
+    frame = Window.partitionBy("symbol").orderBy("n").rowsBetween(-4, 0)
+    wrong = found.join(rows.select("n", F.avg("v").over(frame).alias("w")), "n").where(F.abs(F.col("m") - F.col("w")) > 1e-9)
+    assert found.count() == 200_000 and wrong.count() == 0
+
+
+@pytest.mark.parametrize("frames", ["partial", "full", "valid"])
+def test_levels_of_chunks_give_the_result_of_one(feed, monkeypatch, frames):
+    monkeypatch.setattr(moving, "CHUNKS", 3)
+    closes = ohlcv(feed)
+    for chunk in ("1 second", "4 seconds"):
+        levels = moving.time_chunks("ts_bucket", chunk)[:4]
+        args = dict(keys=["symbol"], order="ts_bucket", width=6, frames=frames)
+        found = moving.moving_average(closes, "close_price", "m", chunk=levels, **args)
+        wanted = moving.moving_average(closes, "close_price", "m", chunk=tumbling("ts_bucket", "30 days"), **args)
+        assert rows_of(found.select("symbol", "ts_bucket", "m")) == rows_of(wanted.select("symbol", "ts_bucket", "m"))

@@ -50,6 +50,12 @@ def from_epoch_micros(micros: Column) -> Column:
     return F.timestamp_add("MICROSECOND", micros, ntz("1970-01-01 00:00:00"))
 
 
+def floor_div(number: Column, by: int) -> Column:
+    """A BIGINT divided by a positive number, rounded down."""
+    by = F.lit(by).cast("bigint")
+    return F.call_function("div", number - F.pmod(number, by), by)
+
+
 def tumbling(ts: str, resolution: str) -> Column:
     """Start of the epoch-aligned bucket that holds ``ts``."""
     return F.window(ts, resolution).getField("start")

@@ -3,17 +3,24 @@
 A window partitioned by symbol alone sorts the whole history of a symbol in
 one task. Here a series is cut into chunks of time that are processed apart.
 Only the first rows of a chunk need rows of an earlier chunk, and those are
-among the last ``width - 1`` rows of the chunks before. So chunk heads and
-tails, a small fraction of the rows, go through one window per series, and all
-other rows get their value inside their chunk. The result is the same as with
-one window per series.
+among the last ``width - 1`` rows of the chunks before. So only chunk heads and
+tails, a small fraction of the rows, go on, and all other rows get their value
+inside their chunk. Heads and tails are a series again, in which every head
+finds the rows before it; they are cut into chunks of chunks, and so on, until
+a window per series is left with few rows. The result is the same as with one
+window per series.
 """
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import exact
-from tickloom.functions.timecols import tumbling
+from tickloom.functions.timecols import UNIT_MICROS, epoch_micros, floor_div, resolution_micros, tumbling
+
+CHUNKS = 1024  # chunks that make one of the next level
+LONGEST = 1000 * UNIT_MICROS["day"]  # time chunks as long as this are few in any series
 
 
 def _frame_columns(df: DataFrame, value: str, frame) -> DataFrame:
@@ -24,13 +31,35 @@ def _frame_columns(df: DataFrame, value: str, frame) -> DataFrame:
     })
 
 
-def moving_average(df: DataFrame, value: str, out: str, *, keys: list[str], order: str, chunk: Column,
+def _with_edges(df: DataFrame, keys: list[str], order: str, edge: int) -> DataFrame:
+    """Whether a row is among the first or last ``edge`` ones of its group."""
+    in_order = Window.partitionBy(*keys).orderBy(order)
+    return df.withColumns({"_head": F.row_number().over(in_order) <= edge, "_tail": F.lead(F.lit(1), edge).over(in_order).isNull()})
+
+
+def time_chunks(time: str, chunk: str) -> list[Column]:
+    """Chunks of a time column, chunks of ``CHUNKS`` chunks, and so on up to ``LONGEST``."""
+    widths = [resolution_micros(chunk)]
+    while widths[-1] < LONGEST:
+        widths.append(widths[-1] * CHUNKS)
+    return [floor_div(epoch_micros(time), width) for width in widths]
+
+
+def number_chunks(number: str, size: int, levels: int = 2) -> list[Column]:
+    """Chunks of ``size`` consecutive numbers, then of ``CHUNKS`` times as many, and so on."""
+    return [F.expr(f"{number} DIV {size * CHUNKS ** level}") for level in range(levels)]
+
+
+def moving_average(df: DataFrame, value: str, out: str, *, keys: list[str], order: str, chunk: Column | list[Column],
                    width: int = 20, frames: str = "partial") -> DataFrame:
     """Average of ``value`` over the current row and the ``width - 1`` before it.
 
-    ``chunk`` must rise with ``order`` and bound the rows per (keys, chunk);
-    ``order`` must be unique within ``keys``. Frames are summed row by row in
-    order, so the result does not depend on where chunks are cut.
+    ``chunk`` must rise with ``order`` and bound the rows per (keys, chunk); a
+    list of chunks, each made up of whole chunks of the one before, also bounds
+    the chunks of a series that meet in one task (``time_chunks``,
+    ``number_chunks``). ``order`` must be unique within ``keys``. Frames are
+    summed row by row in order, so the result does not depend on where chunks
+    are cut.
 
     ``frames`` decides on the first ``width - 1`` rows of a series:
 
@@ -40,21 +69,22 @@ def moving_average(df: DataFrame, value: str, out: str, *, keys: list[str], orde
       ``width`` rows comes back unchanged.
     """
     edge = width - 1
-    chunked = df.withColumn("_chunk", chunk)
-    in_chunk = Window.partitionBy(*keys, "_chunk").orderBy(order)
-    staged = _frame_columns(chunked, value, in_chunk.rowsBetween(-edge, 0))
-    staged = staged.withColumns({
-        "_head": F.row_number().over(in_chunk) <= edge,
-        "_tail": F.lead(F.lit(1), edge).over(in_chunk).isNull(),
-    })
-    body = staged.where(~F.col("_head")).withColumn("_short", F.lit(False))
+    chunks = [chunk] if isinstance(chunk, Column) else chunk
+    names = [f"_chunk{level}" for level in range(len(chunks))]
+    rows = df.withColumns({**dict(zip(names, chunks, strict=True)), "_open": F.lit(True)})
+    settled = []
+    for name in names:
+        # an open row still misses its frame; the others are there for the frames of open ones
+        rows = _frame_columns(rows, value, Window.partitionBy(*keys, name).orderBy(order).rowsBetween(-edge, 0))
+        rows = _with_edges(rows, [*keys, name], order, edge)
+        settled.append(rows.where("_open AND NOT _head"))
+        rows = rows.where("_head OR _tail").withColumn("_open", F.expr("_open AND _head"))
 
     series = Window.partitionBy(*keys)
-    edges = staged.where(F.col("_head") | F.col("_tail"))
-    edges = _frame_columns(edges, value, series.orderBy(order).rowsBetween(-edge, 0))
+    rows = _frame_columns(rows, value, series.orderBy(order).rowsBetween(-edge, 0))
     # A series with fewer rows than the width consists of heads only.
-    edges = edges.withColumn("_short", F.count(F.lit(1)).over(series) < width)
-    merged = body.unionByName(edges.where("_head"))
+    rows = rows.withColumn("_short", F.count(F.lit(1)).over(series) < width).where("_open")
+    merged = functools.reduce(lambda a, b: a.unionByName(b), [part.withColumn("_short", F.lit(False)) for part in settled] + [rows])
 
     average = F.col("_sum").cast("double") / F.nullif(F.col("_seen"), F.lit(0))
     if frames == "full":
@@ -99,7 +129,7 @@ def sma(candles: DataFrame, width: int = 20, frames: str = "partial", chunk: str
     """
     return moving_average(
         candles, value, f"sma{width}", keys=["symbol"], order="ts_bucket",
-        chunk=tumbling("ts_bucket", chunk), width=width, frames=frames,
+        chunk=time_chunks("ts_bucket", chunk), width=width, frames=frames,
     )
 
 

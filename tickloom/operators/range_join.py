@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import exact
-from tickloom.functions.timecols import epoch_micros, from_epoch_micros, resolution_micros, tumbling
+from tickloom.functions.timecols import epoch_micros, floor_div, from_epoch_micros, resolution_micros, tumbling
 from tickloom.operators.moving import running_totals
 from tickloom.operators.ranges import in_range
 
@@ -81,18 +81,13 @@ def _totals(windows: DataFrame, ticks: DataFrame, resolution: str, chunk: str) -
     )
 
 
-def _floor_div(number: Column, by: int) -> Column:
-    by = F.lit(by).cast("bigint")
-    return F.call_function("div", number - F.pmod(number, by), by)
-
-
 def _pieces(windows: DataFrame, width: int, levels: int) -> DataFrame:
     """The windows with their pieces (_level, _cell): aligned cells of ``CELLS ** level`` buckets, and at level EDGE their cut buckets."""
     start, stop, power = epoch_micros("t1"), epoch_micros("t2") + 1, CELLS.bit_length() - 1
     piece = lambda level, cell: F.struct(F.lit(level).alias("_level"), cell.alias("_cell"))
     # whole buckets in the window: from _low up to, not including, _high
-    ends = windows.withColumns({"_low": _floor_div(start + (width - 1), width), "_high": _floor_div(stop, width),
-                                "_first": _floor_div(start, width), "_start_cut": F.pmod(start, F.lit(width)) != 0,
+    ends = windows.withColumns({"_low": floor_div(start + (width - 1), width), "_high": floor_div(stop, width),
+                                "_first": floor_div(start, width), "_start_cut": F.pmod(start, F.lit(width)) != 0,
                                 "_stop_cut": F.pmod(stop, F.lit(width)) != 0})
 
     def inner(level: int) -> tuple[Column, Column]:
@@ -130,7 +125,7 @@ def _totals_by(windows: DataFrame, ticks: DataFrame, by: list[str], resolution:
 
     pieces = _pieces(windows, width, levels)
     cut = pieces.where(F.col("_level") == EDGE).select(from_epoch_micros(F.col("_cell") * width).alias("_bucket")).distinct()
-    sums = _sums(wanted, cut, by, resolution).withColumn("_bucket", _floor_div(epoch_micros("at"), width))
+    sums = _sums(wanted, cut, by, resolution).withColumn("_bucket", floor_div(epoch_micros("at"), width))
     place = lambda level, cell, at: F.struct(F.lit(level).alias("_level"), cell.alias("_cell"), at.alias("at"))
     none = F.lit(None).cast("timestamp_ntz")
     power = CELLS.bit_length() - 1
