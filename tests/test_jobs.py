@@ -3,7 +3,7 @@
 from datetime import timedelta
 
 import pytest
-from core_cases import START, rows_of
+from core_cases import START, plan_of, rows_of
 from pyspark.sql import functions as F
 
 from tickloom import schemas
@@ -220,6 +220,8 @@ def test_numbers_follow_the_lines_however_files_are_split(spark, feed, tmp_path)
     try:
         loaded = text.load_tsv(spark, str(path))
         assert text.load_tsv(spark, str(path), number=False).rdd.getNumPartitions() > 1024
+        plan = plan_of(loaded)
+        assert "BroadcastHashJoin" in plan and not any("price" in line for line in plan.split("\n") if "Exchange" in line)
         tables.write_ticks(loaded, str(tmp_path / "ticks"))
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")

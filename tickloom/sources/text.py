@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from tickloom import schemas
 
+# Up to that many splits their starts, 16 bytes each, travel with every task.
+BROADCAST_SPLITS = 1_000_000
+
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]"
 
 
@@ -15,7 +18,9 @@ def load_tsv(spark: SparkSession, paths: str | list[str], number: bool = True) -
     line order within and across files, files by path. However the files are
     split, the numbers are the same. They cost a counting pass over the files:
     lines are counted per split, and running totals of these counts, one row per
-    split, are where each split starts.
+    split, are where each split starts. Lines find their split's start by a hash
+    of its place, in a lookup that goes to the tasks, so no line is shuffled; a
+    hash that two splits share would fail the job.
     """
     reader = spark.read.schema(schemas.TICKS_TSV).option("timestampNTZFormat", TS_FORMAT)
     ticks = reader.csv(paths, sep="\t", header=False, mode="FAILFAST")
@@ -27,8 +32,13 @@ def load_tsv(spark: SparkSession, paths: str | list[str], number: bool = True) -
     )
     splits = placed.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_lines"), F.min("_nr").alias("_first"))
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = splits.select("_file", "_block", (F.coalesce(F.sum("_lines").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
-    numbered = placed.join(starts, ["_file", "_block"])
+    shift = F.coalesce(F.sum("_lines").over(before), F.lit(0)) - F.col("_first")
+    starts = splits.select(F.xxhash64("_file", "_block").alias("_split"), shift.alias("_shift")).groupBy("_split").agg(
+        F.when(F.count(F.lit(1)) == 1, F.max("_shift")).otherwise(F.raise_error(F.lit("two splits have one hash"))).alias("_shift"))
+    # a partition is one split of a large file, or several whole files
+    if placed.rdd.getNumPartitions() + len(ticks.inputFiles()) <= BROADCAST_SPLITS:
+        starts = F.broadcast(starts)
+    numbered = placed.withColumn("_split", F.xxhash64("_file", "_block")).join(starts, "_split")
     return numbered.select((F.col("_nr") + F.col("_shift")).alias("seq"), "ts", "symbol", "price", "volume")
 
 
