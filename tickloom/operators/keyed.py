@@ -61,11 +61,13 @@ def insert_if_absent(new: DataFrame, existing: DataFrame, keys: list[str],
 def upsert(existing: DataFrame, updates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """``existing`` with the rows of ``updates`` put in place of their keys.
 
-    The last write wins, also when its values are older.
+    The last write wins, also when its values are older. ``existing`` holds
+    every key once.
     """
-    latest = newest_per_key(updates, keys, order).select(*existing.columns)
-    kept = existing.join(latest.select(*keys), keys, "left_anti")
-    return kept.unionByName(latest)
+    columns = existing.columns
+    offered = updates.select(*dict.fromkeys([*columns, *order])).withColumn("_update", F.lit(1))
+    rows = existing.withColumn("_update", F.lit(0)).unionByName(offered, allowMissingColumns=True)
+    return newest_per_key(rows, keys, ["_update", *order]).select(*columns)
 
 
 def append_candles(spark: SparkSession, candles: DataFrame, path: str, period: tuple[datetime, datetime]) -> None:

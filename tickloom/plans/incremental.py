@@ -8,7 +8,7 @@ replay appends nothing (first write wins). One writer at a time.
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom import schemas
@@ -108,8 +108,9 @@ def rebuild(spark: SparkSession, ticks: DataFrame, root: str, first_day: datetim
 
     A day whose ticks are gone loses its candles. Only finished seconds and
     minutes are written, as in ``advance``; the days must lie before the
-    progress position for that not to matter. Seconds are replaced first, then
-    minutes, then empty days are removed; after a crash in between, the same
+    progress position for that not to matter. Ticks are aggregated once:
+    seconds are replaced first, then minutes, rolled up from the stored
+    seconds, then empty days are removed; after a crash in between, the same
     call makes all three right.
     """
     first, last = first_day.date(), last_day.date()
@@ -119,12 +120,21 @@ def rebuild(spark: SparkSession, ticks: DataFrame, root: str, first_day: datetim
     position = last_processed(spark, root)
     if position is not None:
         chosen = chosen.where(F.col("ts") < ntz(position))
-    seconds = ohlcv(chosen, "1 second", key)
-    minutes = rollup(seconds, "1 minute")
+    days = _replace_days(ohlcv(chosen, "1 second", key), f"{root}/ohlcv_1s")
+    every = {first + timedelta(days=i) for i in range((last - first).days + 1)}
+    # days that the write above did not touch may still hold old seconds
+    stored = scan_candles(spark, root, "1 second").where(F.col("dt").isin(sorted(days)) if days else F.lit(False))
+    minutes = rollup(stored, "1 minute")
     if position is not None:
         minutes = minutes.where(F.col("ts_bucket") < ntz(position.replace(second=0)))
-    every = {first + timedelta(days=i) for i in range((last - first).days + 1)}
-    for candles, table in ((seconds, "ohlcv_1s"), (minutes, "ohlcv_1m")):
-        write_by_day(candles, f"{root}/{table}", "ts_bucket", ["symbol", "ts_bucket"], replace_days=True)
-        full = {row.day for row in candles.select(F.to_date("ts_bucket").alias("day")).distinct().collect()}
-        remove_paths(spark, [f"{root}/{table}/dt={day}" for day in sorted(every - full)])
+    full = {"ohlcv_1s": days, "ohlcv_1m": _replace_days(minutes, f"{root}/ohlcv_1m")}
+    for table, written in full.items():
+        remove_paths(spark, [f"{root}/{table}/dt={day}" for day in sorted(every - written)])
+
+
+def _replace_days(candles: DataFrame, path: str) -> set:
+    """Write candles in place of the days they have rows of; returns these days, observed while writing."""
+    seen = Observation()
+    observed = candles.observe(seen, F.collect_set(F.to_date("ts_bucket")).alias("days"))
+    write_by_day(observed, path, "ts_bucket", ["symbol", "ts_bucket"], replace_days=True)
+    return set(seen.get["days"])
