@@ -15,9 +15,7 @@ FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(FILE)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(FILE)
 
 
 def test_coder_round_trips():
@@ -63,13 +61,25 @@ def test_documents_over_several_blocks(monkeypatch):
 
 def test_pieces_give_the_ids_of_whole_texts(tokenizer):
     texts = [t or "" for _, t, _ in edge_texts()] + [
-        " ", "a  b", "\n", "a \nb", "x\ty", "a <|endoftext|> b", "don't 's  go", " lead", "trail ", "a b c", "a\n\nb c", "a b ᠎ c", "a\x1cb c", "1 2\n3"]
+        " ", "a  b", "\n", "a \nb", "x\ty", "a <|endoftext|> b", "don't 's  go", " lead", "trail ", "a b c", "a\n\nb c", "a b ᠎ c", "a\x1cb c", "1 2\n3",
+        "hello <|endoftext|> world", "x<|endoftext|>y z", "<|endoftext|>", "<|endoftext| >", "a <|endoftext|><|endoftext|>\n b"]
+    assert tokenizer.encode(texts[-5], add_special_tokens=False).ids == [31373, 220, 50256, 995]
     coder = token_files.PieceEncoder(tokenizer)
     for _ in range(2):
         found = [np.frombuffer(ids, "<u4").tolist() for ids in coder.encode(texts)]
         assert found == [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
 
 
+def test_table_is_bounded_by_bytes(tokenizer, monkeypatch):
+    monkeypatch.setattr(token_files, "KEPT_BYTES", 50_000)
+    coder = token_files.PieceEncoder(tokenizer, {})
+    for low in range(0, 5000, 100):
+        texts = [f"word{i} thing{i} other" for i in range(low, low + 100)]
+        found = [np.frombuffer(ids, "<u4").tolist() for ids in coder.encode(texts)]
+        assert found == [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    assert coder.table[token_files.HELD] < 50_000 + 200 * 250 and len(coder.table) < 800
+
+
 def test_round_trip(edge_docs, no_docs, tokenizer):
     found = token_files.round_trip(edge_docs, FILE).collect()
     wanted = []

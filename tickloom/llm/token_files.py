@@ -7,9 +7,10 @@ will do. Part n holds smaller document ids than part n + 1.
 
 Texts are tokenized in pieces. Byte-level BPE starts a new piece at every single
 space between two other characters, so such texts are split there, and the ids
-of a piece are kept in a bounded table; texts with any other white space than
-single spaces and line feeds are encoded whole. Both
-give the ids of the whole text.
+of a piece are kept in a table of bounded bytes; texts with any other white
+space than single spaces and line feeds, and texts that hold an added token of
+the tokenizer, such as an end mark, are encoded whole. Both give the ids of the
+whole text.
 
 Defined cases: null text is empty and has the end id only. Null document ids
 come first. Rows that repeat an id are separate documents, ordered by text
@@ -40,11 +41,14 @@ FRAME = "<4sII"  # magic, bytes of the directory, bytes of the block
 MAGIC = b"TLF1"
 ENTRY = np.dtype([("doc_id", "<i8"), ("ids", "<u4"), ("flags", "<u4")])
 NULL_ID, GOES_ON = 1, 2
-KEPT_PIECES = 600_000
+KEPT_BYTES, ENTRY_BYTES = 80_000_000, 170  # of a worker's table; what Python adds to the bytes of an entry
 # pieces that hold white space other than single line feeds between other characters
 IRREGULAR = re.compile("^$|^\\n|\\n$|\\n\\n|[^\\S\\n]|\u180e")
 
 
+HELD = None  # the table's key for its own bytes; pieces are strings
+
+
 class PieceEncoder:
     """Ids of texts, by a table of pieces seen before; irregular pieces have none."""
 
@@ -52,11 +56,14 @@ class PieceEncoder:
         self.tokenizer, self.table = tokenizer, {} if table is None else table
         size = tokenizer.get_vocab_size(with_added_tokens=True)
         # byte-level vocabularies write a space as this letter
+        added = sorted((token.content for token in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
         self.opens = np.array([(tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        table, split = self.table, [text.split(" ") for text in texts]
+        table, split = self.table, [[""] if self.added.search(text) else text.split(" ") for text in texts]
+        # the empty piece is irregular, and its text is encoded whole
         found = [list(map(table.get, pieces)) for pieces in split]
         fresh = list({piece for pieces, coded in zip(split, found, strict=True) if None in coded
                       for piece, ids in zip(pieces, coded, strict=True) if ids is None})
@@ -65,8 +72,9 @@ class PieceEncoder:
         for pieces, coded in zip(split, found, strict=True):
             if None in coded:
                 coded[:] = [new[piece] if ids is None else ids for piece, ids in zip(pieces, coded, strict=True)]
-        if len(table) < KEPT_PIECES:  # common pieces come early
+        if table.get(HELD, 0) < KEPT_BYTES:  # common pieces come early
             table.update(new)
+            table[HELD] = table.get(HELD, 0) + sum(len(piece) + len(ids or b"") + ENTRY_BYTES for piece, ids in new.items())
         # the first piece has no space before it; irregular texts are encoded whole
         heads = self.tokenizer.encode_batch_fast(
             [text if 0 in coded else pieces[0] for text, pieces, coded in zip(texts, split, found, strict=True)], add_special_tokens=False)
@@ -158,7 +166,6 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = END
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(vocabulary.value)
-        tokenizer.encode_special_tokens = True
         encoder, end = PieceEncoder(tokenizer, worker_table()), struct.pack("<I", end_id)
 
         def documents():
