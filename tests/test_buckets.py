@@ -130,8 +130,12 @@ def test_stored_rows_of_two_ticks_keep_volumes_only(feed):
 
 
 def test_packed_tables_are_smaller_than_ticks_in_every_codec(spark, tmp_path):
-    events = event_feed.read_events(spark, "/root/testdata/sf0.1")
-    storage.write_codecs(event_feed.dense_ticks(events), str(tmp_path))
+    """Half a million ticks on five days, as in the benchmark."""
+    feed = event_feed.dense_ticks(event_feed.read_events(spark, "/root/testdata/sf0.1"))
+    days = spark.range(5).withColumnRenamed("id", "day")
+    shifted = feed.join(F.broadcast(days)).select(
+        (F.col("seq") + F.col("day") * 1_000_000).alias("seq"), F.timestamp_add("DAY", F.col("day"), F.col("ts")).alias("ts"), "symbol", "price", "volume")
+    storage.write_codecs(shifted, str(tmp_path))
     sizes = {r.table: r.bytes for r in listing.list_files(spark, str(tmp_path)).groupBy("table").agg(F.sum("length").alias("bytes")).collect()}
     for codec in storage.CODECS:
         assert sizes[f"buckets-{codec}"] < sizes[f"ticks-{codec}"], (codec, sizes)
