@@ -83,7 +83,7 @@ def test_latest_price_breaks_ties(make_ticks):
 
 
 def test_layouts_agree_where_they_should(feed):
-    seconds = ohlcv(feed)
+    seconds = ohlcv(feed, moments=True)  # some forms need the sums
     layouts = Layouts(feed, pack(feed), seconds, rollup(seconds))
     start, end = START.replace(second=0), START.replace(second=0) + timedelta(minutes=3)
     def run(name, layout):
@@ -98,6 +98,13 @@ def test_layouts_agree_where_they_should(feed):
             assert query(name, layout, layouts, start, end, symbol).count() >= 1
 
 
+def test_forms_that_need_sums_say_so(feed):
+    plain = Layouts(feed, None, ohlcv(feed), rollup(ohlcv(feed)))
+    for name, layout in (("vwap", "candles"), ("mean_price", "candles"), ("tick_volatility", "candles"), ("volume", "any")):
+        with pytest.raises(ValueError, match="moments=True"):
+            query(name, layout, plain, START, START + timedelta(minutes=3))
+
+
 def test_candle_range_is_newest_first(feed):
     found = ranges.candle_range(ohlcv(feed), START, ON_TICK, "AAPL").collect()
     times = [row.ts_bucket for row in found]

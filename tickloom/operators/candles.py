@@ -85,12 +85,20 @@ def second_activity(candles: DataFrame) -> DataFrame:
     )
 
 
+def require_sums(candles: DataFrame) -> None:
+    """Raises where candles do not carry the exact sums."""
+    missing = sorted(set(schemas.MOMENTS.names) - set(candles.columns))
+    if missing:
+        raise ValueError(f"the candles carry no {', '.join(missing)}: make them with moments=True")
+
+
 def tick_statistics(candles: DataFrame, per: list[str]) -> DataFrame:
     """Mean price, VWAP and sample volatility of the ticks behind candles that carry exact sums.
 
     Equal to the statistics of the ticks themselves, which the candles' closes
     do not give.
     """
+    require_sums(candles)
     total = lambda name: F.sum(name).cast("decimal(38,0)")
     return candles.groupBy(*per).agg(
         exact.ratio(exact.from_cents(total("cents_sum")), F.sum("tick_count")).alias("avg_price"),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tickloom import schemas
 from tickloom.functions import exact
-from tickloom.operators.candles import ohlcv
+from tickloom.operators.candles import ohlcv, require_sums
 from tickloom.operators.ranges import in_range
 
 EPOCH, INSTANT = datetime(1970, 1, 1), timedelta(microseconds=1)
@@ -53,9 +53,7 @@ def range_parts(tables, start: datetime, end: datetime, symbol: str | None = Non
     stop = end + INSTANT
     sources = {width: frame for width, frame in ((SECOND, tables.candles_1s), (MINUTE, tables.candles_1m)) if frame is not None}
     for frame in sources.values():
-        missing = set(schemas.MOMENTS.names) - set(frame.columns)
-        if missing:
-            raise ValueError(f"the candles carry no {', '.join(sorted(missing))}: make them with moments=True")
+        require_sums(frame)
     known = stop if until is None or until >= stop else max(start, until.replace(microsecond=0))
     parts = []
     for width, low, high in [*cover(start, known, tuple(sorted(sources))), *cover(known, stop, ())]:
