@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     connection = duckdb.connect()
-    for table in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for table in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     return connection
 
@@ -44,7 +44,7 @@ def test_pipeline(spark, tmp_path):
     before, after = results["near_duplicates"]
     assert ids(after) == ids(overlap_join.join_documents(before).where("doc_id = component_id"))
     before, after = results["decontamination"]
-    found = phrases.contamination(before, spark.read.parquet(f"{SF}/benchmark.parquet")).where("n_hit = 0").select("row.doc_id")
+    found = phrases.contamination(before, spark.read.parquet(f"{SF}/benchmark.parquet")).where("n_hit = 0").selectExpr("id AS doc_id")
     assert ids(after) == ids(found)
     before, after = results["source_mix"]
     copies = ids(after)

@@ -1,5 +1,6 @@
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from llm_cases import WORD, edge_texts, same_rows
@@ -22,26 +23,42 @@ def brute(text):
 
 
 def test_against_brute_force(edge_docs):
-    found = rules.judge(edge_docs.select("doc_id", "text")).select("doc_id", *COLUMNS).collect()
-    same_rows(found, [(i, *brute(t)) for i, t, _ in edge_texts()])
+    judged = rules.judge(edge_docs.select("doc_id", "text"))
+    found = rules.measures(judged.select("row.doc_id", "row.text", F.col("rejected_by").isNull().alias("kept")))
+    found = found.withColumn("base_failed", rules.base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    same_rows(found.select("doc_id", *COLUMNS).collect(), [(i, *brute(t)) for i, t, _ in edge_texts()])
 
 
-def test_other_columns_and_empty_tables(edge_docs, no_docs):
-    judged = rules.judge(edge_docs)
-    assert set(judged.columns) == {*edge_docs.columns, *COLUMNS} and judged.count() == len(edge_texts())
-    assert rules.judge(no_docs).count() == 0
+def test_kept_documents_keep_their_columns(edge_docs, no_docs):
+    kept = rules.good_documents(edge_docs)
+    assert kept.columns == edge_docs.columns
+    same_rows([(r["doc_id"], r["text"]) for r in kept.collect()], [(i, t) for i, t, _ in edge_texts() if brute(t)[-1]])
+    assert rules.good_documents(no_docs).count() == 0 and rules.judge(no_docs).count() == 0
 
 
 def test_cascade_order_does_not_change_verdicts(edge_docs):
-    measured = rules.measures(edge_docs.select("doc_id", "text"))
-    more = rules.more_rules()
-    names = list(more)
-    one, two = (measured.select("doc_id", "text", rules.cascade(more, order).isNull().alias("stays")).collect() for order in (names, names[::-1]))
+    all_ = rules.all_rules(F.col("text"))
+    names = list(all_)
+    one, two = (edge_docs.select("doc_id", "text", rules.cascade(all_, order).isNull().alias("stays")).collect() for order in (names, names[::-1]))
     same_rows(one, two)
 
 
-def test_ranking_prefers_cheap_rejection(edge_docs):
-    costly = F.length(F.repeat(F.col("text"), 50)) < 0
-    order = rules.rank_rules(edge_docs, {"never": costly, "often": F.col("n_words") < 1000})
-    assert order[0] == "often"
+def test_later_rules_are_not_computed_for_rejected_documents(spark, edge_docs):
+    """A rule that fails when it is computed: no error where an earlier rule rejects, an error where none does."""
+    docs = edge_docs.select("doc_id", "text")
+    fails = F.raise_error(F.concat(F.lit("computed for "), F.substring(F.coalesce("text", F.lit("")), 1, 5))).cast("boolean")
+    pair = {"short": F.coalesce(F.length("text"), F.lit(0)) < 10_000_000, "fails": fails}
+    assert {r[0] for r in docs.select(rules.cascade(pair, ["short", "fails"])).collect()} == {"short"}
+    with pytest.raises(Exception, match="computed for"):
+        docs.select(rules.cascade(pair, ["fails", "short"])).collect()
 
+
+def test_ranking_from_raw_text(spark):
+    docs = spark.range(3000).select(F.concat(F.repeat(F.concat(F.lit("w"), F.col("id")), 3), F.repeat(F.lit(" some words here"), 300)).alias("text"))
+
+    def mine(text):
+        # alike in what they reject, unlike in what they cost
+        return {"costly": rules.repeated_words(F.split(text, " ")) > 0, "cheap": F.length(text) > 0, "never": F.length(text) < 0}
+
+    assert rules.rank_rules(docs, mine) == ["cheap", "costly", "never"]
+    assert set(rules.rank_rules(docs)) == {"few_words", "repeated", "symbols", "word_length", "lines", "capitals", "shouting"}

@@ -9,12 +9,14 @@ without a shuffle.
 A phrase search starts from the rarest terms. Every window of an item picks the
 ``RAREST`` of its words with the fewest postings in the whole index. Their lists,
 shifted by the word's place in the item, are intersected: a document stays a
-candidate at a shift when enough shifted lists meet there. Frequent words' lists
-are never joined. Candidates, few, are then checked word by word in their own
-texts; runs of 10 agreeing words are exact occurrences of windows.
+candidate for a window at a shift when all of the window's shifted lists meet
+there. Frequent words' lists are never joined. Candidates, few, are then checked
+word by word in their own texts; runs of 10 agreeing words are exact occurrences
+of windows.
 
-Proximity search works on the same postings: the rarest terms of an item that
-occur within a span of words, matched through position blocks.
+Proximity search works on the same postings and windows: all words of a window,
+in any order, within a span of words. Each occurrence of a window's rarest term
+is an anchor; the other terms' postings around it are found by position blocks.
 
 Defined cases: null or empty texts have no words and match nothing. Items of
 fewer than 10 words, but not none, are one window. Repeated items and rows
@@ -70,41 +72,52 @@ def list_lengths(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
 
 
-def rarest_probes(items: DataFrame, lengths: DataFrame, rarest: int = RAREST) -> DataFrame:
-    """The words of each window whose lists are intersected: (item, ipos, term).
-
-    Windows with a word that no document has are dropped: they cannot occur.
-    """
+def spread_windows(items: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Every window's words (item, start, len, ipos, term, cf); cf counts the term's postings, 0 for unknown terms."""
     known = items.join(lengths, "term", "left").withColumn("cf", F.coalesce("cf", F.lit(0)))
     length = F.least(F.col("n"), F.lit(WINDOW))
     first = F.greatest(F.col("ipos") - WINDOW + 1, F.lit(0))
     last = F.least(F.col("ipos"), F.col("n") - length)
-    spread = known.withColumn("start", F.explode(F.sequence(first, last))).withColumn("len", length)
+    return known.withColumn("start", F.explode(F.sequence(first, last))).withColumn("len", length)
+
+
+def rarest_probes(items: DataFrame, lengths: DataFrame, rarest: int = RAREST) -> DataFrame:
+    """The words of each window whose lists are intersected: (item, start, len, ipos, term, need).
+
+    Windows with a word that no document has are dropped: they cannot occur.
+    """
     of_window = Window.partitionBy("item", "start")
-    ranked = spread.withColumn("rank", F.row_number().over(of_window.orderBy("cf", "ipos"))).withColumn("least", F.min("cf").over(of_window))
-    return ranked.where((F.col("rank") <= rarest) & (F.col("least") > 0)).select("item", "start", "ipos", "term", F.least("len", F.lit(rarest)).alias("need"))
+    ranked = spread_windows(items, lengths).withColumn("rank", F.row_number().over(of_window.orderBy("cf", "ipos")))
+    ranked = ranked.withColumn("least", F.min("cf").over(of_window))
+    return ranked.where((F.col("rank") <= rarest) & (F.col("least") > 0)).select(
+        "item", "start", "len", "ipos", "term", F.least("len", F.lit(rarest)).alias("need"))
 
 
 def candidates(index: DataFrame, probes: DataFrame) -> DataFrame:
-    """(id, h, item, shift) at which all probes of some window of the item meet.
+    """(id, h, item, shift, start, len): the windows whose probes all meet at a shift.
 
-    Lists are joined once per word of an item; the words met at a shift are
-    gathered as a bounded set (at most the item's words) and compared with
-    every window's probes.
+    Lists are joined once per word of an item. Shifts at which fewer words meet
+    than a window asks for, nearly all, are dropped before windows are looked at.
     """
-    words_ = probes.select("item", "ipos", "term").distinct()
-    met = index.join(broadcast_checked(words_, 64), "term").select("id", "h", "item", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos")
-    gathered = met.groupBy("id", "h", "item", "shift").agg(F.collect_set("ipos").alias("met")).where(
-        F.size("met") >= F.lit(1))
-    wanted = probes.groupBy("item", "start").agg(F.collect_set("ipos").alias("wanted")).groupBy("item").agg(F.collect_set("wanted").alias("windows"))
-    whole = F.exists("windows", lambda w: F.size(F.array_except(w, F.col("met"))) == 0)
-    return gathered.join(broadcast_checked(wanted, 4096), "item").where(whole).select("id", "h", "item", "shift")
+    listed = probes.select("item", "ipos", "term", "need").distinct()
+    met = index.join(broadcast_checked(listed, 64), "term").select(
+        "id", "h", "item", "need", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos")
+    at = ["id", "h", "item", "shift"]
+    gathered = met.groupBy(*at).agg(F.collect_set("ipos").alias("met"), F.first("need").alias("need"))
+    enough = gathered.where(F.size("met") >= F.col("need")).select(*at, F.explode("met").alias("ipos"))
+    windows = enough.join(broadcast_checked(probes.drop("term"), 64), ["item", "ipos"]).groupBy(*at, "start", "len", "need")
+    return windows.agg(F.count(F.lit(1)).alias("words")).where(F.col("words") == F.col("need")).select(*at, "start", "len")
 
 
 def occurrences(docs: DataFrame, items: DataFrame, found: DataFrame) -> DataFrame:
-    """Exact runs (id, h, item, first, length) of agreeing words, as long as a window or longer."""
-    wanted = found.join(broadcast_checked(items, 128), "item").select(
-        "id", "h", "item", "shift", "ipos", "n", (F.col("shift") + F.col("ipos")).alias("pos"), "word")
+    """Exact runs (id, h, item, first, length) of agreeing words, as long as a window or longer.
+
+    Only the words of candidate windows are compared, each once.
+    """
+    at = ["id", "h", "item", "shift"]
+    places = found.select(*at, F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("ipos")).distinct()
+    wanted = places.join(broadcast_checked(items, 128), ["item", "ipos"]).select(
+        *at, "ipos", "n", (F.col("shift") + F.col("ipos")).alias("pos"), "word")
     texts = keyed(docs).select("id", "h", F.col("row.text").alias("text"))
     some = found.select("id", "h").distinct()
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["h"] == b["h"])
@@ -113,7 +126,6 @@ def occurrences(docs: DataFrame, items: DataFrame, found: DataFrame) -> DataFram
         "id", "h", "pos", lower_ascii(F.col("raw")).alias("word"))
     hits = wanted.join(spread, same(wanted, spread) & (wanted["pos"] == spread["pos"]) & (wanted["word"] == spread["word"])).select(
         wanted["id"], wanted["h"], "item", "shift", "ipos", "n")
-    at = ["id", "h", "item", "shift"]
     runs = hits.withColumn("run", F.col("ipos") - F.row_number().over(Window.partitionBy(*at).orderBy("ipos")))
     runs = runs.groupBy(*at, "run").agg(F.min("ipos").alias("low"), F.count(F.lit(1)).alias("length"), F.first("n").alias("n"))
     return runs.where(F.col("length") >= F.least(F.col("n"), F.lit(WINDOW))).select(
@@ -130,7 +142,7 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, index: DataFrame | Non
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Every row of ``docs`` as ``row`` with n_words, n_hit, n_items, items (ids, sorted as strings)."""
+    """For every row of ``docs`` id, n_words, n_hit, n_items, items (ids, sorted as strings). No text is shuffled."""
     runs, items = phrase_matches(docs, benchmark)
     runs = materialize(runs, "runs")
     places = runs.select("id", "h", F.explode(F.sequence("first", F.col("first") + F.col("length") - 1)).alias("pos")).distinct()
@@ -139,31 +151,44 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     which = runs.select("id", "h", "item").distinct().join(names, "item").groupBy("id", "h").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     both = hit.join(which, hit["id"].eqNullSafe(which["id"]) & (hit["h"] == which["h"])).select(
         hit["id"].alias("hit_id"), hit["h"].alias("hit_h"), "n_hit", "items")
-    rows = keyed(docs).withColumn("n_words", count_of(F.col("row.text"), TERM))
+    rows = keyed(docs).select("id", "h", count_of(F.col("row.text"), TERM).alias("n_words"))
     joined = rows.join(both, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_h")), "left")
+    found = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
-        "row", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+        "id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(found).cast("long").alias("n_items"), found.alias("items"))
 
 
-def proximity_matches(index: DataFrame, items: DataFrame, within: int = 30, rarest: int = RAREST) -> DataFrame:
-    """(id, h, item, pos): the item's rarest terms all occur within ``within`` words after ``pos``.
+def proximity_matches(index: DataFrame, items: DataFrame, within: int = 30) -> DataFrame:
+    """(id, h, item, start, pos): all words of the item's window at ``start`` occur in the ``within`` words from ``pos``.
 
-    ``pos`` holds one of them. Positions are matched through blocks of
-    ``within`` words, so a pair is looked at only where it can be near.
+    ``pos`` holds one of them; order and repetitions do not matter. A window
+    with a word that no document has matches nothing. ``index`` must hold the
+    postings of all words of ``items``. An anchor looks at no more than the
+    postings less than ``within`` words away.
     """
-    known = items.select("item", "term").distinct().join(list_lengths(index), "term")
-    rank = F.row_number().over(Window.partitionBy("item").orderBy("cf", "term"))
-    wanted = known.withColumn("rank", rank).where(F.col("rank") <= rarest).select("item", "term")
-    need = wanted.groupBy("item").agg(F.count(F.lit(1)).alias("need"))
-    met = index.join(broadcast_checked(wanted, 64), "term").select("id", "h", "item", "term", "pos")
-    left = met.select("id", "h", "item", F.col("pos").alias("at"), F.explode(F.array((F.col("pos") / within).cast("int"), (F.col("pos") / within).cast("int") + 1)).alias("block"))
-    right = met.withColumn("block", (F.col("pos") / within).cast("int"))
-    near = left.join(right, ["id", "h", "item", "block"]).where(F.col("pos").between(F.col("at"), F.col("at") + within - 1))
-    counted = near.groupBy("id", "h", "item", "at").agg(F.count_distinct("term").alias("terms")).join(broadcast_checked(need, 64), "item")
-    return counted.where(F.col("terms") == F.col("need")).select("id", "h", "item", F.col("at").alias("pos"))
+    windows = spread_windows(items, list_lengths(index)).groupBy("item", "start").agg(
+        F.collect_set("term").alias("terms"), F.min_by("term", F.struct("cf", "term")).alias("term"), F.min("cf").alias("least"))
+    windows = broadcast_checked(windows.where(F.col("least") > 0).drop("least"), 256)
+    at = ["id", "h", "item", "start", "terms", "at"]
+    anchors = index.join(windows, "term").select("id", "h", "item", "start", "terms", F.col("pos").alias("at")).distinct()
+    block = lambda pos: F.floor(F.col(pos) / within)
+    left = anchors.withColumn("block", F.explode(F.array(block("at") - 1, block("at"), block("at") + 1)))
+    right = index.select(F.col("id").alias("its_id"), F.col("h").alias("its_h"), "pos", "term", block("pos").alias("its_block"))
+    same = F.col("id").eqNullSafe(F.col("its_id")) & (F.col("h") == F.col("its_h")) & (F.col("block") == F.col("its_block"))
+    near = left.join(right, same).where((F.abs(F.col("pos") - F.col("at")) < within) & F.array_contains("terms", F.col("term")))
+    met = near.groupBy(*at).agg(F.collect_set(F.struct("pos", "term")).alias("met"))
+    inside = lambda x: F.filter("met", lambda y: y["pos"].between(x["pos"], x["pos"] + within - 1))
+    whole = lambda x: F.size(F.array_distinct(F.transform(inside(x), lambda y: y["term"]))) == F.size("terms")
+    begins = F.filter("met", lambda x: (x["pos"] <= F.col("at")) & whole(x))
+    return met.select("id", "h", "item", "start", F.explode(F.transform(begins, lambda x: x["pos"])).alias("pos")).distinct()
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no window of an item occurs."""
-    return contamination(docs, benchmark).where(F.col("n_hit") == 0).select("row.*")
+    """The rows of ``docs`` in which no window of an item occurs.
+
+    The contaminated ids are a table whose size Spark sees: while it is small it
+    goes to the texts, beyond that both are shuffled.
+    """
+    runs, _ = phrase_matches(docs, benchmark)
+    hit = materialize(runs.select(F.col("id").alias("hit_id"), F.col("h").alias("hit_h")).distinct(), "contaminated")
+    return keyed(docs).join(hit, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_h")), "left_anti").select("row.*")

@@ -44,14 +44,18 @@ def op3_decontaminate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = phrases.contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return found.select(
-        "row.doc_id", F.col("n_words").alias("n_words"), "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items",
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 @register
 def op4_quality_rules(spark, sf_dir):
+    # the cascade decides; the measures, which the query returns for every row, are added here
     judged = rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    found = rules.measures(judged.select("row.doc_id", "row.text", F.col("rejected_by").isNull().alias("kept")))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        rules.base_failed(F.col("n_words"), F.col("n_repeat_words")).alias("base_failed"), "kept")
 
 
 @register
