@@ -37,7 +37,7 @@ def test_kept_documents_keep_their_columns(edge_docs, no_docs):
 
 
 def test_cascade_order_does_not_change_verdicts(edge_docs):
-    all_ = rules.all_rules(F.col("text"))
+    all_ = rules.all_rules(F.col("text"), rules.words(F.col("text")))
     names = list(all_)
     one, two = (edge_docs.select("doc_id", "text", rules.cascade(all_, order).isNull().alias("stays")).collect() for order in (names, names[::-1]))
     same_rows(one, two)
@@ -53,12 +53,22 @@ def test_later_rules_are_not_computed_for_rejected_documents(spark, edge_docs):
         docs.select(rules.cascade(pair, ["fails", "short"])).collect()
 
 
+def test_the_cascade_inside_the_operator_skips_rules(spark, monkeypatch, edge_docs):
+    """The operator's own expression, with a second rule that fails when it is computed."""
+    pair = lambda text, tokens: {"any": F.size(tokens) >= 0, "fails": F.raise_error(F.concat(F.lit("computed "), F.size(tokens))).cast("boolean")}
+    monkeypatch.setattr(rules, "rank_rules", lambda *given: ["any", "fails"])
+    assert {r[0] for r in rules.judge(edge_docs, pair).select("rejected_by").collect()} == {"any"}
+    monkeypatch.setattr(rules, "rank_rules", lambda *given: ["fails", "any"])
+    with pytest.raises(Exception, match="computed"):
+        rules.judge(edge_docs, pair).select("rejected_by").collect()
+
+
 def test_ranking_from_raw_text(spark):
     docs = spark.range(3000).select(F.concat(F.repeat(F.concat(F.lit("w"), F.col("id")), 3), F.repeat(F.lit(" some words here"), 300)).alias("text"))
 
-    def mine(text):
+    def mine(text, tokens):
         # alike in what they reject, unlike in what they cost
-        return {"costly": rules.repeated_words(F.split(text, " ")) > 0, "cheap": F.length(text) > 0, "never": F.length(text) < 0}
+        return {"costly": rules.repeated_words(tokens) > 0, "cheap": F.length(text) > 0, "never": F.length(text) < 0}
 
     assert rules.rank_rules(docs, mine) == ["cheap", "costly", "never"]
     assert set(rules.rank_rules(docs)) == {"few_words", "repeated", "symbols", "word_length", "lines", "capitals", "shouting"}
