@@ -71,6 +71,21 @@ def test_quality_of_edge_documents(spark, edge_docs, no_docs):
     assert kept.count() == sum(r["predicted"] for r in rows)
 
 
+def test_good_documents_shuffle_no_text(spark, documents):
+    """Also where no table is small enough to broadcast for the filter."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    wanted = Counter(r["doc_id"] for r in additive.classify(documents, labels).where("predicted = 1").collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = additive.good_documents(documents, labels)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+        assert 0 < sum(wanted.values()) < documents.count()
+        assert Counter(r["doc_id"] for r in kept.select("doc_id").collect()) == wanted
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_additive_model_needs_its_pairs():
     random = np.random.default_rng(5)
     values = random.normal(size=(4000, 4))

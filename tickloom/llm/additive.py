@@ -220,19 +220,31 @@ class AdditiveModel:
 # --- Spark -----------------------------------------------------------------------------------
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, rows: int = TRAIN_ROWS,
-             threshold: float = THRESHOLD, seed: int = 31) -> DataFrame:
-    """Every row's doc_id, h (its text's hash), held_out, score and predicted; learns labels outside the held-out fold."""
-    texts = packed(docs).select(F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64("row.text").alias("h"), F.col("row.text").alias("text"))
-    described = materialize(describe(texts), "quality-features")
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, text) of the rows; h is the text's hash."""
+    return packed(docs).select(F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64("row.text").alias("h"), F.col("row.text").alias("text"))
+
+
+def drawn_labels(labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, rows: int = TRAIN_ROWS, seed: int = 31) -> DataFrame:
+    """(id, label) of about ``rows`` labelled rows outside the held-out fold; all where there are fewer."""
     marked = packed(labels).select(F.col("row.doc_id").cast("long").alias("id"), F.col(f"row.{label}").cast("int").alias("label"))
     marked = marked.where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & (fold(F.col("id"), folds) != held))
     share = min(1.0, rows / max(marked.count(), 1))
-    drawn = marked.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)).distinct()
+    return marked.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)).distinct()
+
+
+def taught_model(described: DataFrame, drawn: DataFrame) -> AdditiveModel:
+    """The model of the drawn rows among those described."""
     taught = described.join(drawn, described["doc_id"] == drawn["id"]).select("doc_id", "h", "values", "label").toArrow()
     taught = taught.sort_by([("doc_id", "ascending"), ("h", "ascending"), ("label", "ascending")])
     values = np.array(taught["values"].to_pylist(), np.float64).reshape(-1, len(FEATURES))
-    model = AdditiveModel().fit(values, taught["label"].to_numpy().astype(np.float64))
+    return AdditiveModel().fit(values, taught["label"].to_numpy().astype(np.float64))
+
+
+def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, threshold: float = THRESHOLD, **options) -> DataFrame:
+    """Every row's doc_id, h (its text's hash), held_out, score and predicted; learns labels outside the held-out fold."""
+    described = materialize(describe(keyed_texts(docs)), "quality-features")
+    model = taught_model(described, drawn_labels(labels, folds=folds, held=held, **options))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,10 +257,18 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", folds:
     return scored.select("doc_id", "h", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "score", predicted)
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without those predicted 0."""
-    rejected = classify(docs, labels, **options).where("predicted = 0").select(F.col("doc_id").alias("id"), F.col("h").alias("its_h")).distinct()
-    rejected = materialize(rejected, "quality-rejected")
-    rows = packed(docs).withColumn("h", F.xxhash64("row.text"))
-    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("h") == F.col("its_h"))
-    return rows.join(rejected, same, "left_anti").select("row.*")
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
+    """The rows of ``docs`` without those predicted 0.
+
+    Only the texts that teach are described first. The others are described where they are scored, so that no text is shuffled.
+    """
+    drawn = materialize(drawn_labels(labels, **options), "quality-drawn")  # few and of known size, for Spark to broadcast
+    model = taught_model(describe(keyed_texts(docs).join(drawn.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi")), drawn)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tables = byte_tables(), powers(1 << 20), byte_classes()
+        for texts in batches:
+            yield pa.array(model.score(features_of(texts, tables).astype(np.float64)))
+
+    score = F.arrow_udf(run, "double")
+    return packed(docs).where(score("row.text") >= threshold).select("row.*")
