@@ -182,3 +182,84 @@ def test_words_seen_once_are_counted_in_every_order(spark):
     assert [len(table).bit_length() - 1 for table in tables] == list(context_mixing.SLOT_BITS)
     n_bits = 8 * len(b"zyxwv \0aa bb \0")
     assert [table[:, 1].sum() for table in tables] == [n_bits] * context_mixing.ORDERS
+
+
+def drawn_texts(count, seed=3):
+    random = np.random.default_rng(seed)
+    names = ["".join(random.choice(list("abcdefgh"), size)) for size in random.integers(1, 14, 300)]
+    return [" ".join(names[j] for j in (random.random(60) ** 2 * 300).astype(int)) for _ in range(count)]
+
+
+def test_half_bytes_give_what_bits_give():
+    """Nodes seen never, once and often, places up to the last, several texts."""
+    ((_, _, data, offsets),) = chunked(pa.array([*drawn_texts(30), "", "\u00e4\u20ac " * 9, "x" * 40]), 1 << 20)
+    data, offsets = context_mixing.closed_texts(Words(data, offsets, byte_tables()))
+    slots, bits, places = context_mixing.bit_contexts(data[:offsets[20]], offsets[:21])
+    ones, total = [np.zeros(1 << b) for b in context_mixing.SLOT_BITS], [np.zeros(1 << b) for b in context_mixing.SLOT_BITS]
+    for k in range(context_mixing.ORDERS):
+        np.add.at(total[k], slots[k], 1)
+        np.add.at(ones[k], slots[k], bits)
+    model = context_mixing.Mixture(ones, total)
+    assert all((t[:, 0] == o).all() and (t[:, 1] == n).all() for t, o, n in zip(model.tables, ones, total, strict=True))
+    model.weights = np.random.default_rng(1).normal(0.25, 0.1, model.weights.shape).astype(np.float32)
+    slots, bits, places = context_mixing.bit_contexts(data, offsets)
+
+    def mixes(left_out):
+        odds, gate = model.features(slots, bits, places, left_out)
+        return odds, gate, np.clip((model.weights[gate].T * odds).sum(axis=0), -20, 20)
+
+    cost = np.logaddexp(0, np.where(bits == 1, -1, 1) * mixes(0)[2].astype(float)).reshape(8, -1).sum(axis=0)
+    wanted = -np.add.reduceat(cost, offsets[:-1]) / np.log(10)
+    assert np.allclose(model.scores(data, offsets), wanted, rtol=1e-5)
+    odds, gate, mix = mixes(1)
+    found = 1 / (1 + np.exp(-mix.astype(float)))
+    slopes, uncurved = model.slopes(data, offsets), model.slopes(data, offsets, False)
+    assert len(np.unique(gate)) > 20
+    for g in range(context_mixing.GATES):
+        x, error, spread = odds[:, gate == g].astype(float), (bits - found)[gate == g], (found * (1 - found))[gate == g]
+        assert np.allclose(slopes[g, :, 0], x @ error, rtol=1e-3, atol=0.05)
+        assert np.allclose(slopes[g, :, 1:], (x * spread) @ x.T, rtol=1e-3, atol=0.05)
+    assert np.allclose(uncurved[:, :, 0], slopes[:, :, 0])
+    assert not uncurved[context_mixing.TOP_GATES, :, 1:].any() and slopes[context_mixing.TOP_GATES, :, 1:].any()
+
+
+@pytest.mark.parametrize("regular", [True, False])
+def test_large_corpus_is_fitted_in_few_rounds(spark, monkeypatch, regular):
+    """Growing shares give the start; nothing is left to gain, also where words that are known by heart slow the rounds down."""
+    letters = "".join(np.random.default_rng(4).choice(list("etaoin "), 600_000))
+    texts = [letters[at:at + 300] for at in range(0, len(letters), 300)] if not regular else drawn_texts(1500)
+    n_bytes = sum(map(len, texts))
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    monkeypatch.setattr(context_mixing, "START_BYTES", n_bytes // 100)
+    rounds, summed = [], context_mixing.summed_slopes
+    monkeypatch.setattr(context_mixing, "summed_slopes", lambda rows, *more: rounds.append(rows is frame) or summed(rows, *more))
+    whole, _ = context_mixing.trained(frame, n_bytes)
+    assert regular or sum(rounds) <= 2
+    ((_, _, data, offsets),) = chunked(pa.array(texts), 1 << 24)
+    gain = whole.step(whole.slopes(*context_mixing.closed_texts(Words(data, offsets, byte_tables()))))
+    assert gain < context_mixing.GAIN * math.log(2) * n_bytes
+
+
+def test_words_are_found_in_their_buckets():
+    random = np.random.default_rng(2)
+    hashes = np.concatenate([random.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2), np.arange(40, dtype=np.uint64), ~np.arange(40, dtype=np.uint64)])
+    values = np.arange(len(hashes))
+    first, keys, kept = context_mixing.bucketed(hashes.view(np.int64), values)
+    at, known = context_mixing.looked_for(hashes, first, keys)
+    assert known.all() and (kept[at] == values).all()
+    assert not context_mixing.looked_for(hashes[:3000] + np.uint64(1), first, keys)[1].any()
+    first, keys, kept = context_mixing.bucketed(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    at, known = context_mixing.looked_for(hashes, first, keys)
+    assert not known.any() and not kept[at].any()
+
+
+def test_words_are_counted_over_batches(spark, monkeypatch):
+    texts = [*drawn_texts(50), "held only here", None, ""]
+    rows = [(n % 3 > 0, t) for n, t in enumerate(texts)]
+    wanted = Counter({word: 0 for _, t in rows for word in WORD.findall(lowered(t))})
+    for trains, t in rows:
+        wanted.update(WORD.findall(lowered(t)) if trains else [])
+    monkeypatch.setattr(context_mixing, "WORDS", 100)
+    found = context_mixing.word_counts(spark.createDataFrame(rows, "trains boolean, text string").repartition(3)).collect()
+    assert len({r["hash"] for r in found}) == len(found)
+    assert Counter(r["c"] for r in found) == Counter(wanted.values())
